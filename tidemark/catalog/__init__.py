@@ -1,6 +1,6 @@
 """All registered queries. Importing this package registers them."""
 
-from tidemark.catalog import assessing  # noqa: F401
+from tidemark.catalog import assessing, chaining  # noqa: F401
 from tidemark.catalog.base import REGISTRY, Query, Tables
 
 __all__ = ["REGISTRY", "Query", "Tables"]
