@@ -122,8 +122,7 @@ def findings_table(t: Tables):
 @query("seq_gap_ranges", f"""WITH {LINE_SQL}, {GAPS_SQL.format(log='line_log')}
 SELECT source_id, lo, hi, missing FROM ranges""")
 def seq_gap_ranges(t: Tables):
-    ranges = a.gap_ranges(a.distinct_sequences(line_log(t)))
-    return ranges.select("source_id", *[F.col(c).cast("bigint").alias(c) for c in ("lo", "hi", "missing")])
+    return a.gap_ranges(a.gap_steps(a.distinct_sequences(line_log(t))))
 
 
 @query("a_seqgap", f"""WITH {USER_SQL}, {GAPS_SQL.format(log='user_log')}, {GAP_LISTS_SQL}

@@ -59,14 +59,14 @@ def micros(column: str):
 
 def line_log(t: Tables) -> DataFrame:
     return t.read("lineitem").select(
-        F.col("l_orderkey").cast("string").alias("source_id"), F.col("l_linenumber").cast("decimal(20,0)").alias("seq"),
+        F.col("l_orderkey").cast("string").alias("source_id"), F.col("l_linenumber").cast("bigint").alias("seq"),
         micros("l_shipdate").alias("time_us"), F.concat("l_returnflag", "l_linestatus").alias("type"),
         F.lit(False).alias("heartbeat"), *LINE_ORDER)
 
 
 def user_log(t: Tables) -> DataFrame:
     return t.read("events").select(
-        F.col("user_id").cast("string").alias("source_id"), F.col("event_id").cast("decimal(20,0)").alias("seq"),
+        F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("seq"),
         F.col("event_id").alias("ordinal"), micros("ts").alias("time_us"), F.col("event_type").alias("type"),
         (F.col("event_type") == "view").alias("heartbeat"))
 

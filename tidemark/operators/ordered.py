@@ -27,16 +27,15 @@ def stitched_lag(df: DataFrame, keys: list[str], order: str, columns: list[str],
     (keys, block); the seam join reuses that partitioning.
     """
     blocked = df.withColumn(BLOCK, block_of(F.col(order), width))
-    carried = F.struct(*[F.col(c) for c in columns])
-    seams = (
-        blocked.groupBy(*keys, BLOCK).agg(F.max_by(carried, F.col(order)).alias("_tail"))
-        .withColumn("_entry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(BLOCK)))
-        .drop("_tail")
-    )
+    tails = [(F.max(c) if c == order else F.max_by(c, order)).alias(f"_tail_{c}") for c in columns]
+    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    seams = blocked.groupBy(*keys, BLOCK).agg(*tails).select(
+        *keys, BLOCK, *[F.lag(f"_tail_{c}").over(across).alias(f"_entry_{c}") for c in columns])
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
-    joined = blocked.withColumn("_local", F.lag(carried).over(inside)).join(seams, [*keys, BLOCK], "left")
-    previous = F.coalesce(F.col("_local"), F.col("_entry"))
-    return joined.withColumns({f"{prefix}{c}": previous[c] for c in columns}).drop("_local", "_entry", BLOCK)
+    local = {f"_local_{c}": F.lag(c).over(inside) for c in columns}
+    joined = blocked.withColumns({**local, "_opens": F.row_number().over(inside) == 1}).join(seams, [*keys, BLOCK], "left")
+    previous = {f"{prefix}{c}": F.when(F.col("_opens"), F.col(f"_entry_{c}")).otherwise(F.col(f"_local_{c}")) for c in columns}
+    return joined.withColumns(previous).drop(*local, "_opens", *[f"_entry_{c}" for c in columns], BLOCK)
 
 
 def stitched_running(df: DataFrame, keys: list[str], order: str, out: str, value: Column, kind: str = "sum",
