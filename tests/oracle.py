@@ -78,7 +78,7 @@ def main(argv: list[str]) -> int:
         try:
             problems = compare(spark, sf_dir, name)
         except Exception as error:  # report and go on with the other queries
-            problems = [str(error)[:1500]]
+            problems = [str(error)[:600]]
         bad += bool(problems)
         kind = "S" if REGISTRY[name].sql else "R"
         print(f"{'FAIL' if problems else 'ok  '} {kind} {name} {time.time() - start:.1f}s", *problems, flush=True)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.hashing import ZERO_HASH, sha_hex
+from tidemark.operators.intervals import covered as within
 from tidemark.operators.ordered import BLOCK_WIDTH, stitched_lag, stitched_row_number
 
 # The fields of a captured record in their serialised order.
@@ -148,29 +149,12 @@ def _flag_covered(rows: DataFrame, covered: DataFrame) -> DataFrame:
     rows = rows.join(having, "source_id", "left").withColumn("_has_cover", F.coalesce("_has_cover", F.lit(False)))
     skipping = rows.where(F.col("_has_cover") & (F.col("seq") > F.col("_pseq") + 1)).select(
         "source_id", "ordinal", (F.col("_pseq") + 1).alias("lo"), (F.col("seq") - 1).alias("hi"))
-    inside = contained(skipping, covered).select("source_id", "ordinal").withColumn("_gap_covered", F.lit(True))
+    inside = (within(skipping, "lo", "hi", covered).where(F.col("covered")).select("source_id", "ordinal")
+              .withColumn("_gap_covered", F.lit(True)))
     return rows.join(inside, ["source_id", "ordinal"], "left").withColumn(
         "_gap_covered", F.coalesce("_gap_covered", F.lit(False)))
 
 
-def contained(ranges: DataFrame, covered: DataFrame) -> DataFrame:
-    """Ranges (source_id, lo, hi, ...) that fit inside one disjoint covering range of their source.
-
-    The covering ranges are disjoint, so the only candidate is the last one that starts at or before lo. It
-    is found by a running maximum over both sides merged in lo order, not by joining every pair.
-    """
-    extra = [c for c in ranges.columns if c not in ("source_id", "lo", "hi")]
-    probes = ranges.select("source_id", "lo", "hi", *extra, F.lit(1).alias("_side"),
-                           F.lit(None).cast("bigint").alias("_end"))
-    starts = covered.select("source_id", F.col("lo").cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"),
-                            *[F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in extra],
-                            F.lit(0).alias("_side"), F.col("hi").cast("bigint").alias("_end"))
-    from tidemark.operators.ordered import BLOCK, _running, block_of
-    both = probes.unionByName(starts).withColumn(BLOCK, block_of(F.col("lo"))).withColumn("_value", F.col("_end"))
-    reached = _running(both, ["source_id"], [BLOCK], ["lo", "_side"], "_reach", "max", True)
-    return reached.where((F.col("_side") == 1) & (F.col("hi") <= F.col("_reach"))).select("source_id", "lo", "hi", *extra)
-
-
 def first_errors(errors: DataFrame) -> DataFrame:
     """The first failing row of each source: what a sequential check would stop at."""
     first = F.min_by(F.struct("ordinal", "seq", "kind", "message"), F.col("ordinal"))
