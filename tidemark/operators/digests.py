@@ -19,18 +19,26 @@ FLAT, TREE = "sha256", "merkle"
 
 
 def ordered_digests(items: DataFrame, key: str, order: str, data: str, limit: int = FLAT_LIMIT_BYTES) -> DataFrame:
-    """(key, records, digest, digest_kind) over the binary column ``data`` in ``order`` (unique integer)."""
+    """(key, records, digest, digest_kind) over the binary column ``data`` in ``order`` (unique integer).
+
+    Asks once whether any key is over the limit, so that the common plan has no tree in it. ``items`` is read
+    up to three times: pass a written table, not a long computation.
+    """
     picked = items.select(key, order, data)
     sizes = picked.groupBy(key).agg(F.count("*").alias("records"), F.sum(F.octet_length(data)).alias("_bytes"))
-    small = sizes.where(F.col("_bytes") <= limit).select(key)
     large = sizes.where(F.col("_bytes") > limit).select(key)
+    some_large = not large.isEmpty()
+    small = picked.join(large, key, "left_anti") if some_large else picked
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.hex(data).alias("h"))))
     joined = F.unhex(F.array_join(F.transform(packed, lambda x: x["h"]), ""))
-    flat = (picked.join(small, key, "left_semi").groupBy(key)
-            .agg(F.sha2(joined, 256).alias("digest")).withColumn("digest_kind", F.lit(FLAT)))
+    flat = small.groupBy(key).agg(
+        F.count("*").alias("records"), F.sha2(joined, 256).alias("digest")).withColumn("digest_kind", F.lit(FLAT))
+    if not some_large:
+        return flat
     rows = stitched_row_number(picked.join(large, key, "left_semi"), [key], order, "_n")
     leaves = rows.select(F.col(key).alias("source_id"), (F.col("_n") - 1).alias("idx"),
                          leaf_hash(F.col(data)).alias("leaf"))
-    tree = merkle_roots(leaves).select(F.col("source_id").alias(key), hex_lower(F.col("root")).alias("digest"),
-                                       F.lit(TREE).alias("digest_kind"))
-    return sizes.drop("_bytes").join(flat.unionByName(tree), key)
+    tree = merkle_roots(leaves).select(
+        F.col("source_id").alias(key), F.col("size").alias("records"), hex_lower(F.col("root")).alias("digest"),
+        F.lit(TREE).alias("digest_kind"))
+    return flat.unionByName(tree)
