@@ -55,8 +55,9 @@ def compare(spark, sf_dir: str, name: str) -> list[str]:
     if len(a) != len(b):
         problems.append(f"rows {len(a)} != {len(b)}")
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:2]
-        only_b = [r for r in b if r not in set(a)][:2]
+        set_a, set_b = set(a), set(b)
+        only_a = [r for r in a if r not in set_b][:2]
+        only_b = [r for r in b if r not in set_a][:2]
         problems.append(f"columns {sorted(columns)}\n   spark  {only_a}\n   duckdb {only_b}")
     if not a:
         problems.append("no rows")
