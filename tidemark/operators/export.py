@@ -91,7 +91,9 @@ def write_bundle(records: DataFrame, chosen: RecordFilter, directory: str, notes
     (lines.select("value").write.mode("errorifexists").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
      .text(f"{directory}/records.jsonl"))
     if notes is not None:
-        notes.orderBy("pos").select(F.col("note").alias("value")).write.option("lineSep", "").text(f"{directory}/checkpoints.txt")
+        # The writer ends every note's last line, so the note's own final newline is left out.
+        (notes.orderBy("pos").select(F.regexp_replace("note", "\n$", "").alias("value")).write
+         .text(f"{directory}/checkpoints.txt"))
     if keys is not None:
         keys.write.json(f"{directory}/keys.json")
     if receipts is not None:

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.notes import SIGNATURE_PREFIX, strict_base64
+from tidemark.sources.jsonl import scan_jsonl, with_ordinals
 
 REGISTRY = "sources array<struct<source_id:string,origin:string,key_name:string,public_key:string>>"
 RECEIPT = ("origin string, size bigint, root string, tsa string, token string, imprint string, gen_time string, "
            "anchored_at string, qualified boolean")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return with_ordinals(scan_jsonl(spark, [path])).where(F.col("value") != "")
+
+
 def scan_notes(spark: SparkSession, path: str) -> DataFrame:
     """Notes persisted as one JSON string per line: (file, pos, note); pos rises in receipt order."""
-    lines = spark.read.option("lineSep", "\n").text(path)
     note = F.try_variant_get(F.try_parse_json("value"), "$", "string")
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), note.alias("note"))
+    return _lines(spark, path).select("file", F.col("ordinal").alias("pos"), note.alias("note"))
 
 
 def split_bundle_notes(spark: SparkSession, path: str) -> DataFrame:
@@ -26,19 +30,24 @@ def split_bundle_notes(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("pos", "note"))
 
 
-def scan_registry(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Registered keys (source_id, origin, key_name, public_key, reg_pos). A key that is not 32 bytes fails the job."""
-    documents = spark.read.schema(REGISTRY).option("multiLine", multi_line).json(path)
-    doc = F.monotonically_increasing_id()
-    keys = documents.select(doc.alias("_doc"), F.posexplode("sources").alias("_at", "k"))
+def scan_registry(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Registered keys (source_id, origin, key_name, public_key, reg_pos) of documents, one per line or per file.
+
+    reg_pos follows registration order. A key that is not 32 bytes fails the job.
+    """
+    if whole_files:
+        documents = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("ordinal"), "value")
+    else:
+        documents = _lines(spark, path)
+    parsed = documents.select("ordinal", F.from_json("value", REGISTRY).alias("d"))
+    keys = parsed.select("ordinal", F.posexplode("d.sources").alias("place", "k"))
     raw = strict_base64(F.col("k.public_key"))
     checked = F.when(F.octet_length(raw) == 32, raw).otherwise(
         F.raise_error(F.concat(F.lit("registry: bad public key for "), F.col("k.source_id"))).cast("binary"))
-    # A document lists fewer than a million keys, so document and place make one increasing number.
     return keys.select("k.source_id", "k.origin", "k.key_name", checked.alias("public_key"),
-                       (F.col("_doc") * 1_000_000 + F.col("_at")).alias("reg_pos"))
+                       F.struct("ordinal", "place").alias("reg_pos"))
 
 
 def scan_receipts(spark: SparkSession, path: str) -> DataFrame:
-    receipts = spark.read.schema(RECEIPT).json(path)
-    return receipts.withColumns({"imprint": F.unhex("imprint"), "pos": F.monotonically_increasing_id()}).withColumnRenamed("root", "root_b64")
+    receipts = _lines(spark, path).select(F.col("ordinal").alias("pos"), F.from_json("value", RECEIPT).alias("r")).select("pos", "r.*")
+    return receipts.withColumn("imprint", F.unhex("imprint")).withColumnRenamed("root", "root_b64")
