@@ -13,7 +13,7 @@ from tidemark.catalog.base import Tables, query
 from tidemark.catalog.chaining import LEAF_SQL, PREFIX_SQL, segment_sizes, whole_leaves
 from tidemark.catalog.logs import BODY_SQL, DAY_US, WHOLE_SQL, frames, whole_log
 from tidemark.catalog.sqltext import root_name
-from tidemark.functions.hashing import hex_lower, key_id, leaf_hash
+from tidemark.functions.hashing import base64_text, hex_lower, key_id, leaf_hash
 from tidemark.functions.notes import SIGNATURE_PREFIX, checkpoint_text
 from tidemark.functions.times import parse_pinned_ns
 from tidemark.operators import chain, checkpoints as cps, export
@@ -57,7 +57,7 @@ def sign_notes(rows: DataFrame, number, name) -> DataFrame:
     """Adds note: the text, a blank line and one signature line by fixture signer ``number``."""
     keyed = rows.withColumns({"_n": number, "_name": name})
     keyed = keyed.withColumns({"_key": public_keys("_n"), "_sig": signatures("_n", "text")})
-    blob = F.base64(F.concat(F.unhex(key_id(F.col("_name"), F.col("_key"))), F.col("_sig")))
+    blob = base64_text(F.concat(F.unhex(key_id(F.col("_name"), F.col("_key"))), F.col("_sig")))
     note = F.concat("text", F.lit("\n" + SIGNATURE_PREFIX), "_name", F.lit(" "), blob, F.lit("\n"))
     return keyed.withColumn("note", note).drop("_n", "_name", "_key", "_sig")
 
@@ -102,7 +102,7 @@ def written_registry(t: Tables) -> str:
     entry = F.struct(
         F.concat(F.lit("s"), (key % 700).cast("string")).alias("source_id"),
         F.concat(F.lit("log/"), (key % 700).cast("string"), F.lit("/"), (F.call_function("div", key, F.lit(700).cast("bigint")) % 2).cast("string")).alias("origin"),
-        F.col("c_name").alias("key_name"), F.base64(F.unhex(F.sha2(F.encode("c_name", "UTF-8"), 256))).alias("public_key"))
+        F.col("c_name").alias("key_name"), base64_text(F.unhex(F.sha2(F.encode("c_name", "UTF-8"), 256))).alias("public_key"))
     documents = (t.read("customer").groupBy(F.call_function("div", key, F.lit(100).cast("bigint")).alias("doc"))
                  .agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), entry.alias("e")))), lambda x: x["e"]).alias("sources")))
     documents.repartitionByRange(4, "doc").sortWithinPartitions("doc").select("sources").write.json(path)
@@ -127,7 +127,7 @@ def scan_receipts(t: Tables):
     stamp = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000000000Z"))
     t.read("orders").select(
         F.concat(F.lit("log/"), (F.col("o_custkey") % 40).cast("string")).alias("origin"), F.col("o_orderkey").alias("size"),
-        F.base64(F.unhex(F.sha2(F.encode("o_orderpriority", "UTF-8"), 256))).alias("root"), F.lit("tsa").alias("tsa"), F.lit("").alias("token"),
+        base64_text(F.unhex(F.sha2(F.encode("o_orderpriority", "UTF-8"), 256))).alias("root"), F.lit("tsa").alias("tsa"), F.lit("").alias("token"),
         F.sha2(F.encode(F.col("o_orderkey").cast("string"), "UTF-8"), 256).alias("imprint"), stamp.alias("gen_time"), stamp.alias("anchored_at"),
         (F.col("o_orderkey") % 2 == 0).alias("qualified")).write.json(path)
     return reg.scan_receipts(t.spark, path).select(
@@ -227,7 +227,7 @@ def written_bundle(t: Tables) -> tuple[str, DataFrame]:
     records = chained.select("source_id", "seq", record["actor"].alias("actor"), parse_pinned_ns(record["event_time"]).alias("time_ns"),
                              F.col("claimed_hash").alias("record_hash"), "record_bytes")
     path = scratch_path(t.spark, "bundle")
-    export.write_bundle(records, export.RecordFilter(), path, notes, signers(t).withColumn("public_key", F.base64("public_key")))
+    export.write_bundle(records, export.RecordFilter(), path, notes, signers(t).withColumn("public_key", base64_text(F.col("public_key"))))
     return path, notes
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.base import Tables, query
 from tidemark.catalog.logs import micros
 from tidemark.catalog.scalars import _case, _shown_uuid
-from tidemark.functions.hashing import hex_lower
+from tidemark.functions.hashing import base64_text, hex_lower
 from tidemark.functions.times import format_pinned
 from tidemark.operators import intake, intervals, retention as ret
 from tidemark.operators import pseudonyms as ps
@@ -120,7 +120,7 @@ def validate_segments(t: Tables):
     m = (F.col("source_id").cast("bigint") + F.col("segment")) % 10
     size = F.col("seq_last") + F.when(m == 5, 1).otherwise(0)
     root = F.when(m == 6, F.unhex(F.reverse(F.hex("root")))).otherwise(F.col("root"))
-    note = F.concat(F.lit("log/"), "source_id", F.lit("\n"), size.cast("string"), F.lit("\n"), F.base64(root),
+    note = F.concat(F.lit("log/"), "source_id", F.lit("\n"), size.cast("string"), F.lit("\n"), base64_text(root),
                     F.when(m == 4, F.lit("\n")).otherwise(F.lit("\n\n")), F.lit("— signer AAAA\n"))
     rows = user_segments(t).withColumn("checkpoint", note).select(
         F.col("source_id").alias("owner"), "segment", F.when(m == 0, F.lit("../escape")).otherwise(F.col("segment_id")).alias("segment_id"),

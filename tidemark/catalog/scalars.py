@@ -91,7 +91,7 @@ def digest_valid(t: Tables):
     raw = F.when(text.rlike("^[0-9a-f]*$"), F.unhex(text))
     return t.read("orders").select(
         "o_orderkey", h.is_digest(raw).alias("hex_ok"), F.octet_length(raw).cast("bigint").alias("bytes"),
-        F.base64(F.unhex(full)).alias("encoded"), h.hex_lower(notes.strict_base64(F.base64(F.unhex(full)))).alias("decoded"))
+        h.base64_text(F.unhex(full)).alias("encoded"), h.hex_lower(notes.strict_base64(h.base64_text(F.unhex(full)))).alias("decoded"))
 
 
 def _shown_uuid(millis: str, seed: str) -> str:
@@ -124,7 +124,7 @@ def checkpoint_parse(t: Tables):
     root = F.unhex(F.sha2(F.encode("o_orderpriority", "UTF-8"), 256))
     size = _case(key % 6, key.cast("string"), m1=F.lit("x"), m2=F.lit("18446744073709551616"))
     body = F.concat(F.lit("log/"), F.col("o_custkey").cast("string"), F.lit("\n"), size, F.lit("\n"),
-                    F.when(key % 6 == 3, F.lit("AAAA")).otherwise(F.base64(root)), F.lit("\n"),
+                    F.when(key % 6 == 3, F.lit("AAAA")).otherwise(h.base64_text(root)), F.lit("\n"),
                     F.when(key % 6 == 4, F.lit("ext one\next two\n")).otherwise(F.lit("")))
     # Every sixth note has no blank line before its signature.
     note = F.concat(body, F.when(key % 6 == 5, F.lit("")).otherwise(F.lit("\n")), F.lit("— signer AAAA\n"))

@@ -10,7 +10,7 @@ from tidemark.catalog.logs import (
     CAPTURED_SQL, DAY_US, TAMPER_SQL, captured, frames, sql_duration, sql_minutes, sql_pinned, tampered,
 )
 from tidemark.catalog.sqltext import merkle_sql, root_name
-from tidemark.functions.hashing import hex_lower, leaf_hash
+from tidemark.functions.hashing import base64_text, hex_lower, leaf_hash
 from tidemark.operators import captured as cap
 from tidemark.operators import checkpoints as cps
 from tidemark.operators import continuity as con
@@ -127,7 +127,7 @@ def user_checkpoints(t: Tables):
     roots = prefix_roots(leaves, sizes)
     root = F.when(_bad_root(), F.unhex(F.reverse(F.hex("root")))).otherwise(F.col("root"))
     origin = F.concat(F.lit("log/"), F.col("source_id"))
-    note = F.concat(origin, F.lit("\n"), F.col("size").cast("string"), F.lit("\n"), F.base64(root), F.lit("\n"))
+    note = F.concat(origin, F.lit("\n"), F.col("size").cast("string"), F.lit("\n"), base64_text(root), F.lit("\n"))
     return roots.select(
         "source_id", F.col("size").alias("pos"), origin.alias("origin"), "size", root.alias("root"), note.alias("note"),
         (~((F.col("source_id").cast("bigint") % 13 == 0) & (F.col("size") == 16))).alias("sig_ok"))
@@ -213,7 +213,7 @@ def receipts_for(checkpoints):
     text = F.when((user + F.col("size")) % 9 == 0, F.concat("note", F.lit("x"))).otherwise(F.col("note"))
     return checkpoints.select(
         "source_id", "pos", "origin", (F.col("size") + F.when((user + F.col("size")) % 10 == 0, 1).otherwise(0)).alias("size"),
-        F.base64("root").alias("root_b64"), F.concat(F.lit("tsa-"), (F.col("size") % 3).cast("string")).alias("tsa"),
+        base64_text(F.col("root")).alias("root_b64"), F.concat(F.lit("tsa-"), (F.col("size") % 3).cast("string")).alias("tsa"),
         F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("imprint"), (F.col("size") * 1_000_000_000 + user).alias("gen_ns"),
         (F.col("size") % 3 != 1).alias("qualified"))
 

@@ -41,6 +41,11 @@ def hex_lower(data: Column) -> Column:
     return F.lower(F.hex(data))
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 on one line; the builtin breaks lines after 76 characters."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def pad_keys(df, salt: str = "salt"):
     """Adds the two HMAC pads of a 32-byte salt: XOR per byte, done on hex nibbles with translate."""
     zeros = F.rpad(F.hex(F.col(salt)), 128, "0")

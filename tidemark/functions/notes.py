@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import base64_text
+
 # Fixed value: a signature line starts with an em dash and a space.
 SIGNATURE_PREFIX = "— "
 _BODY_END = "\n\n"
@@ -12,7 +14,7 @@ _BODY_END = "\n\n"
 
 def checkpoint_text(origin: Column, size: Column, root: Column, extensions: Column | None = None) -> Column:
     """Body of a checkpoint: origin, size, base64 root and extension lines, each ended by a newline."""
-    head = F.concat(origin, F.lit("\n"), size.cast("string"), F.lit("\n"), F.base64(root), F.lit("\n"))
+    head = F.concat(origin, F.lit("\n"), size.cast("string"), F.lit("\n"), base64_text(root), F.lit("\n"))
     if extensions is None:
         return head
     return F.concat(head, F.array_join(F.transform(extensions, lambda e: F.concat(e, F.lit("\n"))), ""))
@@ -76,7 +78,7 @@ def signature_lines(note: Column) -> Column:
 
 def checkpoint_id(origin: Column, size: Column, root: Column) -> Column:
     """Citable identity: origin@size root=first 12 base64 characters."""
-    return F.concat(origin, F.lit("@"), size.cast("string"), F.lit(" root="), F.substring(F.base64(root), 1, 12), F.lit("…"))
+    return F.concat(origin, F.lit("@"), size.cast("string"), F.lit(" root="), F.substring(base64_text(root), 1, 12), F.lit("…"))
 
 
 def next_key_name(name: Column) -> Column:

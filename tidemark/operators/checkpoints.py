@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.hashing import key_id
+from tidemark.functions.hashing import base64_text, key_id
 from tidemark.functions.notes import checkpoint_id, note_body, parse_checkpoint, signature_lines
 from tidemark.operators.ordered import BLOCK_WIDTH, stitched_running
 
@@ -107,7 +107,7 @@ def match_receipts(receipts: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """
     known = checkpoints.select(
         "source_id", F.unhex(F.sha2(F.encode("note", "UTF-8"), 256)).alias("imprint"), F.col("origin").alias("_origin"),
-        F.col("size").alias("_size"), F.base64("root").alias("_root")).dropDuplicates(["source_id", "imprint"])
+        F.col("size").alias("_size"), base64_text(F.col("root")).alias("_root")).dropDuplicates(["source_id", "imprint"])
     joined = receipts.join(known, ["source_id", "imprint"], "left")
     same = (F.col("origin") == F.col("_origin")) & (F.col("size") == F.col("_size")) & (F.col("root_b64") == F.col("_root"))
     return joined.withColumn("matched", F.coalesce(same, F.lit(False))).drop("_origin", "_size", "_root")
