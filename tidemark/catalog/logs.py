@@ -141,10 +141,17 @@ def frames(t: Tables) -> DataFrame:
     return build_chain(bodies(t))
 
 
-def tampered(t: Tables) -> DataFrame:
+def stored_frames(t: Tables) -> DataFrame:
+    """The chained frames as a written table, for queries that read them more than once."""
+    from tidemark.sources.store import materialise
+
+    return materialise(frames(t), "frames")
+
+
+def tampered(t: Tables, chained: DataFrame | None = None) -> DataFrame:
     user = F.col("source_id").cast("bigint") % 7
     text = F.col("record_bytes").cast("string")
-    kept = frames(t).where(~((user == 4) & (F.col("seq") == 6)))
+    kept = (frames(t) if chained is None else chained).where(~((user == 4) & (F.col("seq") == 6)))
     changed = (
         F.when((user == 3) & (F.col("seq") == 5), F.replace(text, F.lit('"v":2'), F.lit('"v":3')))
         .when((user == 5) & (F.col("seq") == 8), F.concat(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.base import Tables, query
 from tidemark.catalog.chaining import CHECK_SQL
 from tidemark.catalog.logs import (
-    CAPTURED_SQL, DAY_US, TAMPER_SQL, captured, frames, sql_duration, sql_minutes, sql_pinned, tampered,
+    CAPTURED_SQL, DAY_US, TAMPER_SQL, captured, sql_duration, sql_minutes, sql_pinned, stored_frames, tampered,
 )
 from tidemark.catalog.sqltext import merkle_sql, root_name
 from tidemark.functions.hashing import base64_text, hex_lower, leaf_hash
@@ -118,8 +118,8 @@ def _bad_root(source="source_id"):
     return (F.col(source).cast("bigint") % 11 == 0) & (F.col("size") == 32)
 
 
-def user_checkpoints(t: Tables):
-    chained = frames(t)
+def user_checkpoints(t: Tables, chained=None):
+    chained = stored_frames(t) if chained is None else chained
     last = chained.groupBy("source_id").agg(F.max("seq").alias("last"))
     sizes = (chained.join(last, "source_id").where((F.col("seq") % 16 == 0) | (F.col("seq") == F.col("last")))
              .select("source_id", F.col("seq").alias("size")))
@@ -154,9 +154,10 @@ root_checks AS (SELECT c.*, coalesce(c.root = s.h AND c.size <= z.n, false) AS r
 
 
 def checked_checkpoints(t: Tables):
-    numbered = stitched_row_number(tampered(t), ["source_id"], "ordinal", "_n")
+    chained = stored_frames(t)
+    numbered = stitched_row_number(tampered(t, chained), ["source_id"], "ordinal", "_n")
     leaves = numbered.select("source_id", (F.col("_n") - 1).alias("idx"), leaf_hash(F.col("record_bytes")).alias("leaf"))
-    checkpoints = materialise(user_checkpoints(t), "checkpoints")
+    checkpoints = materialise(user_checkpoints(t, chained), "checkpoints")
     return cps.compare_roots(checkpoints, prefix_roots(leaves, checkpoints.select("source_id", "size")))
 
 
@@ -271,9 +272,10 @@ def _expired(user):
 
 
 def evidence(t: Tables) -> plan.Evidence:
-    checkpoints = materialise(user_checkpoints(t), "checkpoints")
+    chained = stored_frames(t)
+    checkpoints = materialise(user_checkpoints(t, chained), "checkpoints")
     user = F.col("source_id").cast("bigint")
-    kept = tampered(t).where(~(_expired(user) & (F.col("ordinal") <= 16)))
+    kept = tampered(t, chained).where(~(_expired(user) & (F.col("ordinal") <= 16)))
     gone = checkpoints.where(_expired(user) & (F.col("size") == 16)).select(
         "source_id", F.lit(1).cast("bigint").alias("seq_first"), F.lit(16).cast("bigint").alias("seq_last"),
         F.when(user % 19 == 0, F.unhex(F.sha2(F.encode("source_id", "UTF-8"), 256))).otherwise(F.col("root")).alias("root"))

@@ -4,8 +4,8 @@ A tree of any size is a right-to-left fold of perfect subtrees, and every perfec
 aligned node (level, index). So roots at many sizes, inclusion paths and consistency proofs all become: list
 the aligned nodes that are needed, compute exactly those, join them back, fold.
 
-Nodes are computed in rounds of ten levels. A round groups 1,024 neighbours, so a group is bounded whatever
-the size of the source; each round passes on a 1,024th of its rows.
+Nodes are computed in rounds of 13 levels. A round groups 8,192 neighbours, so a group is bounded whatever
+the size of the source; each round passes on an 8,192nd of its rows.
 """
 
 from __future__ import annotations
@@ -15,38 +15,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import EMPTY_ROOT, bytes_of, node_hash
+from tidemark.functions.hashing import EMPTY_ROOT, bytes_of
 
-ROUND_BITS = 10
-ROUNDS = 4  # 40 levels: a trillion leaves in one source
+ROUND_BITS = 13
+ROUNDS = 3  # 39 levels: half a trillion leaves in one source
 MAX_LEVEL = ROUND_BITS * ROUNDS
 
-
-def _pair_up(level: Column) -> Column:
-    """The next level of full pairs; a lone right node is left out, as it is no perfect subtree."""
-    pairs = F.call_function("div", F.size(level), F.lit(2)).cast("int")
-    return F.when(pairs > 0, F.transform(
-        F.sequence(F.lit(1), pairs),
-        lambda i: node_hash(F.element_at(level, i * 2 - 1), F.element_at(level, i * 2)),
-    )).otherwise(F.array().cast("array<binary>"))
-
-
-def _levels_then(nodes: Column, finish) -> Column:
-    """Applies finish to the array of the ROUND_BITS + 1 levels above ``nodes`` (evaluated once)."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUND_BITS)),
-        F.array(nodes),
-        lambda acc, _: F.concat(acc, F.array(_pair_up(F.element_at(acc, -1)))),
-        finish,
-    )
-
-
-def shift(c: Column, bits: int | Column) -> Column:
-    return F.call_function("shiftright", c, F.lit(bits) if isinstance(bits, int) else bits)
-
-
-def shift_left(c: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", c, bits)
+# The expressions over whole levels are written as SQL: one string instead of a tree of calls.
+_ASKED = "array<struct<level:int,node:bigint,lift:int,at:int>>"
+_BELOW = "element_at(levels, -1)"
+# The next level of full pairs; a lone right node is left out, as it is no perfect subtree.
+_PAIRED = f"""CASE WHEN size({_BELOW}) < 2 THEN CAST(array() AS array<binary>) ELSE
+  transform(sequence(1, CAST(size({_BELOW}) DIV 2 AS INT)),
+    i -> unhex(sha2(concat(X'01', element_at({_BELOW}, i * 2 - 1), element_at({_BELOW}, i * 2)), 256))) END"""
+# All levels above the nodes of one group, answered for what is asked, and the group's top node.
+_SOLVE = f"""aggregate(sequence(1, {ROUND_BITS}), array(nodes), (levels, n) -> concat(levels, array({_PAIRED})),
+  levels -> named_struct(
+    'picked', transform(coalesce(asked, CAST(array() AS {_ASKED})),
+      a -> named_struct('level', a.level, 'node', a.node, 'hash', get(get(levels, a.lift), a.at))),
+    'top', get(get(levels, {ROUND_BITS}), 0)))"""
 
 
 def needed_nodes(leaves: DataFrame, needs: DataFrame) -> DataFrame:
@@ -56,64 +43,44 @@ def needed_nodes(leaves: DataFrame, needs: DataFrame) -> DataFrame:
     """
     wanted = needs.select("source_id", "level", "node").distinct()
     current = leaves.select("source_id", F.col("idx").alias("node"), F.col("leaf").alias("hash"))
+    mask = (1 << ROUND_BITS) - 1
     found = []
     for number in range(ROUNDS):
         base = number * ROUND_BITS
-        last = number == ROUNDS - 1
-        group = shift(F.col("node"), ROUND_BITS)
-        offset = F.col("node").bitwiseAND(F.lit((1 << ROUND_BITS) - 1))
-        packed = F.transform(F.array_sort(F.collect_list(F.struct(offset.alias("o"), F.col("hash").alias("h")))),
-                             lambda x: x["h"])
-        blocks = current.withColumn("block", group).groupBy("source_id", "block").agg(packed.alias("nodes"))
-        # Level 10 of this round is level 0 of the next; only the last round answers for its own top.
-        upper = base + ROUND_BITS + (1 if last else 0)
-        mine = wanted.where((F.col("level") >= base) & (F.col("level") < upper))
-        lift = F.col("level") - base
-        per_block = mine.groupBy(
-            "source_id", F.call_function("shiftright", F.col("node"), (F.lit(ROUND_BITS) - lift).cast("int")).alias("block"),
-        ).agg(F.collect_list(F.struct(
-            F.col("level"), F.col("node"), lift.cast("int").alias("lift"),
-            F.col("node").bitwiseAND(shift_left(F.lit(1).cast("bigint"), (F.lit(ROUND_BITS) - lift).cast("int")) - 1)
-            .cast("int").alias("at"))).alias("asked"))
-
-        def answer(levels: Column) -> Column:
-            picked = F.transform(F.coalesce(F.col("asked"), F.array().cast(_ASKED)), lambda a: F.struct(
-                a["level"].alias("level"), a["node"].alias("node"),
-                F.get(F.get(levels, a["lift"]), a["at"]).alias("hash")))
-            return F.struct(picked.alias("picked"), F.get(F.get(levels, F.lit(ROUND_BITS)), F.lit(0)).alias("top"))
-
+        # The top of this round is level 0 of the next; only the last round answers for its own top.
+        upper = base + ROUND_BITS + (1 if number == ROUNDS - 1 else 0)
+        rise = f"({base + ROUND_BITS} - level)"
+        blocks = current.groupBy("source_id", F.expr(f"shiftright(node, {ROUND_BITS})").alias("block")).agg(
+            F.expr(f"transform(array_sort(collect_list(struct(node & {mask} AS o, hash AS h))), x -> x.h)").alias("nodes"))
+        per_block = wanted.where(f"level >= {base} AND level < {upper}").groupBy(
+            "source_id", F.expr(f"shiftright(node, {rise})").alias("block"),
+        ).agg(F.expr(
+            f"collect_list(struct(level, node, level - {base} AS lift, CAST(node & (shiftleft(1L, {rise}) - 1) AS INT) AS at))").alias("asked"))
+        # Generated rows keep the solution from being computed once per use.
         solved = (blocks.join(per_block, ["source_id", "block"], "left")
-                  .select("source_id", "block", F.explode(F.array(_levels_then(F.col("nodes"), answer))).alias("r")))
-        found.append(solved.select("source_id", F.inline("r.picked")))
-        current = solved.where(F.col("r.top").isNotNull()).select(
-            "source_id", F.col("block").alias("node"), F.col("r.top").alias("hash"))
+                  .select("source_id", "block", F.expr(f"explode(array({_SOLVE}))").alias("r")))
+        found.append(solved.select("source_id", F.expr("inline(r.picked)")))
+        current = solved.where("r.top IS NOT NULL").selectExpr("source_id", "block AS node", "r.top AS hash")
     return reduce(DataFrame.unionByName, found)
 
 
-_ASKED = "array<struct<level:int,node:bigint,lift:int,at:int>>"
-
-
-def range_parts(start_level: Column, size: Column) -> Column:
-    """Aligned nodes of [x, size) where x is the start of size's partial subtree at start_level.
+def range_parts(start_level: str, size: str) -> str:
+    """Aligned nodes of [x, size) where x is the start of size's partial subtree at start_level, as SQL.
 
     Every set bit b of size below start_level is one perfect subtree (b, (size >> b) - 1); with start_level
     above the highest bit this is the whole prefix tree.
     """
-    levels = F.filter(
-        F.sequence(F.lit(0), F.lit(MAX_LEVEL)),
-        lambda b: (b < start_level) & (F.call_function("shiftright", size, b).bitwiseAND(F.lit(1)) == 1))
-    return F.transform(levels, lambda b: F.struct(
-        b.cast("int").alias("level"), (F.call_function("shiftright", size, b) - 1).alias("node")))
+    return f"""transform(filter(sequence(0, {MAX_LEVEL}), b -> b < {start_level} AND (shiftright({size}, b) & 1) = 1),
+      b -> named_struct('level', b, 'node', shiftright({size}, b) - 1))"""
+
+
+# Root of consecutive perfect subtrees, array<struct<level, hash>>: a fold from right to left.
+_FOLD = """aggregate(slice(array_sort({parts}), 2, greatest(size({parts}) - 1, 0)), element_at(array_sort({parts}), 1).hash,
+  (right, p) -> unhex(sha2(concat(X'01', p.hash, right), 256)))"""
 
 
-def fold_parts(parts: Column) -> Column:
-    """Root of consecutive perfect subtrees given as array<struct<level, hash>>: fold right to left."""
-    ordered = F.array_sort(parts)
-    return F.aggregate(
-        F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))),
-        F.element_at(ordered, 1)["hash"],
-        lambda right, part: node_hash(part["hash"], right),
-    )
+def fold_parts(parts: str) -> Column:
+    return F.expr(_FOLD.format(parts=parts))
 
 
 def prefix_roots(leaves: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -122,16 +89,14 @@ def prefix_roots(leaves: DataFrame, sizes: DataFrame) -> DataFrame:
     A size beyond the leaves has no root and is left out.
     """
     asked = sizes.select("source_id", "size").distinct()
-    parts = asked.where(F.col("size") > 0).select(
-        "source_id", "size", F.explode(range_parts(F.lit(MAX_LEVEL + 1), F.col("size"))).alias("p")
-    ).select("source_id", "size", "p.level", "p.node")
+    parts = asked.where("size > 0").select(
+        "source_id", "size", F.expr(f"inline({range_parts(str(MAX_LEVEL + 1), 'size')})"))
     nodes = needed_nodes(leaves, parts)
     roots = (parts.join(nodes, ["source_id", "level", "node"], "left")
              .groupBy("source_id", "size")
-             .agg(F.collect_list(F.struct("level", "hash")).alias("parts"), F.count_if(F.col("hash").isNull()).alias("absent"))
-             .where(F.col("absent") == 0)
-             .select("source_id", "size", fold_parts(F.col("parts")).alias("root")))
-    empty = asked.where(F.col("size") == 0).select("source_id", "size", bytes_of(EMPTY_ROOT).alias("root"))
+             .agg(F.expr("collect_list(struct(level, hash))").alias("parts"), F.expr("count_if(hash IS NULL)").alias("absent"))
+             .where("absent = 0").select("source_id", "size", fold_parts("parts").alias("root")))
+    empty = asked.where("size = 0").select("source_id", "size", bytes_of(EMPTY_ROOT).alias("root"))
     return roots.unionByName(empty)
 
 

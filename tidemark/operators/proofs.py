@@ -2,110 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import node_hash
 from tidemark.operators.merkle import MAX_LEVEL, fold_parts, needed_nodes, range_parts
 
+_EMPTY_PATH = "CAST(array() AS array<binary>)"
+# How far the boundary leaf of an old tree rises as a right child (trailing one bits of old - 1), and where it gets.
+_START = "(bit_count((old - 1) ^ old) - 1)"
+_ORIGIN = f"shiftright(old - 1, {_START})"
 
-def _shr(c: Column, n: Column) -> Column:
-    return F.call_function("shiftright", c, n)
 
-
-def siblings(position: Column, size: Column, from_level: Column) -> Column:
-    """Siblings met on the way from ``position`` (at from_level) to the root of a tree of ``size`` leaves.
+def siblings(position: str, size: str, from_level: str) -> str:
+    """Siblings met on the way from ``position`` (at from_level) to the root of a tree of ``size`` leaves, as SQL.
 
     array<struct<level, node, side>>: side L for a left sibling, R for a right one. A node that is the last
     of its level with an even index has no sibling and is promoted.
     """
-    def at(level: Column) -> Column:
-        rise = (level - from_level).cast("int")
-        node, last = _shr(position, rise), _shr(size - 1, level)
-        odd = node.bitwiseAND(F.lit(1)) == 1
-        side = F.when(last == 0, F.lit(None)).when(odd, F.lit("L")).when(node < last, F.lit("R"))
-        return F.struct(level.alias("level"), F.when(odd, node - 1).otherwise(node + 1).alias("node"), side.alias("side"))
-
-    steps = F.transform(F.sequence(F.lit(0), F.lit(MAX_LEVEL - 1)), at)
-    return F.filter(steps, lambda s: (s["level"] >= from_level) & s["side"].isNotNull())
+    node = f"shiftright({position}, l - {from_level})"
+    last = f"shiftright({size} - 1, l)"
+    return f"""transform(
+      filter(sequence(0, {MAX_LEVEL - 1}), l -> l >= {from_level} AND {last} > 0 AND (({node} & 1) = 1 OR {node} < {last})),
+      l -> named_struct('level', l, 'node', {node} ^ 1, 'side', CASE WHEN ({node} & 1) = 1 THEN 'L' ELSE 'R' END))"""
 
 
 def _hash_steps(leaves: DataFrame, steps: DataFrame, key: list[str]) -> DataFrame:
     """Proof arrays from steps(key, size, step, level, node): perfect nodes, or the ragged right edge."""
-    last = _shr(F.col("size") - 1, F.col("level"))
-    whole = (F.col("node") < last) | (
-        F.call_function("shiftleft", F.col("node") + 1, F.col("level")) == F.col("size"))
-    parts = F.when(whole, F.array(F.struct(F.col("level").cast("int").alias("level"), F.col("node").alias("node")))).otherwise(
-        range_parts(F.col("level"), F.col("size")))
-    pieces = steps.select(*key, "step", F.explode(parts).alias("p")).select(
-        *key, "step", F.col("p.level").alias("level"), F.col("p.node").alias("node"))
+    whole = "node < shiftright(size - 1, level) OR shiftleft(node + 1, level) = size"
+    parts = f"CASE WHEN {whole} THEN array(named_struct('level', level, 'node', node)) ELSE {range_parts('level', 'size')} END"
+    pieces = steps.select(*key, "step", F.expr(f"explode({parts})").alias("p")).select(*key, "step", "p.level", "p.node")
     nodes = needed_nodes(leaves, pieces)
     hashed = (pieces.join(nodes, ["source_id", "level", "node"])
-              .groupBy(*key, "step").agg(fold_parts(F.collect_list(F.struct("level", "hash"))).alias("hash")))
+              .groupBy(*key, "step").agg(F.expr("collect_list(struct(level, hash))").alias("parts"))
+              .select(*key, "step", fold_parts("parts").alias("hash")))
     return hashed.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("step", "hash"))), lambda s: s["hash"]).alias("path"))
+        F.expr("transform(array_sort(collect_list(struct(step, hash))), s -> s.hash)").alias("path"))
 
 
 def inclusion_proofs(leaves: DataFrame, asked: DataFrame) -> DataFrame:
     """Audit paths for asked(source_id, idx, size): adds path array<binary> (leaf to root)."""
-    steps = asked.select(
-        "source_id", "idx", "size", F.posexplode(siblings(F.col("idx"), F.col("size"), F.lit(0))).alias("step", "s")
-    ).select("source_id", "idx", "size", "step", "s.level", "s.node")
+    steps = asked.select("source_id", "idx", "size", F.expr(f"posexplode({siblings('idx', 'size', '0')}) AS (step, s)")).select(
+        "source_id", "idx", "size", "step", "s.level", "s.node")
     paths = _hash_steps(leaves, steps, ["source_id", "idx", "size"])
-    return asked.join(paths, ["source_id", "idx", "size"], "left").withColumn(
-        "path", F.coalesce("path", F.array().cast("array<binary>")))
-
-
-def _start_level(old: Column) -> Column:
-    """Trailing one bits of old - 1: how far the boundary leaf rises as a right child."""
-    return F.bit_count((old - 1).bitwiseXOR(old)) - 1
+    return asked.join(paths, ["source_id", "idx", "size"], "left").withColumn("path", F.expr(f"coalesce(path, {_EMPTY_PATH})"))
 
 
 def consistency_proofs(leaves: DataFrame, asked: DataFrame) -> DataFrame:
     """Proofs that the tree of ``old`` leaves is a prefix of the tree of ``size``; adds path array<binary>."""
-    start = _start_level(F.col("old"))
-    origin = _shr(F.col("old") - 1, start)
-    anchor = F.when(origin > 0, F.array(F.struct(start.alias("level"), origin.alias("node"), F.lit("A").alias("side")))
-                    ).otherwise(F.array().cast("array<struct<level:int,node:bigint,side:string>>"))
-    chain = F.concat(anchor, siblings(origin, F.col("size"), start))
-    steps = asked.where((F.col("old") > 0) & (F.col("old") < F.col("size"))).select(
-        "source_id", "old", "size", F.posexplode(chain).alias("step", "s")
-    ).select("source_id", "old", "size", "step", "s.level", "s.node")
+    anchor = f"""CASE WHEN {_ORIGIN} > 0 THEN array(named_struct('level', {_START}, 'node', {_ORIGIN}, 'side', 'A'))
+      ELSE CAST(array() AS array<struct<level:int,node:bigint,side:string>>) END"""
+    chain = f"concat({anchor}, {siblings(_ORIGIN, 'size', _START)})"
+    steps = asked.where("old > 0 AND old < size").select(
+        "source_id", "old", "size", F.expr(f"posexplode({chain}) AS (step, s)")).select(
+        "source_id", "old", "size", "step", "s.level", "s.node")
     paths = _hash_steps(leaves, steps, ["source_id", "old", "size"])
-    return asked.join(paths, ["source_id", "old", "size"], "left").withColumn(
-        "path", F.coalesce("path", F.array().cast("array<binary>")))
+    return asked.join(paths, ["source_id", "old", "size"], "left").withColumn("path", F.expr(f"coalesce(path, {_EMPTY_PATH})"))
 
 
-def _climb(start: Column, path: Column, sides: Column, left_only: bool) -> Column:
+def _climb(start: str, path: str, sides: str, left_only: bool) -> str:
     """Folds a path onto start; with left_only, right siblings are skipped (the old tree's view)."""
-    def step(acc: Column, s: Column) -> Column:
-        right = acc if left_only else node_hash(acc, s["hash"])
-        return F.when(s["side"] == "L", node_hash(s["hash"], acc)).otherwise(right)
-
-    joined = F.zip_with(path, sides, lambda h, s: F.struct(h.alias("hash"), s["side"].alias("side")))
-    return F.aggregate(joined, start, step)
+    right = "acc" if left_only else "unhex(sha2(concat(X'01', acc, s.hash), 256))"
+    return f"""aggregate(zip_with({path}, {sides}, (h, s) -> named_struct('hash', h, 'side', s.side)), {start},
+      (acc, s) -> CASE WHEN s.side = 'L' THEN unhex(sha2(concat(X'01', s.hash, acc), 256)) ELSE {right} END)"""
 
 
 def verify_inclusion(proofs: DataFrame) -> DataFrame:
     """Adds ``included`` to (leaf, idx, size, path, root)."""
-    sides = siblings(F.col("idx"), F.col("size"), F.lit(0))
-    good = ((F.col("idx") < F.col("size")) & (F.size("path") == F.size(sides))
-            & (_climb(F.col("leaf"), F.col("path"), sides, False) == F.col("root")))
-    return proofs.withColumn("included", F.coalesce(good, F.lit(False)))
+    sides = siblings("idx", "size", "0")
+    good = f"idx < size AND size(path) = size({sides}) AND {_climb('leaf', 'path', sides, False)} = root"
+    return proofs.withColumn("included", F.expr(f"coalesce({good}, false)"))
 
 
 def verify_consistency(proofs: DataFrame) -> DataFrame:
     """Adds ``consistent`` to (old, size, path, old_root, root)."""
-    old, size, path = F.col("old"), F.col("size"), F.col("path")
-    start = _start_level(old)
-    origin = _shr(old - 1, start)
-    sides = siblings(origin, size, start)
-    power = old.bitwiseAND(old - 1) == 0
-    seed = F.when(power, F.col("old_root")).otherwise(F.get(path, F.lit(0)))
-    rest = F.when(power, path).otherwise(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))))
-    grown = ((F.size(rest) == F.size(sides)) & seed.isNotNull()
-             & (_climb(seed, rest, sides, True) == F.col("old_root"))
-             & (_climb(seed, rest, sides, False) == F.col("root")))
-    same = (F.size(path) == 0) & (F.col("old_root") == F.col("root"))
-    good = F.when((old <= 0) | (old > size), F.lit(False)).when(old == size, same).otherwise(grown)
-    return proofs.withColumn("consistent", F.coalesce(good, F.lit(False)))
+    power = "(old & (old - 1)) = 0"
+    # For a power of two the old root itself is the first node; otherwise the path states it.
+    ready = proofs.withColumns({
+        "_sides": F.expr(siblings(_ORIGIN, "size", _START)),
+        "_seed": F.expr(f"CASE WHEN {power} THEN old_root ELSE get(path, 0) END"),
+        "_rest": F.expr(f"CASE WHEN {power} THEN path ELSE slice(path, 2, greatest(size(path) - 1, 0)) END")})
+    grown = (f"size(_rest) = size(_sides) AND {_climb('_seed', '_rest', '_sides', True)} = old_root "
+             f"AND {_climb('_seed', '_rest', '_sides', False)} = root")
+    good = f"CASE WHEN old <= 0 OR old > size THEN false WHEN old = size THEN size(path) = 0 AND old_root = root ELSE {grown} END"
+    return ready.withColumn("consistent", F.expr(f"coalesce({good}, false)")).drop("_sides", "_seed", "_rest")
