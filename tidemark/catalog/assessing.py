@@ -129,18 +129,15 @@ def seq_gap_ranges(t: Tables):
 SELECT source_id, missing, gaps, seq_first, seq_last, ranges, listed
 FROM gap_totals JOIN seq_spread USING (source_id) JOIN range_lists USING (source_id)""")
 def a_seqgap(t: Tables):
-    gaps = a.sequence_gaps(a.distinct_sequences(user_log(t)))
-    return gaps.select(
-        "source_id", F.col("missing").cast("bigint").alias("missing"), "gaps",
-        F.col("seq_first").cast("bigint").alias("seq_first"), F.col("seq_last").cast("bigint").alias("seq_last"),
-        "ranges", F.col("ranges_listed").cast("bigint").alias("listed"))
+    facts = a.sequence_facts(a.gap_steps(a.distinct_sequences(user_log(t)))).where(F.col("gaps") > 0)
+    return facts.select("source_id", "missing", "gaps", "seq_first", "seq_last", "ranges", F.col("listed").cast("bigint").alias("listed"))
 
 
 @query("a_dup", f"""WITH {LINE_SQL}, {GAPS_SQL.format(log='line_log')}, {GAP_LISTS_SQL}
 SELECT source_id, repeated, vals FROM dup_lists""")
 def a_dup(t: Tables):
-    found = a.repeated_sequences(a.distinct_sequences(line_log(t)))
-    return found.select("source_id", "repeated", F.col("values").alias("vals"))
+    facts = a.sequence_facts(a.gap_steps(a.distinct_sequences(line_log(t))))
+    return facts.where(F.col("repeated") > 0).select("source_id", "repeated", F.col("values").alias("vals"))
 
 
 @query("hb_gaps_foreign", f"""WITH {USER_SQL}, {SILENCE_SQL}
@@ -153,14 +150,14 @@ def hb_gaps_foreign(t: Tables):
 SELECT source_id, untimed, outside, step_backs FROM time_counts""")
 def a_time(t: Tables):
     log = line_log(t)
-    counts = a.time_counts(log, LINE_POLICY.period)
+    counts = a.source_facts(log, LINE_POLICY.period).select("source_id", "untimed", "outside")
     return counts.join(a.step_backs(log, LINE_ORDER), "source_id", "left").fillna(0, ["step_backs"])
 
 
 @query("a_coverage", f"""WITH {USER_SQL}, {time_sql('user_log', 'seq, ordinal', USER_POLICY.period)}
 {coverage_sql(USER_POLICY.period)}""")
 def a_coverage(t: Tables):
-    return a.coverage_findings(a.source_span(user_log(t)), USER_POLICY.period)
+    return a.raised(a.source_facts(user_log(t)), [a.coverage_finding(USER_POLICY.period)])
 
 
 @query("source_span", f"""WITH {LINE_SQL} SELECT source_id, count(*) AS records, min(time_us) AS first_us, max(time_us) AS last_us

@@ -104,7 +104,7 @@ def written_registry(t: Tables) -> str:
         F.concat(F.lit("log/"), (key % 700).cast("string"), F.lit("/"), (F.call_function("div", key, F.lit(700).cast("bigint")) % 2).cast("string")).alias("origin"),
         F.col("c_name").alias("key_name"), base64_text(F.unhex(F.sha2(F.encode("c_name", "UTF-8"), 256))).alias("public_key"))
     documents = (t.read("customer").groupBy(F.call_function("div", key, F.lit(100).cast("bigint")).alias("doc"))
-                 .agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), entry.alias("e")))), lambda x: x["e"]).alias("sources")))
+                 .agg(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), entry.alias("e")))), lambda x: x["e"]).alias("sources")))
     documents.repartitionByRange(4, "doc").sortWithinPartitions("doc").select("sources").write.json(path)
     return path
 
@@ -141,7 +141,7 @@ def blobs(t: Tables) -> DataFrame:
     """Segment blobs of the users' chains, 16 frames each."""
     encoded = fr.frame_bytes(F.col("record_bytes"), F.unhex("claimed_hash"))
     segment = F.call_function("div", F.col("seq") - 1, F.lit(BLOB_FRAMES).cast("bigint"))
-    packed = F.array_sort(F.collect_list(F.struct("seq", F.hex(encoded).alias("h"))))
+    packed = F.sort_array(F.collect_list(F.struct("seq", F.hex(encoded).alias("h"))))
     content = F.unhex(F.array_join(F.transform(packed, lambda x: x["h"]), ""))
     return (frames(t).groupBy("source_id", segment.alias("segment")).agg(content.alias("content"))
             .withColumn("path", F.concat("source_id", F.lit("/"), F.col("segment").cast("string"))))

@@ -112,7 +112,8 @@ SELECT source_id, 1 AS ord, 'A-INPUT' AS id, 'medium' AS severity, 'malformed in
   'Re-export cleanly, or check that the mapping profile matches the source shape.' AS recommendation FROM per, bad WHERE malformed > 0 AND malformed / (records + malformed) >= 0.001""")
 def a_input(t: Tables):
     mapped = map_lines(event_lines(t), GENERIC)
-    return a.input_findings(a.source_span(mapped.where(~F.col("malformed"))), a.count_malformed(mapped))
+    facts = a.source_facts(mapped.where(~F.col("malformed")))
+    return a.raised(a.with_malformed(facts, a.count_malformed(mapped)), [a.input_finding()])
 
 
 @query("profile_cloudtrail", """SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'cloudtrail' ELSE lower(o_orderpriority) || '.example' END AS source_id, epoch_us(o_orderdate) AS time_us,

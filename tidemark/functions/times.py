@@ -72,19 +72,22 @@ def rounded_seconds(ns: Column, unit: int = 1_000_000_000) -> Column:
     return idiv(ns + F.lit(unit // 2), unit)
 
 
-def _two(c: Column) -> Column:
-    return F.lpad(c.cast("string"), 2, "0")
+def _clock(seconds: Column, pattern: str) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), pattern)
 
 
 def format_span(us: Column, unit: int = 1_000_000) -> Column:
-    """Observation span scaled up to days: 5s, 2m03s, 4h05m, 6d07h."""
+    """Observation span scaled up to days: 5s, 2m03s, 4h05m, 6d07h.
+
+    Seconds since midnight are printed by the date formatter, which keeps the generated code small.
+    """
     s = rounded_seconds(us, unit)
     return (
         F.when(us <= 0, F.lit("0s"))
-        .when(s < 60, F.concat(s.cast("string"), F.lit("s")))
-        .when(s < 3600, F.concat(idiv(s, 60).cast("string"), F.lit("m"), _two(s % 60), F.lit("s")))
-        .when(s < 86400, F.concat(idiv(s, 3600).cast("string"), F.lit("h"), _two(idiv(s % 3600, 60)), F.lit("m")))
-        .otherwise(F.concat(idiv(s, 86400).cast("string"), F.lit("d"), _two(idiv(s % 86400, 3600)), F.lit("h")))
+        .when(s < 60, _clock(s, "s's'"))
+        .when(s < 3600, _clock(s, "m'm'ss's'"))
+        .when(s < 86400, _clock(s, "H'h'mm'm'"))
+        .otherwise(F.concat(idiv(s, 86400).cast("string"), F.lit("d"), _clock(s, "HH'h'")))
     )
 
 
@@ -105,23 +108,20 @@ def span_text(us: int) -> str:
 def format_minutes(ns: Column) -> Column:
     """Report duration capped at minutes; a dash for zero."""
     s = rounded_seconds(ns)
-    m = idiv(s, 60)
     return (
         F.when(ns == 0, F.lit("—"))
-        .when(m == 0, F.concat(s.cast("string"), F.lit("s")))
-        .otherwise(F.concat(m.cast("string"), F.lit("m"), _two(s % 60), F.lit("s")))
+        .when(s < 60, _clock(s, "s's'"))
+        .otherwise(F.concat(idiv(s, 60).cast("string"), F.lit("m"), _clock(s, "ss's'")))
     )
 
 
 def format_duration(ns: Column) -> Column:
     """Duration rounded to seconds as 1h2m3s, 2m0s, 5s."""
     s = rounded_seconds(ns)
-    h, m = idiv(s, 3600), idiv(s % 3600, 60)
-    return F.concat(
-        F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(F.lit("")),
-        F.when((h > 0) | (m > 0), F.concat(m.cast("string"), F.lit("m"))).otherwise(F.lit("")),
-        (s % 60).cast("string"),
-        F.lit("s"),
+    return (
+        F.when(s < 60, _clock(s, "s's'"))
+        .when(s < 3600, _clock(s, "m'm's's'"))
+        .otherwise(F.concat(idiv(s, 3600).cast("string"), F.lit("h"), _clock(s, "m'm's's'")))
     )
 
 

@@ -29,7 +29,7 @@ def ordered_digests(items: DataFrame, key: str, order: str, data: str, limit: in
     large = sizes.where(F.col("_bytes") > limit).select(key)
     some_large = not large.isEmpty()
     small = picked.join(large, key, "left_anti") if some_large else picked
-    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.hex(data).alias("h"))))
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.hex(data).alias("h"))))
     joined = F.unhex(F.array_join(F.transform(packed, lambda x: x["h"]), ""))
     flat = small.groupBy(key).agg(
         F.count("*").alias("records"), F.sha2(joined, 256).alias("digest")).withColumn("digest_kind", F.lit(FLAT))

@@ -147,7 +147,7 @@ def parse_requests(bodies: DataFrame) -> DataFrame:
 
 def wrap_payload(labels: Column, payload: Column) -> Column:
     """Folds labels into the payload; without labels the payload stays as it is."""
-    ordered = F.map_from_entries(F.array_sort(F.map_entries(labels)))
+    ordered = F.map_from_entries(F.sort_array(F.map_entries(labels)))
     wrapped = F.concat(F.lit('{"labels":'), F.to_json(ordered), F.lit(',"data":'),
                        F.coalesce(F.nullif(payload, F.lit("")), F.lit("null")), F.lit("}"))
     return F.when(F.coalesce(F.size(labels), F.lit(0)) > 0, wrapped).otherwise(payload)

@@ -51,7 +51,7 @@ def needed_nodes(leaves: DataFrame, needs: DataFrame) -> DataFrame:
         upper = base + ROUND_BITS + (1 if number == ROUNDS - 1 else 0)
         rise = f"({base + ROUND_BITS} - level)"
         blocks = current.groupBy("source_id", F.expr(f"shiftright(node, {ROUND_BITS})").alias("block")).agg(
-            F.expr(f"transform(array_sort(collect_list(struct(node & {mask} AS o, hash AS h))), x -> x.h)").alias("nodes"))
+            F.expr(f"transform(sort_array(collect_list(struct(node & {mask} AS o, hash AS h))), x -> x.h)").alias("nodes"))
         per_block = wanted.where(f"level >= {base} AND level < {upper}").groupBy(
             "source_id", F.expr(f"shiftright(node, {rise})").alias("block"),
         ).agg(F.expr(
@@ -75,7 +75,7 @@ def range_parts(start_level: str, size: str) -> str:
 
 
 # Root of consecutive perfect subtrees, array<struct<level, hash>>: a fold from right to left.
-_FOLD = """aggregate(slice(array_sort({parts}), 2, greatest(size({parts}) - 1, 0)), element_at(array_sort({parts}), 1).hash,
+_FOLD = """aggregate(slice(sort_array({parts}), 2, greatest(size({parts}) - 1, 0)), element_at(sort_array({parts}), 1).hash,
   (right, p) -> unhex(sha2(concat(X'01', p.hash, right), 256)))"""
 
 

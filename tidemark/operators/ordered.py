@@ -20,7 +20,7 @@ def block_of(order: Column, width: int = BLOCK_WIDTH) -> Column:
 
 
 def stitched_lag(df: DataFrame, keys: list[str], order: str, columns: list[str],
-                 width: int = BLOCK_WIDTH, prefix: str = "prev_") -> DataFrame:
+                 width: int = BLOCK_WIDTH, prefix: str = "prev_", keep_block: bool = False) -> DataFrame:
     """Adds ``prev_<c>``: the value of c in the preceding row of the same keys.
 
     ``order`` must be an integer that is unique within the keys. The large side is shuffled once, by
@@ -35,7 +35,7 @@ def stitched_lag(df: DataFrame, keys: list[str], order: str, columns: list[str],
     local = {f"_local_{c}": F.lag(c).over(inside) for c in columns}
     joined = blocked.withColumns({**local, "_opens": F.row_number().over(inside) == 1}).join(seams, [*keys, BLOCK], "left")
     previous = {f"{prefix}{c}": F.when(F.col("_opens"), F.col(f"_entry_{c}")).otherwise(F.col(f"_local_{c}")) for c in columns}
-    return joined.withColumns(previous).drop(*local, "_opens", *[f"_entry_{c}" for c in columns], BLOCK)
+    return joined.withColumns(previous).drop(*local, "_opens", *[f"_entry_{c}" for c in columns], *([] if keep_block else [BLOCK]))
 
 
 def stitched_running(df: DataFrame, keys: list[str], order: str, out: str, value: Column, kind: str = "sum",

@@ -36,7 +36,7 @@ def _hash_steps(leaves: DataFrame, steps: DataFrame, key: list[str]) -> DataFram
               .groupBy(*key, "step").agg(F.expr("collect_list(struct(level, hash))").alias("parts"))
               .select(*key, "step", fold_parts("parts").alias("hash")))
     return hashed.groupBy(*key).agg(
-        F.expr("transform(array_sort(collect_list(struct(step, hash))), s -> s.hash)").alias("path"))
+        F.expr("transform(sort_array(collect_list(struct(step, hash))), s -> s.hash)").alias("path"))
 
 
 def inclusion_proofs(leaves: DataFrame, asked: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def policy_json(default_days: Column, frameworks: Column | None = None) -> Colum
     head = F.concat(F.lit('{"default_days":'), default_days.cast("string"))
     if frameworks is None:
         return F.concat(head, F.lit("}"))
-    ordered = F.map_from_entries(F.array_sort(F.map_entries(frameworks)))
+    ordered = F.map_from_entries(F.sort_array(F.map_entries(frameworks)))
     return F.concat(head, F.when(F.size(frameworks) > 0, F.concat(F.lit(',"frameworks":'), F.to_json(ordered))
                                  ).otherwise(F.lit("")), F.lit("}"))
 

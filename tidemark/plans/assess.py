@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,21 +37,27 @@ def assess_findings(foreign: DataFrame, caps: Capabilities, policy: AssessPolicy
                     malformed: DataFrame | None = None) -> DataFrame:
     """Findings of all sources, in the order A-INPUT, A-SEQGAP, A-DUP, A-HBGAP, A-TIME, A-COVERAGE.
 
-    A missing capability means its branch is not part of the plan at all.
+    Every analysis ends in facts per source; the facts are joined to one wide row per source, and the findings
+    are read off that row. A missing capability means its branch is not part of the plan at all.
     """
-    spans = a.source_span(foreign)
-    found = []
+    period = policy.period
+    wide = a.source_facts(foreign, period)
+    findings = []
     if malformed is not None:
-        found.append(a.input_findings(spans, malformed))
+        wide = a.with_malformed(wide, malformed)
+        findings.append(a.input_finding())
     if caps.sequenced:
-        sequences = a.distinct_sequences(foreign)
-        found += [a.gap_findings(sequences), a.duplicate_findings(sequences)]
+        steps = a.gap_steps(a.distinct_sequences(foreign))
+        wide = (wide.join(a.sequence_facts(steps), "source_id", "left")
+                .join(a.step_backs(foreign, order), "source_id", "left"))
+        findings += [a.gap_finding(), a.duplicate_finding()]
     if caps.heartbeats:
-        found.append(a.silence_findings(a.silences(foreign, policy.max_silence_us), policy.max_silence_us))
-    found.append(a.time_findings(foreign, order if caps.sequenced else None, policy.period))
-    if policy.period != (None, None):
-        found.append(a.coverage_findings(spans, policy.period))
-    return reduce(DataFrame.unionByName, found)
+        wide = wide.join(a.silence_facts(a.silences(foreign, policy.max_silence_us)), "source_id", "left")
+        findings.append(a.silence_finding(policy.max_silence_us))
+    findings.append(a.time_finding(caps.sequenced))
+    if period != (None, None):
+        findings.append(a.coverage_finding(period))
+    return a.raised(wide, findings)
 
 
 def finding_counts(sources: DataFrame, findings: DataFrame) -> DataFrame:
