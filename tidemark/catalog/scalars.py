@@ -8,7 +8,7 @@ from tidemark.catalog.base import Tables, query
 from tidemark.catalog.logs import micros, sql_duration, sql_minutes, sql_span
 from tidemark.functions import hashing as h
 from tidemark.functions import ids, notes, times
-from tidemark.operators.mapping import extract, parse_uint64
+from tidemark.operators.mapping import parse_uint64, with_fields
 from tidemark.plans.report import assurance_tier
 
 
@@ -64,11 +64,9 @@ def json_paths(t: Tables):
         F.lit('","list":["first",{"name":"second"}],"7":'), F.col("user_id").cast("string"),
         F.lit(',"none":null},"ok":true,"wide":18446744073709551615,"twice":"first","twice":"last"}'))
     rows = t.read("events").select("event_id", line.alias("raw")).withColumn("v", F.try_parse_json("raw"))
-    text = lambda path: extract(path, F.col("v"), F.col("raw"))[1]
-    return rows.select(
-        "event_id", text("id").alias("plain"), text("user.arn").alias("nested"), text("user.list.1.name").alias("in_array"),
-        text("user.7").alias("numeric_key"), text("user.list").alias("container"), text("user.none").alias("null_leaf"),
-        text("ok").alias("flag"), text("wide").alias("wide"), text("user.missing.deep").alias("absent"), text("twice").alias("repeated"))
+    paths = {"plain": "id", "nested": "user.arn", "in_array": "user.list.1.name", "numeric_key": "user.7", "container": "user.list",
+             "null_leaf": "user.none", "flag": "ok", "wide": "wide", "absent": "user.missing.deep", "repeated": "twice"}
+    return with_fields(rows, paths, "v", "raw").select("event_id", *[F.col(f"{name}_text").alias(name) for name in paths])
 
 
 @query("parse_uint64", """SELECT event_id, CASE event_id % 8 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 5 THEN CAST(9007199254740992 + event_id AS VARCHAR)
@@ -80,7 +78,8 @@ def parse_uint64_values(t: Tables):
         m2=F.concat(F.lit("-"), number), m3=F.concat(number, F.lit(".0")), m4=F.lit("true"),
         m5=(F.col("event_id") + 9007199254740992).cast("string"), m6=F.lit("18446744073709551615"))
     rows = t.read("events").select("event_id", F.concat(F.lit('{"n":'), value, F.lit("}")).alias("raw")).withColumn("v", F.try_parse_json("raw"))
-    return rows.select("event_id", parse_uint64(*extract("n", F.col("v"), F.col("raw"))).cast("string").alias("seq"))
+    fields = with_fields(rows, {"n": "n"}, "v", "raw")
+    return fields.select("event_id", parse_uint64(F.col("n_kind"), F.col("n_text")).cast("string").alias("seq"))
 
 
 @query("digest_valid", """SELECT o_orderkey, o_orderkey % 3 = 0 AS hex_ok, CASE WHEN o_orderkey % 3 <> 2 THEN octet_length(unhex(CASE o_orderkey % 3 WHEN 0 THEN sha256(o_orderpriority) ELSE left(sha256(o_orderpriority), 62) END)) END AS bytes,

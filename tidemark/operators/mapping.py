@@ -28,29 +28,34 @@ def json_paths(dotted: str) -> list[str]:
     return ["$" + "".join(parts) for parts in product(*options)]
 
 
-def _typed_text(variant: Column, raw: Column, path: str) -> tuple[Column, Column]:
-    """(type name, text) of one path. Numbers keep their source text, objects and arrays have none."""
-    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
-    text = F.try_variant_get(variant, path, "string")
-    source_text = F.get_json_object(raw, path)
-    same_number = source_text.try_cast("double").eqNullSafe(text.try_cast("double"))
-    is_container = kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID")
-    is_text = kind.isin("STRING", "BOOLEAN")
-    shown = F.when(is_container, F.lit("")).when(is_text, text).when(same_number, source_text).otherwise(text)
-    return kind, shown
-
-
-def extract(dotted: str, variant: Column, raw: Column) -> tuple[Column, Column]:
-    """(type, text) at a dotted path: null when absent or JSON null, "" for an object or array."""
-    if not dotted:
-        return F.lit(None).cast("string"), F.lit(None).cast("string")
-    kinds, texts = [], []
-    for path in json_paths(dotted):
-        kind, text = _typed_text(variant, raw, path)
-        present = kind.isNotNull() & (kind != "VOID")
-        kinds.append(F.when(present, kind))
-        texts.append(F.when(present, text))
-    return F.coalesce(*kinds), F.coalesce(*texts)
+def with_fields(df: DataFrame, fields: dict[str, str], variant: str = "_json", raw: str = "value") -> DataFrame:
+    """Adds ``<name>_kind`` and ``<name>_text`` for each dotted path: null when absent or JSON null.
+
+    Numbers keep their source text; an object or array has the text "". Every path is read once: the steps
+    are separate projections, so that no later expression evaluates an earlier one again.
+    """
+    spelled = [(name, i, path) for name, dotted in fields.items() if dotted for i, path in enumerate(json_paths(dotted))]
+    places = {(name, i): f"_{name}_{i}" for name, i, _ in spelled}
+    found = df.withColumns({f"{places[n, i]}_v": F.try_variant_get(variant, path, "variant") for n, i, path in spelled})
+    kinds = found.withColumns({f"{places[n, i]}_k": F.schema_of_variant(F.col(f"{places[n, i]}_v")) for n, i, _ in spelled})
+    texts = {}
+    for name, i, path in spelled:
+        kind, value = F.col(f"{places[name, i]}_k"), F.try_variant_get(f"{places[name, i]}_v", "$", "string")
+        source_text = F.get_json_object(raw, path)
+        is_container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        # Of repeated keys the last one counts, but the raw reader finds the first: it is believed only for the same number.
+        same_number = source_text.try_cast("double").eqNullSafe(value.try_cast("double"))
+        texts[f"{places[name, i]}_t"] = (
+            F.when(kind.isNull() | (kind == "VOID"), F.lit(None)).when(kind.isin("STRING", "BOOLEAN"), value)
+            .when(is_container, F.lit("")).when(same_number, source_text).otherwise(value))
+    shown = kinds.withColumns(texts)
+    out = {}
+    for name, dotted in fields.items():
+        mine = [places[n, i] for n, i, _ in spelled if n == name]
+        null = F.lit(None).cast("string")
+        out[f"{name}_kind"] = F.coalesce(*[F.when(F.col(f"{m}_k") != "VOID", F.col(f"{m}_k")) for m in mine]) if mine else null
+        out[f"{name}_text"] = F.coalesce(*[F.col(f"{m}_t") for m in mine]) if mine else null
+    return shown.withColumns(out).drop(*[f"{m}_{c}" for m in places.values() for c in "vkt"])
 
 
 def parse_uint64(kind: Column, text: Column) -> Column:
@@ -62,22 +67,19 @@ def parse_uint64(kind: Column, text: Column) -> Column:
     return F.when(usable & fits, value)
 
 
-def mapped_string(fm: FieldMap | None, fallback: str, variant: Column, raw: Column) -> Column:
+def mapped_string(fm: FieldMap | None, fallback: str, text: str) -> Column:
     if fm is None:
         return F.lit(fallback)
     if fm.const:
         return F.lit(fm.const)
     last = fm.default or fallback
-    if not fm.field:
-        return F.lit(last)
-    return F.coalesce(F.nullif(extract(fm.field, variant, raw)[1], F.lit("")), F.lit(last))
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(last)) if fm.field else F.lit(last)
 
 
-def heartbeat_flag(hm: HeartbeatMatch | None, variant: Column, raw: Column) -> Column:
+def heartbeat_flag(hm: HeartbeatMatch | None, text: str) -> Column:
     if hm is None or not hm.field:
         return F.lit(False)
-    text = extract(hm.field, variant, raw)[1]
-    return F.coalesce(text.isin(hm.equals, *hm.types), F.lit(False))
+    return F.coalesce(F.col(text).isin(hm.equals, *hm.types), F.lit(False))
 
 
 def map_lines(lines: DataFrame, profile: Profile, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
@@ -88,29 +90,40 @@ def map_lines(lines: DataFrame, profile: Profile, max_line_bytes: int = MAX_LINE
     """
     profile.validate()
     caps = profile.capabilities()
-    variant, raw = F.col("_json"), F.col("value")
+    stamp = profile.timestamp
     trimmed = lines.withColumn("value", F.btrim("value", F.lit(WHITE_SPACE))).where(F.col("value") != "")
     too_long = F.octet_length("value") > max_line_bytes
     parsed = trimmed.withColumn("_json", F.when(~too_long, F.try_parse_json("value")))
-    root = F.schema_of_variant(variant)
-    malformed = ~F.coalesce(root.startswith("OBJECT") | (root == "VOID"), F.lit(False))
+    root = F.schema_of_variant(F.try_variant_get("_json", "$", "variant"))
+    shaped = parsed.withColumn("_root", F.when(F.col("_json").isNotNull(), root))
+    malformed = ~F.coalesce(F.col("_root").startswith("OBJECT") | (F.col("_root") == "VOID"), F.lit(False))
+
+    mapped = {"f_source": profile.source_id, "f_time": stamp, "f_seq": profile.sequence if caps.sequenced else None,
+              "f_type": profile.event_type, "f_actor": profile.actor, "f_beat": profile.heartbeat}
+    # Mappings that name the same field share one extraction.
+    paths = {name: fm.field for name, fm in mapped.items() if fm is not None and fm.field}
+    first = {}
+    for name, dotted in paths.items():
+        first.setdefault(dotted, name)
+    fields = with_fields(shaped, {name: dotted for dotted, name in first.items()})
+    column = {name: first[dotted] for name, dotted in paths.items()}
+    kind = lambda name: f"{column.get(name, '_none')}_kind"
+    text = lambda name: f"{column.get(name, '_none')}_text"
 
-    stamp = profile.timestamp
     time_us = F.lit(None).cast("bigint")
     if stamp is not None and stamp.field:
-        kind, text = extract(stamp.field, variant, raw)
-        wanted = ~kind.isin("BOOLEAN") if stamp.layout in UNIX_LAYOUTS else kind == "STRING"
-        time_us = F.when(wanted, parse_layout_us(text, stamp.layout))
+        wanted = F.col(kind("f_time")) != "BOOLEAN" if stamp.layout in UNIX_LAYOUTS else F.col(kind("f_time")) == "STRING"
+        time_us = F.when(wanted, parse_layout_us(F.col(text("f_time")), stamp.layout))
     seq = F.lit(None).cast("decimal(20,0)")
-    if caps.sequenced:
-        seq = parse_uint64(*extract(profile.sequence.field, variant, raw))
-    return parsed.select(
+    if "f_seq" in paths:
+        seq = parse_uint64(F.col(kind("f_seq")), F.col(text("f_seq")))
+    return fields.select(
         *lines.columns,
         malformed.alias("malformed"),
-        mapped_string(profile.source_id, DEFAULT_SOURCE, variant, raw).alias("source_id"),
+        mapped_string(profile.source_id, DEFAULT_SOURCE, text("f_source")).alias("source_id"),
         seq.alias("seq"),
         time_us.alias("time_us"),
-        (mapped_string(profile.event_type, "", variant, raw) if caps.typed else F.lit("")).alias("type"),
-        (mapped_string(profile.actor, "", variant, raw) if caps.actors else F.lit("")).alias("actor"),
-        heartbeat_flag(profile.heartbeat, variant, raw).alias("heartbeat"),
+        mapped_string(profile.event_type, "", text("f_type")).alias("type"),
+        mapped_string(profile.actor, "", text("f_actor")).alias("actor"),
+        heartbeat_flag(profile.heartbeat, text("f_beat")).alias("heartbeat"),
     )
