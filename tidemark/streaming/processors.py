@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -268,6 +270,8 @@ class HeadProcessor(StatefulProcessor):
 
 
 def transform(stream: DataFrame, key: str, processor: StatefulProcessor, timed: bool = False) -> DataFrame:
+    # The process that prepares a stateful query does not get the shipped package, so processors travel by value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if timed else "None")
