@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.notes import SIGNATURE_PREFIX, strict_base64
+from tidemark.operators.ordered import stitched_running
 from tidemark.sources.jsonl import scan_jsonl, with_ordinals
 
 REGISTRY = "sources array<struct<source_id:string,origin:string,key_name:string,public_key:string>>"
@@ -24,10 +25,17 @@ def scan_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_bundle_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Notes of a bundle's concatenated text file: each ends with its signature line."""
-    whole = spark.read.option("wholetext", True).text(path)
-    pattern = f"(?s)(.*?\\n{SIGNATURE_PREFIX}[^\\n]*\\n)"
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("pos", "note"))
+    """Notes of a bundle's concatenated text file: (pos, note). A signature line closes a note.
+
+    The lines are read in parallel; the signature lines before a line number its note.
+    """
+    lines = with_ordinals(scan_jsonl(spark, [path])).select("ordinal", "value")
+    closes = F.col("value").startswith(SIGNATURE_PREFIX)
+    numbered = stitched_running(lines, [], "ordinal", "pos", closes.cast("bigint"), "sum", False)
+    packed = F.sort_array(F.collect_list(F.struct("ordinal", "value")))
+    notes = numbered.groupBy("pos").agg(F.bool_or(closes).alias("closed"), packed.alias("lines"))
+    text = F.concat(F.array_join(F.transform("lines", lambda x: x["value"]), "\n"), F.lit("\n"))
+    return notes.where("closed").select("pos", text.alias("note"))
 
 
 def scan_registry(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -36,7 +44,7 @@ def scan_registry(spark: SparkSession, path: str, whole_files: bool = False) ->
     reg_pos follows registration order. A key that is not 32 bytes fails the job.
     """
     if whole_files:
-        documents = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("ordinal"), "value")
+        documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("ordinal"), "value")
     else:
         documents = _lines(spark, path)
     parsed = documents.select("ordinal", F.from_json("value", REGISTRY).alias("d"))
