@@ -60,6 +60,11 @@ def verify_bundle(spark: SparkSession, directory: str, notes: DataFrame | None =
             "source_id", F.when(integrity, F.lit("checkpoint binding")).otherwise(F.lit("continuity")).alias("label"),
             F.when(integrity, F.lit("fail")).otherwise(F.lit("info")).alias("status"),
             F.concat(F.lit("["), "id", F.lit("] "), "title").alias("detail")))
+        good = verification.results.where(F.col("chain_valid") & F.col("consistent"))
+        rows.append(good.select(
+            "source_id", F.lit("checkpoints").alias("label"), F.lit("pass").alias("status"),
+            F.concat(F.col("signatures_valid").cast("string"), F.lit(" signed, "), F.col("roots_valid").cast("string"),
+                     F.lit(" roots valid: chain bound to signed checkpoints")).alias("detail")))
     return reduce(DataFrame.unionByName, rows)
 
 
