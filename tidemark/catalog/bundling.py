@@ -256,5 +256,5 @@ def bundle_verdict(t: Tables):
     path, _ = written_bundle(t)
     stored = reg.split_bundle_notes(t.spark, f"{path}/checkpoints.txt")
     notes = cps.parse_notes(stored.select(F.lit("events").alias("source_id"), "note")).withColumn("pos", F.col("size"))
-    checked = cps.verify_signatures(notes, signers(t))
+    checked = materialise(cps.verify_signatures(notes, signers(t)), "checked")
     return plan.bundle_verdict(plan.verify_bundle(t.spark, path, checked))
