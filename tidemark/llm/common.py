@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from tidemark.sources.store import materialise
 
 # White space of the word rule: words are [^\x20\x09-\x0D]+, which is what bytes.split() gives in Python.
 SPACE = r"[\x20\x09-\x0D]+"
+SLICE_BYTES = 8 << 20
 # Rows of an Arrow batch; documents are long, so the default of 10,000 would be tens of megabytes and more.
 BATCH_ROWS = "1000"
 
@@ -51,3 +55,27 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, label: str, max_ro
     """docs without the rows whose id is in ids (one column). Rows with a null id stay."""
     gone = stored_small(ids.select(F.col(ids.columns[0]).alias("_gone")).where("_gone is not null").distinct(), label, max_rows)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES):
+    """A batch in row ranges whose texts come to at most ``most`` bytes, or of one row."""
+    if batch.num_rows == 0:
+        return
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+    start = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and total + size > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    yield batch.slice(start)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text with A-Z in lower case, as UTF-8 (bytes.lower and bytes.split know ASCII only)."""
+    return text.encode().lower().split() if text else []
+
+
+def remainder_of_five(id_col: str) -> Column:
+    """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5

@@ -71,10 +71,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = marked.where("not suspect").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "digest")
     suspects = marked.where("suspect")
-    groups = suspects.groupBy("digest").agg(
-        F.count("*").alias("group_size"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
-    grouped = suspects.join(groups, "digest").select(
-        "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "digest")
+    # Written, so that the join has a shuffle on both sides and a hot group's rows can be split among tasks.
+    groups = materialise(
+        suspects.groupBy("digest").agg(F.count("*").alias("group_size"),
+                                       F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
+        .where("group_size > 1").select("digest", "group_size", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row")),
+        "exact-groups")
+    grouped = suspects.join(groups, "digest", "left").select(
+        "id", F.when(F.col("keep_row").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"), "digest")
     return alone.unionByName(grouped).select(
         F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, exact, sharding
-from tidemark.llm.common import table
+from tidemark.llm import bpe, decontam, exact, sharding, suffix_tree
+from tidemark.llm.common import remainder_of_five, table
 
 SHARDS = 24
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +18,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffix_tree.learn_and_score(docs, remainder_of_five("doc_id") == 1)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -26,6 +40,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_tree": op3_suffix_tree,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_decontamination": op10_decontamination,
 }
