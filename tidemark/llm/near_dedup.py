@@ -312,10 +312,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     comps = comps if comps is not None else components(links)
     roots = classes.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     roots = materialise(roots.select("digest", "rep", F.coalesce("comp", "rep").alias("root")), "near-roots")
-    out = sketched.join(roots, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"),
-        F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"), F.coalesce("rep", "id").alias("class_id"))
-    return out
+    known = F.col("id").isNotNull()
+    component = F.when(known, F.coalesce("root", "id"))
+    return sketched.join(roots, "digest", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), F.when(known, F.coalesce("rep", "id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
