@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import ZERO_HASH
 from tidemark.operators import captured as cap
-from tidemark.operators import chain, checkpoints as cps, continuity as con, intervals, proofs, retention as ret
+from tidemark.operators import chain, checkpoints as cps, continuity as con, intake, intervals, proofs, retention as ret
 from tidemark.operators.digests import ordered_digests
-from tidemark.operators.merkle import merkle_roots, prefix_roots
+from tidemark.operators.merkle import MAX_LEVEL, merkle_roots, prefix_roots, range_parts
 from tidemark.operators.ordered import spans_between, stitched_lag, stitched_row_number, stitched_running
 from tidemark.operators.segments import segments_by_age
 
@@ -212,12 +212,33 @@ def test_segment_seal_rule(spark):
     assert [r["segment"] for r in segments_by_age(df, 256, 60, 256).orderBy("seq").collect()] == [0, 0, 1]
 
 
-def test_digest_kinds(spark):
-    rows = [("small", i, bytearray(b"x%d" % i)) for i in range(3)] + [("large", i, bytearray(b"y%d" % i)) for i in range(50)]
-    got = {r["k"]: r for r in ordered_digests(spark.createDataFrame(rows, "k string, o bigint, d binary"), "k", "o", "d", limit=20).collect()}
-    assert (got["small"]["digest"], got["small"]["digest_kind"]) == (hashlib.sha256(b"x0x1x2").hexdigest(), "sha256")
-    leaves = [hashlib.sha256(b"\x00y%d" % i).digest() for i in range(50)]
-    assert (got["large"]["digest"], got["large"]["digest_kind"], got["large"]["records"]) == (root_of(leaves).hex(), "merkle", 50)
+def test_one_digest_at_every_size(spark):
+    rows = [(f"k{n}", 7 * i, bytearray(b"x%d" % i)) for n in (1, 3, 50, 64) for i in range(n)]
+    got = {r["k"]: r for r in ordered_digests(spark.createDataFrame(rows, "k string, o bigint, d binary"), "k", "o", "d").collect()}
+    for n in (1, 3, 50, 64):
+        leaves = [hashlib.sha256(b"\x00x%d" % i).digest() for i in range(n)]
+        assert (got[f"k{n}"]["digest"], got[f"k{n}"]["records"]) == (root_of(leaves).hex(), n)
+
+
+def test_sizes_of_any_bigint(spark):
+    sizes = [1, 2**40 + 1, 2**39 - 1, 2**62 - 1, 2**61 + 2**20 + 5]
+    parts = spark.createDataFrame([(n,) for n in sizes], "size bigint").select("size", F.expr(f"inline({range_parts(str(MAX_LEVEL + 1), 'size')})"))
+    covered = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.sum(F.expr("shiftleft(1L, level)")).alias("n")).collect()}
+    assert covered == {n: n for n in sizes}
+
+
+def test_first_release_wins(spark):
+    held = spark.createDataFrame([("a", None), ("b", "done")], "hold_id string, released_at string")
+    asked = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 4), ("c", 5)], "hold_id string, pos bigint")
+    assert {r["pos"]: r["status"] for r in ret.release_requests(asked, held, "pos").collect()} == {
+        1: "released", 2: "already_released", 3: "already_released", 4: "already_released", 5: "not_found"}
+
+
+def test_second_delivery_is_a_duplicate(spark):
+    schema = "source_id string, seq_first bigint, seq_last bigint, root binary, pos bigint"
+    delivered = spark.createDataFrame([("s", 1, 2, bytearray(b"r"), 1), ("s", 1, 2, bytearray(b"r"), 2), ("s", 3, 4, bytearray(b"q"), 3)], schema)
+    stored = spark.createDataFrame([("s", 3, 4, bytearray(b"q"), 0)], schema)
+    assert {r["pos"]: r["duplicate"] for r in intake.flag_duplicates(delivered, stored, "pos").collect()} == {1: False, 2: True, 3: True}
 
 
 def test_forks(spark):
@@ -240,10 +261,10 @@ def holds(spark, *ranges):
 
 @pytest.mark.parametrize("held, gone", [([], ["a", "b"]), ([(None, None)], []), ([(5, 8)], ["b"]), ([(10, 11)], []), ([(21, 30)], ["a", "b"])])
 def test_retention(spark, held, gone):
-    out = ret.expire(segments(spark), holds(spark, *held), 30, "2025-12-01T00:00:00.000000000Z", "2026-01-02T00:00:00.000000000Z")
+    out = ret.expire(segments(spark), holds(spark, *held), 30, "2025-12-31T00:00:00.000000000Z")
     assert sorted(r["segment_id"] for r in out.where("expired").collect()) == gone
     assert out.count() == 3
-    off = ret.expire(segments(spark), holds(spark, *held), 0, "2026-12-01T00:00:00.000000000Z", "x")
+    off = ret.expire(segments(spark), holds(spark, *held), 0, "2026-12-01T00:00:00.000000000Z")
     assert off.where("expired").count() == 0
 
 

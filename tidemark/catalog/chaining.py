@@ -133,9 +133,10 @@ def captured_span(t: Tables):
         format_pinned(F.col("last_ns")).alias("time_last"), "encrypted", "key_id")
 
 
-@query("input_digest", f"""WITH {WHOLE_SQL}
-SELECT source_id, count(*) AS records, sha256(unhex(string_agg(sha256(record), '' ORDER BY ordinal))) AS digest, 'sha256' AS digest_kind
-FROM whole_log GROUP BY source_id""")
+@query("input_digest", f"""WITH {WHOLE_SQL},
+leaves AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY ordinal) - 1 AS i, sha256(unhex('00') || unhex(sha256(record))) AS h FROM whole_log),
+{merkle_sql('leaves', 'd')}
+SELECT source_id, records, h AS digest FROM {root_name('d')} JOIN (SELECT source_id, count(*) AS records FROM leaves GROUP BY source_id) USING (source_id)""")
 def input_digest(t: Tables):
     hashed = whole_log(t).select("source_id", "ordinal", sha_bin(F.col("record_bytes")).alias("hash"))
     return ordered_digests(hashed, "source_id", "ordinal", "hash")
@@ -160,7 +161,7 @@ def asked_inclusions(t: Tables):
     log = whole_log(t)
     segment = F.call_function("div", F.col("seq") - 1, F.lit(256).cast("bigint"))
     last = log.groupBy("source_id").agg(F.max("seq").alias("last"))
-    return (log.join(F.broadcast(last), "source_id").select(
+    return (log.join(last, "source_id").select(
         "source_id", (F.col("seq") - 1).alias("idx"), F.least((segment + 1) * 256, F.col("last")).alias("size")))
 
 

@@ -18,7 +18,8 @@ from tidemark.plans import lifecycle as plan
 
 PER_SEGMENT = 16
 AS_OF = "2024-02-01T00:00:00.000000000Z"
-CUTOFF = "2024-01-20T00:00:00.000000000Z"
+KEEP_DAYS = 12
+CUTOFF = ret.cutoff_of(AS_OF, KEEP_DAYS)
 
 
 def user_records(t: Tables) -> DataFrame:
@@ -163,11 +164,11 @@ def deliveries(t: Tables) -> tuple[DataFrame, DataFrame]:
     return delivered, segments.where(F.col("segment") % 3 == 0)
 
 
-@query("segment_dedup", f"""WITH {SEGMENTS_SQL} SELECT source_id, seq_first, seq_last, g.delivery, segment % 3 = 0 AS duplicate
+@query("segment_dedup", f"""WITH {SEGMENTS_SQL} SELECT source_id, seq_first, seq_last, g.delivery, segment % 3 = 0 OR g.delivery > 1 AS duplicate
 FROM segs, (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS delivery) g WHERE g.delivery <= (CAST(source_id AS BIGINT) + segment) % 3 + 1""")
 def segment_dedup(t: Tables):
     delivered, stored = deliveries(t)
-    return intake.flag_duplicates(delivered, stored).select("source_id", "seq_first", "seq_last", "delivery", "duplicate")
+    return intake.flag_duplicates(delivered, stored, "delivery").select("source_id", "seq_first", "seq_last", "delivery", "duplicate")
 
 
 @query("ingest_segments", f"""WITH {SEGMENTS_SQL}, {CONTIGUITY_SQL}
@@ -266,7 +267,7 @@ after AS (SELECT segment_id, source_id, segment, seq_first, seq_last, root, crea
 
 
 def expired_segments(t: Tables) -> DataFrame:
-    return ret.expire(user_segments(t), holds(t), 12, CUTOFF, AS_OF)
+    return ret.expire(user_segments(t), holds(t), KEEP_DAYS, AS_OF)
 
 
 @query("retention_expire", f"WITH {SEGMENTS_SQL}, {HOLDS_SQL}, {HELD_SQL}, {EXPIRED_SQL} SELECT segment_id, source_id, seq_first, seq_last, deleted_at, expired FROM after")
@@ -281,12 +282,12 @@ UNION ALL SELECT source_id, kind, '{{"has_range":' || (seq_first IS NOT NULL) ||
   || ',"seq_last":' || coalesce(seq_last, 0) || ',"source_id":"' || source_id || '"}}' FROM holds, (SELECT unnest(['system.legal_hold_placed', 'system.legal_hold_released']) AS kind)
   WHERE kind = 'system.legal_hold_placed' OR released_at IS NOT NULL""")
 def lifecycle_events(t: Tables):
-    run = plan.run_retention(user_segments(t), holds(t), 12, CUTOFF, AS_OF)
+    run = plan.run_retention(user_segments(t), holds(t), KEEP_DAYS, AS_OF)
     return run.events.unionByName(plan.hold_events(holds(t)))
 
 
-@query("hold_events", f"""WITH {HOLDS_SQL}, releases AS (SELECT 'hold-' || lpad(CAST(o_custkey + 100 AS VARCHAR), 10, '0') AS hold_id, o_orderkey FROM orders)
-SELECT 'release' AS request, CAST(o_orderkey AS VARCHAR) AS ref, CASE WHEN h.hold_id IS NULL THEN 'not_found' WHEN h.released_at IS NOT NULL THEN 'already_released' ELSE 'released' END AS status
+@query("hold_events", f"""WITH {HOLDS_SQL}, releases AS (SELECT 'hold-' || lpad(CAST(o_custkey + 100 AS VARCHAR), 10, '0') AS hold_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn FROM orders)
+SELECT 'release' AS request, CAST(o_orderkey AS VARCHAR) AS ref, CASE WHEN h.hold_id IS NULL THEN 'not_found' WHEN h.released_at IS NOT NULL OR turn > 1 THEN 'already_released' ELSE 'released' END AS status
 FROM releases LEFT JOIN holds h USING (hold_id)
 UNION ALL SELECT 'place', CAST(p_partkey AS VARCHAR), CASE p_partkey % 6 WHEN 0 THEN 'missing_source_id' WHEN 1 THEN 'missing_reason' WHEN 2 THEN 'bad_range' WHEN 3 THEN 'bad_range' ELSE 'placed' END FROM part""")
 def hold_events(t: Tables):
@@ -298,9 +299,9 @@ def hold_events(t: Tables):
         F.when(m == 2, F.lit(9)).when(m == 3, F.lit(4)).when(m == 4, F.lit(3)).cast("bigint").alias("seq_first"),
         F.when(m == 2, F.lit(5)).when(m == 4, F.lit(8)).cast("bigint").alias("seq_last"))
     releasing = t.read("orders").select(
-        F.col("o_orderkey").cast("string").alias("ref"), F.concat(F.lit("hold-"), F.lpad((F.col("o_custkey") + 100).cast("string"), 10, "0")).alias("hold_id"))
+        "o_orderkey", F.col("o_orderkey").cast("string").alias("ref"), F.concat(F.lit("hold-"), F.lpad((F.col("o_custkey") + 100).cast("string"), 10, "0")).alias("hold_id"))
     placed = ret.place_requests(placing).select(F.lit("place").alias("request"), "ref", "status")
-    released = ret.release_requests(releasing, holds(t)).select(F.lit("release").alias("request"), "ref", "status")
+    released = ret.release_requests(releasing, holds(t), "o_orderkey").select(F.lit("release").alias("request"), "ref", "status")
     return placed.unionByName(released)
 
 

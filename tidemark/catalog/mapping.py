@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import Tables, query
+from tidemark.catalog.sqltext import merkle_sql, root_name
 from tidemark.operators import assess as a
 from tidemark.operators.mapping import map_lines
 from tidemark.session import scratch_path
@@ -99,9 +100,11 @@ def limit_truncate(t: Tables):
     return jsonl.truncation(capped, CAP, 0)
 
 
-@query("line_digest", f"""WITH {SCANNED_SQL}
-SELECT source_id, count(*) AS records, sha256(string_agg(value || chr(10), '' ORDER BY ordinal)) AS digest, 'sha256' AS digest_kind FROM scanned WHERE NOT malformed GROUP BY source_id
-UNION ALL SELECT NULL, count(*), sha256(string_agg(value || chr(10), '' ORDER BY ordinal)), 'sha256' FROM scanned""")
+@query("line_digest", f"""WITH {SCANNED_SQL},
+items AS (SELECT source_id, ordinal, value FROM scanned WHERE NOT malformed UNION ALL SELECT '*', ordinal, value FROM scanned),
+leaves AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY ordinal) - 1 AS i, sha256(unhex('00') || encode(value || chr(10))) AS h FROM items),
+{merkle_sql('leaves', 'd')}
+SELECT nullif(source_id, '*') AS source_id, records, h AS digest FROM {root_name('d')} JOIN (SELECT source_id, count(*) AS records FROM leaves GROUP BY source_id) USING (source_id)""")
 def line_digest(t: Tables):
     return jsonl.line_digests(scanned(t))
 

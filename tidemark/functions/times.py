@@ -48,7 +48,8 @@ def parse_layout_us(text: Column, layout: str) -> Column:
     if layout in UNIX_LAYOUTS:
         number = text.try_cast("double")
         scale = 1_000 if layout == "unixms" else 1_000_000
-        usable = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(9.0e12))
+        # What BIGINT microseconds hold.
+        usable = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(9.2e18 / scale))
         return F.when(usable, number.cast("bigint") * F.lit(scale))
     if layout in ("", "rfc3339", "rfc3339nano"):
         zone = F.regexp_extract(text, r"(Z|[+-]\d\d:\d\d)$", 1)

@@ -23,7 +23,6 @@ from tidemark.operators.ordered import BLOCK_WIDTH, stitched_lag, stitched_row_n
 RECORD_FIELDS = ("v int, source_id string, seq bigint, event_type string, event_time string, ingest_time string, "
                  "actor string, outcome string, payload_clear string, payload_ct string, payload_hash string, "
                  "key_id string, prev_hash string")
-RUN_ROWS = 1 << 20
 
 
 def parse_record(record_bytes: Column) -> Column:
@@ -54,11 +53,12 @@ def assign_sequence(events: DataFrame, order: str, heads: DataFrame | None = Non
             .withColumn("seq", F.col("seq") + F.coalesce("last_seq", F.lit(0))).drop("last_seq"))
 
 
-def split_runs(events: DataFrame, rows: int = RUN_ROWS) -> DataFrame:
+def split_runs(events: DataFrame, rows: int) -> DataFrame:
     """Bounds a chain: records past ``rows`` of one source go to further sources (``id~1``, ``id~2``, ...).
 
     Each is a complete source of its own, numbered from 1 and starting at the genesis link, so a backfill of
-    one very large source becomes many chains that are built and checked in parallel.
+    one very large source becomes many chains that are built and checked in parallel. The run length is part of the identity
+    of the sources it makes, so the caller states it and keeps to it.
     """
     run = F.call_function("div", F.col("seq") - 1, F.lit(rows).cast("bigint"))
     return events.withColumn("_run", run).withColumns({

@@ -1,8 +1,7 @@
 """Digests that bind a result to the exact records it was computed from.
 
-A SHA-256 over a whole source is one serial pass, so it is computed only for keys whose bytes are within a
-checked limit. Beyond it the digest is the Merkle root over the same items in the same order, which commits to
-every byte and position as well and is computed in parallel. ``digest_kind`` says which one a row holds.
+A digest is the RFC 6962 Merkle root over the items of a key in order. It commits to every byte and position as a serial
+SHA-256 does, is computed in parallel, and means the same for a key of three records and one of a trillion.
 """
 
 from __future__ import annotations
@@ -14,31 +13,12 @@ from tidemark.functions.hashing import hex_lower, leaf_hash
 from tidemark.operators.merkle import merkle_roots
 from tidemark.operators.ordered import stitched_row_number
 
-FLAT_LIMIT_BYTES = 4 << 20
-FLAT, TREE = "sha256", "merkle"
 
+def ordered_digests(items: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    """(key, records, digest) over the binary column ``data`` in ``order`` (unique integer).
 
-def ordered_digests(items: DataFrame, key: str, order: str, data: str, limit: int = FLAT_LIMIT_BYTES) -> DataFrame:
-    """(key, records, digest, digest_kind) over the binary column ``data`` in ``order`` (unique integer).
-
-    Asks once whether any key is over the limit, so that the common plan has no tree in it. ``items`` is read
-    up to three times: pass a written table, not a long computation.
+    ``items`` is read more than once: pass a written table, not a long computation.
     """
-    picked = items.select(key, order, data)
-    sizes = picked.groupBy(key).agg(F.count("*").alias("records"), F.sum(F.octet_length(data)).alias("_bytes"))
-    large = sizes.where(F.col("_bytes") > limit).select(key)
-    some_large = not large.isEmpty()
-    small = picked.join(large, key, "left_anti") if some_large else picked
-    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.hex(data).alias("h"))))
-    joined = F.unhex(F.array_join(F.transform(packed, lambda x: x["h"]), ""))
-    flat = small.groupBy(key).agg(
-        F.count("*").alias("records"), F.sha2(joined, 256).alias("digest")).withColumn("digest_kind", F.lit(FLAT))
-    if not some_large:
-        return flat
-    rows = stitched_row_number(picked.join(large, key, "left_semi"), [key], order, "_n")
-    leaves = rows.select(F.col(key).alias("source_id"), (F.col("_n") - 1).alias("idx"),
-                         leaf_hash(F.col(data)).alias("leaf"))
-    tree = merkle_roots(leaves).select(
-        F.col("source_id").alias(key), F.col("size").alias("records"), hex_lower(F.col("root")).alias("digest"),
-        F.lit(TREE).alias("digest_kind"))
-    return flat.unionByName(tree)
+    rows = stitched_row_number(items.select(key, order, data), [key], order, "_n")
+    leaves = rows.select(F.col(key).alias("source_id"), (F.col("_n") - 1).alias("idx"), leaf_hash(F.col(data)).alias("leaf"))
+    return merkle_roots(leaves).select(F.col("source_id").alias(key), F.col("size").alias("records"), hex_lower(F.col("root")).alias("digest"))

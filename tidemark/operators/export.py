@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -73,10 +74,15 @@ def manifest_facts(records: DataFrame, chosen: RecordFilter) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, directory: str) -> DataFrame:
-    """(file, sha256) of every data file of a bundle; files are bounded by RECORDS_PER_FILE."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(directory)
-    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
-    return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256")).where(~F.col("file").startswith("manifest"))
+    """(file, sha256) of every file of a bundle but the manifest's own and the writer's success marks.
+
+    Files are named by their path below the bundle, whatever they are called, so that a file slipped in is seen. Spark's
+    reader skips names that begin with a dot or an underscore; they are no part of what a reader of the bundle gets.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    root = directory.rstrip("/").rsplit("/", 1)[-1]
+    name = F.regexp_replace(F.element_at(F.split("path", "/" + re.escape(root) + "/"), -1), "^/+", "")
+    return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256")).where(~F.col("file").rlike("^manifest(-files)?/"))
 
 
 def write_bundle(records: DataFrame, chosen: RecordFilter, directory: str, notes: DataFrame | None = None,

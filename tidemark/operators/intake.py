@@ -59,12 +59,12 @@ def record_error() -> Column:
     ])
 
 
-def frame_status() -> Column:
+def frame_status(max_bytes: int = MAX_FRAME_BYTES) -> Column:
     """Check of one frame (record_bytes, claimed_hash hex)."""
     size = F.octet_length("record_bytes")
     return first_rule([
         (~F.col("claimed_hash").rlike("^[0-9a-fA-F]{64}$"), "digest_length"),
-        ((size == 0) | (size > MAX_FRAME_BYTES), "frame_length"),
+        ((size == 0) | (size > max_bytes), "frame_length"),
         (sha_hex(F.col("record_bytes")) != F.lower("claimed_hash"), "hash_mismatch"),
     ])
 
@@ -116,13 +116,15 @@ def new_segments(delivered: DataFrame, stored: DataFrame) -> DataFrame:
     return delivered.join(stored.select(*DELIVERY_KEY), DELIVERY_KEY, "left_anti").dropDuplicates(DELIVERY_KEY)
 
 
-def flag_duplicates(delivered: DataFrame, stored: DataFrame) -> DataFrame:
+def flag_duplicates(delivered: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """Adds ``duplicate``: the segment is stored already, or an earlier delivery (by ``order``, unique per key) brings it."""
     known = stored.select(*DELIVERY_KEY).distinct().withColumn("_known", F.lit(True))
-    return delivered.join(known, DELIVERY_KEY, "left").withColumn(
-        "duplicate", F.coalesce("_known", F.lit(False))).drop("_known")
+    first = delivered.groupBy(*DELIVERY_KEY).agg(F.min(order).alias("_first"))
+    return delivered.join(first.join(known, DELIVERY_KEY, "left"), DELIVERY_KEY).withColumn(
+        "duplicate", F.col("_known").isNotNull() | (F.col(order) > F.col("_first"))).drop("_known", "_first")
 
 
-def request_status(trusted_origin: Column | None = None) -> Column:
+def request_status(trusted_origin: Column | None = None, max_body: int = MAX_BODY_BYTES) -> Column:
     """Code for a request row with body (JSON text) and its parsed struct ``request``."""
     event_type = F.coalesce("request.event_type", F.lit(""))
     event_time = F.coalesce("request.event_time", F.lit(""))
@@ -132,7 +134,7 @@ def request_status(trusted_origin: Column | None = None) -> Column:
     if trusted_origin is not None:
         reserved = reserved & ~trusted_origin
     return first_rule([
-        (F.octet_length("body") > MAX_BODY_BYTES, "body_too_large"),
+        (F.octet_length("body") > max_body, "body_too_large"),
         (~F.coalesce(valid_json, F.lit(False)), "invalid_json"),
         (event_type == "", "missing_event_type"),
         (~F.coalesce("request.outcome", F.lit("")).isin(*OUTCOMES), "bad_outcome"),

@@ -14,7 +14,7 @@ def merge_ranges(ranges: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     """Overlapping or adjacent (source_id, lo, hi) merged into disjoint ranges."""
     starts = ranges.groupBy("source_id", "lo").agg(F.max("hi").alias("hi"))
     reached = stitched_running(starts, ["source_id"], "lo", "_reach", F.col("hi"), "max", False, width)
-    opens = F.coalesce((F.col("lo") > F.col("_reach") + 1).cast("bigint"), F.lit(1).cast("bigint"))
+    opens = F.coalesce((F.col("lo") - 1 > F.col("_reach")).cast("bigint"), F.lit(1).cast("bigint"))
     islands = stitched_running(reached.withColumn("_opens", opens), ["source_id"], "lo", "_island", F.col("_opens"), "sum",
                                True, width)
     return islands.groupBy("source_id", "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")

@@ -11,7 +11,7 @@ from tidemark.functions.times import UNIX_LAYOUTS, parse_layout_us
 from tidemark.sources.profiles import FieldMap, HeartbeatMatch, Profile
 
 DEFAULT_SOURCE = "assessed-source"
-MAX_LINE_BYTES = 16 << 20
+INTEGER = "^-?[0-9]{1,38}$"
 MAX_UINT64 = "18446744073709551615"
 # The Unicode White_Space characters, trimmed from both ends of a line.
 WHITE_SPACE = " \t\n\v\f\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -44,7 +44,10 @@ def with_fields(df: DataFrame, fields: dict[str, str], variant: str = "_json", r
         source_text = F.get_json_object(raw, path)
         is_container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         # Of repeated keys the last one counts, but the raw reader finds the first: it is believed only for the same number.
-        same_number = source_text.try_cast("double").eqNullSafe(value.try_cast("double"))
+        # Integers are compared digit by digit, as doubles cannot tell neighbours beyond 2^53 apart.
+        whole = source_text.rlike(INTEGER) & value.rlike(INTEGER)
+        same_number = F.when(whole, source_text.try_cast("decimal(38,0)").eqNullSafe(value.try_cast("decimal(38,0)"))).otherwise(
+            source_text.try_cast("double").eqNullSafe(value.try_cast("double")))
         texts[f"{places[name, i]}_t"] = (
             F.when(kind.isNull() | (kind == "VOID"), F.lit(None)).when(kind.isin("STRING", "BOOLEAN"), value)
             .when(is_container, F.lit("")).when(same_number, source_text).otherwise(value))
@@ -82,17 +85,17 @@ def heartbeat_flag(hm: HeartbeatMatch | None, text: str) -> Column:
     return F.coalesce(F.col(text).isin(hm.equals, *hm.types), F.lit(False))
 
 
-def map_lines(lines: DataFrame, profile: Profile, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def map_lines(lines: DataFrame, profile: Profile, max_line_bytes: int | None = None) -> DataFrame:
     """Adds ``malformed`` and the normalised fields to lines with a ``value`` column.
 
-    Blank lines are dropped. A line over the byte cap, or whose first JSON value is neither an object nor
+    Blank lines are dropped. A line over a byte cap, where the caller names one, or whose first JSON value is neither an object nor
     null, is malformed. Other columns of ``lines`` (input, file, position) pass through.
     """
     profile.validate()
     caps = profile.capabilities()
     stamp = profile.timestamp
     trimmed = lines.withColumn("value", F.btrim("value", F.lit(WHITE_SPACE))).where(F.col("value") != "")
-    too_long = F.octet_length("value") > max_line_bytes
+    too_long = F.lit(False) if max_line_bytes is None else F.octet_length("value") > max_line_bytes
     parsed = trimmed.withColumn("_json", F.when(~too_long, F.try_parse_json("value")))
     # What parses and starts like an object or null is one; anything else is malformed.
     starts = F.col("value").startswith("{") | F.col("value").startswith("null")

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import EMPTY_ROOT, bytes_of
 
 ROUND_BITS = 13
-ROUNDS = 3  # 39 levels: half a trillion leaves in one source
-MAX_LEVEL = ROUND_BITS * ROUNDS
+ROUNDS = 5  # 65 levels: every size that a BIGINT holds; rounds above the data are empty and are dropped while it runs
+MAX_LEVEL = 62
 
 # The expressions over whole levels are written as SQL: one string instead of a tree of calls.
 _ASKED = "array<struct<level:int,node:bigint,lift:int,at:int>>"

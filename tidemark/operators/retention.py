@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,22 @@ def flag_held(segments: DataFrame, holds: DataFrame) -> DataFrame:
     return overlapping(segments, "seq_first", "seq_last", hold_ranges(holds)).withColumnRenamed("overlaps", "held")
 
 
-def expire(segments: DataFrame, holds: DataFrame, default_days: int, cutoff: str, as_of: str) -> DataFrame:
+def cutoff_of(as_of: str, days: int) -> str:
+    """The pinned time ``days`` whole days before a pinned time; its nanoseconds stay."""
+    day = datetime.date.fromisoformat(as_of[:10]) - datetime.timedelta(days=days)
+    return day.isoformat() + as_of[10:]
+
+
+def expire(segments: DataFrame, holds: DataFrame, default_days: int, as_of: str) -> DataFrame:
     """The next state of the segment table: expired segments carry deleted_at, everything else stays.
 
-    Adds ``expired`` for the rows of this run. default_days <= 0 switches deletion off.
+    Adds ``expired`` for the rows of this run. What was created ``default_days`` or longer before ``as_of`` is due, so the
+    policy in the evidence is the one applied. default_days <= 0 switches deletion off.
     """
     if default_days <= 0:
         return segments.withColumn("expired", F.lit(False))
     flagged = flag_held(segments, holds)
-    due = F.col("deleted_at").isNull() & (F.col("created_at") < cutoff) & ~F.col("held")
+    due = F.col("deleted_at").isNull() & (F.col("created_at") < cutoff_of(as_of, default_days)) & ~F.col("held")
     return (flagged.withColumn("expired", due)
             .withColumn("deleted_at", F.when(F.col("expired"), F.lit(as_of)).otherwise(F.col("deleted_at"))).drop("held"))
 
@@ -77,19 +86,19 @@ def expired_ranges(tombstoned: DataFrame) -> DataFrame:
     return tombstoned.select("source_id", "seq_first", text.alias("expired_range"))
 
 
-def page_size(requested: int) -> int:
-    return PAGE_MAX if requested == 0 or requested > PAGE_MAX else requested
+def page_size(requested: int, most: int = PAGE_MAX) -> int:
+    return most if requested == 0 or requested > most else requested
 
 
-def list_page(rows: DataFrame, key: str, requested: int, token: str = "", source_id: str = "") -> DataFrame:
+def list_page(rows: DataFrame, key: str, requested: int, token: str = "", source_id: str = "", most: int = PAGE_MAX) -> DataFrame:
     """One keyset page in key order; ``next_token`` is the last key when more rows follow, else empty."""
-    size = page_size(requested)
+    size = page_size(requested, most)
     if source_id:
         rows = rows.where(F.col("source_id") == source_id)
     if token:
         rows = rows.where(F.col(key) > token)
     peeked = rows.orderBy(key).limit(size + 1)
-    # The page holds at most PAGE_MAX + 1 rows, so ranking it in one task is bounded.
+    # The page holds at most ``most`` + 1 rows, so ranking it in one task is bounded.
     whole = Window.orderBy(key)
     ranked = peeked.withColumns({
         "_rank": F.row_number().over(whole),
@@ -134,9 +143,10 @@ def place_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumn("status", status)
 
 
-def release_requests(requests: DataFrame, holds: DataFrame) -> DataFrame:
-    """Adds ``status``: released, already_released or not_found."""
-    known = holds.select("hold_id", F.lit(True).alias("_known"), F.col("released_at").isNotNull().alias("_done"))
-    status = (F.when(F.col("_known").isNull(), F.lit("not_found"))
-              .when(F.col("_done"), F.lit("already_released")).otherwise(F.lit("released")))
-    return requests.join(known, "hold_id", "left").withColumn("status", status).drop("_known", "_done")
+def release_requests(requests: DataFrame, holds: DataFrame, order: str) -> DataFrame:
+    """Adds ``status``: released, already_released or not_found. Of several requests for a hold the first by ``order`` releases it."""
+    first = requests.groupBy("hold_id").agg(F.min(order).alias("_first"))
+    known = holds.select("hold_id", F.col("released_at").isNotNull().alias("_done")).join(first, "hold_id")
+    status = (F.when(F.col("_done").isNull(), F.lit("not_found"))
+              .when(F.col("_done") | (F.col(order) > F.col("_first")), F.lit("already_released")).otherwise(F.lit("released")))
+    return requests.join(known, "hold_id", "left").withColumn("status", status).drop("_first", "_done")

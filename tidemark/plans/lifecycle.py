@@ -55,8 +55,8 @@ def hold_events(holds: DataFrame) -> DataFrame:
     return placed.unionByName(released)
 
 
-def run_retention(segments: DataFrame, holds: DataFrame, default_days: int, cutoff: str, as_of: str) -> RetentionRun:
+def run_retention(segments: DataFrame, holds: DataFrame, default_days: int, as_of: str) -> RetentionRun:
     """Expires what is due at ``as_of`` (an argument, never the clock) and says so in evidence rows."""
-    after = ret.expire(segments, holds, default_days, cutoff, as_of)
+    after = ret.expire(segments, holds, default_days, as_of)
     policy = f'{{"default_days":{default_days}}}'
     return RetentionRun(after.drop("expired"), deletion_events(after.where("expired"), policy))

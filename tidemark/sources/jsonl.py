@@ -11,7 +11,6 @@ from tidemark.operators.digests import ordered_digests
 from tidemark.operators.ordered import running_in_blocks
 
 SPLIT = ["input_pos", "file", "split"]
-MAX_RECORDS, MAX_BYTES = 10_000_000, 4 << 30
 
 
 def scan_jsonl(spark: SparkSession, inputs: list[str]) -> DataFrame:
@@ -33,7 +32,7 @@ def with_ordinals(lines: DataFrame) -> DataFrame:
     return running_in_blocks(lines, [], SPLIT, ["row"], "ordinal", F.lit(1).cast("bigint"))
 
 
-def apply_caps(mapped: DataFrame, max_records: int = MAX_RECORDS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def apply_caps(mapped: DataFrame, max_records: int = 0, max_bytes: int = 0) -> DataFrame:
     """Lines up to and including the one that reaches a cap; 0 means no cap. Needs map_lines output with SPLIT."""
     good = (~F.col("malformed")).cast("bigint")
     counted = running_in_blocks(mapped, [], SPLIT, ["row"], "_kept", good, "sum", False)
@@ -46,7 +45,7 @@ def apply_caps(mapped: DataFrame, max_records: int = MAX_RECORDS, max_bytes: int
     return sized.where(within).drop("_kept", "_read")
 
 
-def truncation(capped: DataFrame, max_records: int = MAX_RECORDS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def truncation(capped: DataFrame, max_records: int = 0, max_bytes: int = 0) -> DataFrame:
     """One row: lines, malformed, bytes_read, truncated and why."""
     totals = capped.agg(
         F.count("*").alias("lines"), F.count_if("malformed").alias("malformed"),
