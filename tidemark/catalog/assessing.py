@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import Tables, query
 from tidemark.catalog.logs import DAY_US, LINE_ORDER, LINE_SQL, USER_SQL, line_log, sql_span, user_log
+from tidemark.catalog.sqltext import finding_select
+from tidemark.functions.texts import COVERAGE_PARTS, CUT, TIME_PARTS, filled_sql, quoted
 from tidemark.functions.times import span_text
 from tidemark.operators import assess as a
 from tidemark.plans import assess as plan
@@ -30,31 +32,15 @@ dup_lists AS (SELECT source_id, string_agg(copies || '×' || seq, ', ' ORDER BY
         FROM distinct_seqs WHERE copies > 1) WHERE r <= 20 GROUP BY source_id)"""
 
 
-def finding_select(ident, ord_, severity, title, detail, advice, source):
-    return (f"SELECT source_id, {ord_} AS ord, '{ident}' AS id, '{severity}' AS severity, '{title}' AS title, "
-            f"{detail} AS detail, '{advice}' AS recommendation FROM {source}")
-
-
 GAP_FINDING_SQL = finding_select(
-    "A-SEQGAP", 2, "high", "sequence gap in exported data",
-    "missing || ' sequence number(s) missing between ' || seq_first || ' and ' || seq_last || ': ' || ranges || '.' || "
-    "CASE WHEN listed < missing AND listed = 20 THEN ' (ranges truncated)' ELSE '' END || "
-    "' Indicative only: these numbers are from an unsigned export and cannot be proven to have existed.'",
-    "Capture at the source so that sequence continuity becomes provable (Tier 1+).",
-    "gap_totals JOIN seq_spread USING (source_id) JOIN range_lists USING (source_id)")
-DUP_FINDING_SQL = finding_select(
-    "A-DUP", 3, "medium", "duplicate sequence numbers",
-    "'repeated sequence numbers (count×value): ' || vals || '. Often a double export or an upstream re-emission.'",
-    "De-duplicate the export, or check whether the source reuses sequence numbers.", "dup_lists")
+    "A-SEQGAP", 2, "gap_totals JOIN seq_spread USING (source_id) JOIN range_lists USING (source_id)", missing="missing", seq_first="seq_first",
+    seq_last="seq_last", ranges="ranges", cut=f"CASE WHEN listed < missing AND listed = 20 THEN {quoted(CUT)} ELSE '' END")
+DUP_FINDING_SQL = finding_select("A-DUP", 3, "dup_lists", values="vals")
 SILENCE_SQL = f"""silence AS (SELECT * FROM (
   SELECT source_id, lag(time_us) OVER (PARTITION BY source_id ORDER BY time_us) AS start_us, time_us AS end_us
   FROM user_log WHERE heartbeat) WHERE end_us - start_us > {DAY_US}),
 silence_totals AS (SELECT source_id, count(*) AS n, max(end_us - start_us) AS longest FROM silence GROUP BY source_id)"""
-SILENCE_FINDING_SQL = finding_select(
-    "A-HBGAP", 4, "high", "observation gap between heartbeats",
-    f"n || ' silence(s) exceeded the max-silence policy ({span_text(DAY_US)}); longest ' || {sql_span('longest')} || "
-    "'. Indicative: without signed heartbeats, a gap cannot be distinguished from a missing export.'",
-    "Signed heartbeats captured at the source turn these into provable liveness windows.", "silence_totals")
+SILENCE_FINDING_SQL = finding_select("A-HBGAP", 4, "silence_totals", silences="n", limit=quoted(span_text(DAY_US)), longest=sql_span("longest"))
 
 
 def time_sql(log: str, order: str, period) -> str:
@@ -67,28 +53,18 @@ time_counts AS (SELECT source_id, CAST(sum(CASE WHEN time_us IS NULL THEN 1 ELSE
 spans AS (SELECT source_id, count(*) AS records, min(time_us) AS first_us, max(time_us) AS last_us FROM {log} GROUP BY source_id)"""
 
 
-TIME_FINDING_SQL = finding_select(
-    "A-TIME", 5, "low", "timestamp anomalies",
-    "concat_ws('; ', CASE WHEN untimed > 0 THEN untimed || ' record(s) with an unparseable/absent timestamp' END, "
-    "CASE WHEN outside > 0 THEN outside || ' record(s) outside the declared period' END, "
-    "CASE WHEN step_backs > 0 THEN step_backs || ' record(s) whose time decreases as sequence increases' END) || '.'",
-    "Check the timestamp field and layout in the profile, and the source''s clock discipline.",
-    "time_counts WHERE untimed + outside + step_backs > 0")
+TIME_PARTS_SQL = ", ".join(f"CASE WHEN {name} > 0 THEN {name} || {quoted(' ' + text)} END" for name, text in TIME_PARTS.items())
+TIME_FINDING_SQL = finding_select("A-TIME", 5, "time_counts WHERE untimed + outside + step_backs > 0", parts=f"concat_ws('; ', {TIME_PARTS_SQL})")
 
 
 def coverage_sql(period) -> str:
     start, end = period
     slack = a.COVERAGE_SLACK_US
     date = lambda us: f"strftime(make_timestamp({us}), '%Y-%m-%d')"
-    head = (f"CASE WHEN first_us > {start} + {slack} THEN 'no data for the first ' || {sql_span(f'(first_us - {start})')} || "
-            f"' of the period (starts ' || {date('first_us')} || ', period opens ' || {date(f'CAST({start} AS BIGINT)')} || ')' END")
-    tail = (f"CASE WHEN last_us < {end} - {slack} THEN 'no data for the last ' || {sql_span(f'({end} - last_us)')} || "
-            f"' of the period (ends ' || {date('last_us')} || ', period closes ' || {date(f'CAST({end} AS BIGINT)')} || ')' END")
-    return finding_select(
-        "A-COVERAGE", 6, "medium", "export does not cover the full period",
-        "'the export''s observed range does not span the requested period: ' || parts || '.'",
-        "Widen the export window, or narrow the period to the range the export actually covers.",
-        f"(SELECT source_id, concat_ws('; ', {head}, {tail}) AS parts FROM spans) WHERE parts <> ''")
+    head = filled_sql(COVERAGE_PARTS[0], gap=sql_span(f"(first_us - {start})"), seen=date("first_us"), edge=date(f"CAST({start} AS BIGINT)"))
+    tail = filled_sql(COVERAGE_PARTS[1], gap=sql_span(f"({end} - last_us)"), seen=date("last_us"), edge=date(f"CAST({end} AS BIGINT)"))
+    parts = f"concat_ws('; ', CASE WHEN first_us > {start} + {slack} THEN {head} END, CASE WHEN last_us < {end} - {slack} THEN {tail} END)"
+    return finding_select("A-COVERAGE", 6, f"(SELECT source_id, {parts} AS parts FROM spans) WHERE parts <> ''", parts="parts")
 
 
 LINE_ORDER_SQL = "seq, " + ", ".join(LINE_ORDER)

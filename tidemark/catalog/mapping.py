@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import Tables, query
-from tidemark.catalog.sqltext import merkle_sql, root_name
+from tidemark.catalog.sqltext import finding_select, merkle_sql, root_name
 from tidemark.operators import assess as a
 from tidemark.operators.mapping import map_lines
 from tidemark.session import scratch_path
@@ -110,9 +110,7 @@ def line_digest(t: Tables):
 
 
 @query("a_input", f"""WITH {LINES_SQL}, bad AS (SELECT count(*) AS malformed FROM mapped WHERE malformed), per AS (SELECT source_id, count(*) AS records FROM mapped WHERE NOT malformed GROUP BY 1)
-SELECT source_id, 1 AS ord, 'A-INPUT' AS id, 'medium' AS severity, 'malformed input lines' AS title, malformed || ' of ' || (records + malformed) || ' input lines ('
-  || printf('%.2f', malformed / (records + malformed) * 100) || '%) could not be parsed and were excluded from analysis; the input digest still covers them.' AS detail,
-  'Re-export cleanly, or check that the mapping profile matches the source shape.' AS recommendation FROM per, bad WHERE malformed > 0 AND malformed / (records + malformed) >= 0.001""")
+{finding_select('A-INPUT', 1, "per, bad", malformed='malformed', total='(records + malformed)', percent="printf('%.2f', malformed / (records + malformed) * 100)")} WHERE malformed > 0 AND malformed / (records + malformed) >= 0.001""")
 def a_input(t: Tables):
     mapped = map_lines(event_lines(t), GENERIC)
     facts = a.source_facts(mapped.where(~F.col("malformed")))

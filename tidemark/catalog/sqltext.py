@@ -1,5 +1,7 @@
 """SQL building blocks shared by the oracles."""
 
+from tidemark.functions.texts import ADVICE, TEXTS, filled_sql, quoted
+
 LEVELS = 17
 
 
@@ -17,3 +19,10 @@ def merkle_sql(leaves: str, name: str, keys: str = "source_id", levels: int = LE
 
 def root_name(name: str, levels: int = LEVELS) -> str:
     return f"{name}_{levels}"
+
+
+def finding_select(ident: str, ord_: int, source: str, **values: str) -> str:
+    """A finding of every row of source; values are SQL expressions that fill its text."""
+    text = TEXTS[ident]
+    return (f"SELECT source_id, {ord_} AS ord, {quoted(ident)} AS id, {quoted(text.severity)} AS severity, {quoted(text.title)} AS title, "
+            f"{filled_sql(text.detail, **values)} AS detail, {quoted(ADVICE[ident])} AS recommendation FROM {source}")

@@ -10,6 +10,7 @@ from tidemark.catalog.logs import (
     CAPTURED_SQL, DAY_US, TAMPER_SQL, captured, sql_duration, sql_minutes, sql_pinned, stored_frames, tampered,
 )
 from tidemark.catalog.sqltext import merkle_sql, root_name
+from tidemark.functions.texts import ADVICE, CHAIN_KINDS, TEXTS, filled_sql, quoted
 from tidemark.functions.hashing import base64_text, hex_lower, leaf_hash
 from tidemark.operators import captured as cap
 from tidemark.operators import checkpoints as cps
@@ -335,26 +336,25 @@ RESULT_COLUMNS = ["source_id", "chain_valid", "chain_error", "records", "seq_fir
                   "signatures_valid", "roots_valid", "consistent", "observed", "expected", "longest_gap_ns", "within_policy", "outages",
                   "longest_outage_ns", "buffered", "replay_completed", "max_drift_ms", "windows", "unbounded", "receipts", "matching",
                   "expired_segments", "roots_retained"]
-FINDINGS_SQL = f"""
-SELECT source_id, 1 AS ord, 0 AS sub, 'F-CHAIN' AS id, 'high' AS severity, CASE WHEN unparsed_at IS NOT NULL THEN 'record parse failed' ELSE 'hash chain broken' END AS title,
-  chain_error AS detail, '' AS recommendation FROM results WHERE NOT chain_valid
-UNION ALL SELECT source_id, 2, 0, 'F-FORK', 'high', 'checkpoint inconsistency',
-  'a checkpoint is not an append-only extension of an earlier one (possible fork or rewrite)', '' FROM results WHERE NOT consistent
-UNION ALL SELECT source_id, 3, 0, 'F-SIG', 'high', 'invalid checkpoint signature',
-  (total - signatures_valid) || ' of ' || total || ' checkpoints failed signature verification', '' FROM results WHERE signatures_valid <> total
-UNION ALL SELECT source_id, 4, 0, 'F-ANCHOR', 'high', 'Anchor receipt does not match any accepted checkpoint', (receipts - matching) || ' of ' || receipts
-  || ' timestamp receipts do not bind to an accepted checkpoint (imprint or origin/size/root mismatch)', '' FROM results WHERE matching <> receipts
-UNION ALL SELECT source_id, 5, 0, 'F-RETENTION', 'high', 'retention tombstone outside verifiable history',
-  'a retention-deleted segment''s Merkle root matches no accepted checkpoint; the deletion cannot be tied to committed, signed history', ''
-  FROM results WHERE expired_segments > 0 AND NOT roots_retained
-UNION ALL SELECT source_id, 6, ordinal, 'F-KEYREV', 'high', 'signing key revoked on ' || source_id, 'key ' || label || ' revoked at seq ' || seq || ' (reason: ' || reason
-  || '); events signed by it between ' || since || ' and the revocation are suspect',
-  'compare events in the exposure window with independent records and check that the key was rotated' FROM revoked
-UNION ALL SELECT source_id, 7, n, 'F-GAP-' || n, 'medium', 'unobserved window on ' || source_id, 'no heartbeat for ' || {sql_duration('gap_ns')} || ' ('
-  || {sql_pinned('start_ns')} || ' to ' || {sql_pinned('end_ns')} || '); activity in that window is unprovable', 'start the agent at boot and compare with host records'
-  FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ns) AS n FROM windows) WHERE NOT bounded
-UNION ALL SELECT source_id, 8, 0, 'F-CLOCK', 'low', 'clock drift over policy on ' || source_id, 'max observed drift ' || max_drift_ms || 'ms exceeds policy 2400ms', ''
-  FROM results WHERE max_drift_ms > 2400"""
+
+
+def _select(ident: str, ord_: int, rows: str, sub: str = "0", shown: str | None = None, **values: str) -> str:
+    text = TEXTS[ident]
+    return (f"SELECT source_id, {ord_} AS ord, {sub} AS sub, {shown or quoted(ident)} AS id, {quoted(text.severity)} AS severity, {filled_sql(text.title, **values)} AS title, "
+            f"{filled_sql(text.detail, **values)} AS detail, {quoted(ADVICE.get(ident, ''))} AS recommendation FROM {rows}")
+
+
+_NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ns) AS n FROM windows)"
+FINDINGS_SQL = " UNION ALL ".join([
+    _select("F-CHAIN", 1, "results WHERE NOT chain_valid", kind=f"CASE WHEN unparsed_at IS NOT NULL THEN {quoted(CHAIN_KINDS[0])} ELSE {quoted(CHAIN_KINDS[1])} END", error="chain_error"),
+    _select("F-FORK", 2, "results WHERE NOT consistent"),
+    _select("F-SIG", 3, "results WHERE signatures_valid <> total", bad="(total - signatures_valid)", total="total"),
+    _select("F-ANCHOR", 4, "results WHERE matching <> receipts", bad="(receipts - matching)", total="receipts"),
+    _select("F-RETENTION", 5, "results WHERE expired_segments > 0 AND NOT roots_retained"),
+    _select("F-KEYREV", 6, "revoked", "ordinal", source="source_id", label="label", seq="seq", reason="reason", since="since"),
+    _select("F-GAP", 7, f"{_NUMBERED} WHERE NOT bounded", "n", "'F-GAP-' || n", source="source_id", gap=sql_duration("gap_ns"), start=sql_pinned("start_ns"), end=sql_pinned("end_ns")),
+    _select("F-CLOCK", 8, "results WHERE max_drift_ms > 2400", source="source_id", drift="max_drift_ms", limit="2400"),
+])
 
 
 @query("source_results", f"{EVIDENCE_SQL} SELECT {', '.join(RESULT_COLUMNS)} FROM results")

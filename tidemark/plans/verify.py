@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import leaf_hash
+from tidemark.functions.texts import ADVICE, CHAIN_KINDS, TEXTS, filled
 from tidemark.functions.times import format_duration, format_pinned, parse_pinned_ns
 from tidemark.operators import captured as cap
 from tidemark.operators import chain, checkpoints as cps, continuity as con, retention as ret
@@ -130,51 +131,36 @@ def _with_defaults(joined: DataFrame) -> DataFrame:
     return joined.select("source_id", *[columns[n].alias(n) if n in columns else F.col(n) for n in joined.columns if n != "source_id"])
 
 
-def _finding(ord_: int, sub: Column, ident: Column, severity: str, title: Column, detail: Column, advice: str = "") -> list[Column]:
-    return [F.lit(ord_).alias("ord"), sub.cast("bigint").alias("sub"), ident.alias("id"), F.lit(severity).alias("severity"),
-            title.alias("title"), detail.alias("detail"), F.lit(advice).alias("recommendation")]
-
-
-def _of(count: str, total: str, text: str) -> Column:
-    return F.concat((F.col(total) - F.col(count)).cast("string"), F.lit(" of "), F.col(total).cast("string"), F.lit(text))
+def _finding(ident: str, ord_: int, sub: Column | None = None, suffix: Column | None = None, **values: Column) -> list[Column]:
+    text = TEXTS[ident]
+    shown = F.lit(ident) if suffix is None else F.concat(F.lit(ident + "-"), suffix.cast("string"))
+    return ["source_id", F.lit(ord_).alias("ord"), (F.lit(0) if sub is None else sub).cast("bigint").alias("sub"), shown.alias("id"),
+            F.lit(text.severity).alias("severity"), filled(text.title, **values).alias("title"), filled(text.detail, **values).alias("detail"),
+            F.lit(ADVICE.get(ident, "")).alias("recommendation")]
 
 
 def findings(v: Verification) -> DataFrame:
     """Findings in the order F-CHAIN, F-FORK, F-SIG, F-ANCHOR, F-RETENTION, F-KEYREV, F-GAP-n, F-CLOCK."""
-    r, zero = v.results, F.lit(0)
-    on_source = lambda text: F.concat(F.lit(text), F.col("source_id"))
-    title = F.when(F.col("unparsed_at").isNotNull(), F.lit("record parse failed")).otherwise(F.lit("hash chain broken"))
+    r, source = v.results, F.col("source_id")
+    kind = F.when(F.col("unparsed_at").isNotNull(), F.lit(CHAIN_KINDS[0])).otherwise(F.lit(CHAIN_KINDS[1]))
     found = [
-        r.where(~F.col("chain_valid")).select("source_id", *_finding(1, zero, F.lit("F-CHAIN"), "high", title, F.col("chain_error"))),
-        r.where(~F.col("consistent")).select("source_id", *_finding(
-            2, zero, F.lit("F-FORK"), "high", F.lit("checkpoint inconsistency"),
-            F.lit("a checkpoint is not an append-only extension of an earlier one (possible fork or rewrite)"))),
-        r.where(F.col("signatures_valid") != F.col("total")).select("source_id", *_finding(
-            3, zero, F.lit("F-SIG"), "high", F.lit("invalid checkpoint signature"),
-            _of("signatures_valid", "total", " checkpoints failed signature verification"))),
+        r.where(~F.col("chain_valid")).select(*_finding("F-CHAIN", 1, kind=kind, error=F.col("chain_error"))),
+        r.where(~F.col("consistent")).select(*_finding("F-FORK", 2)),
+        r.where(F.col("signatures_valid") != F.col("total")).select(*_finding(
+            "F-SIG", 3, bad=F.col("total") - F.col("signatures_valid"), total=F.col("total"))),
     ]
     if "receipts" in r.columns:
-        found.append(r.where(F.col("matching") != F.col("receipts")).select("source_id", *_finding(
-            4, zero, F.lit("F-ANCHOR"), "high", F.lit("Anchor receipt does not match any accepted checkpoint"),
-            _of("matching", "receipts", " timestamp receipts do not bind to an accepted checkpoint (imprint or origin/size/root mismatch)"))))
+        found.append(r.where(F.col("matching") != F.col("receipts")).select(*_finding(
+            "F-ANCHOR", 4, bad=F.col("receipts") - F.col("matching"), total=F.col("receipts"))))
     if "expired_segments" in r.columns:
-        found.append(r.where((F.col("expired_segments") > 0) & ~F.col("roots_retained")).select("source_id", *_finding(
-            5, zero, F.lit("F-RETENTION"), "high", F.lit("retention tombstone outside verifiable history"),
-            F.lit("a retention-deleted segment's Merkle root matches no accepted checkpoint; the deletion cannot be tied to "
-                  "committed, signed history"))))
-    found.append(v.revocations.select("source_id", *_finding(
-        6, F.col("ordinal"), F.lit("F-KEYREV"), "high", on_source("signing key revoked on "),
-        F.concat(F.lit("key "), "label", F.lit(" revoked at seq "), F.col("seq").cast("string"), F.lit(" (reason: "), "reason",
-                 F.lit("); events signed by it between "), "since", F.lit(" and the revocation are suspect")),
-        "compare events in the exposure window with independent records and check that the key was rotated")))
+        found.append(r.where((F.col("expired_segments") > 0) & ~F.col("roots_retained")).select(*_finding("F-RETENTION", 5)))
+    found.append(v.revocations.select(*_finding(
+        "F-KEYREV", 6, F.col("ordinal"), source=source, **{c: F.col(c) for c in ("label", "seq", "reason", "since")})))
     # Numbers count every window of the source, bounded ones too.
     numbered = stitched_row_number(v.windows, ["source_id"], "start_ns", "_n", 1 << 50)
-    found.append(numbered.where(~F.col("bounded")).select("source_id", *_finding(
-        7, F.col("_n"), F.concat(F.lit("F-GAP-"), F.col("_n").cast("string")), "medium", on_source("unobserved window on "),
-        F.concat(F.lit("no heartbeat for "), format_duration(F.col("gap_ns")), F.lit(" ("), format_pinned(F.col("start_ns")),
-                 F.lit(" to "), format_pinned(F.col("end_ns")), F.lit("); activity in that window is unprovable")),
-        "start the agent at boot and compare with host records")))
-    found.append(r.where(F.col("max_drift_ms") > v.policy.max_drift_ms).select("source_id", *_finding(
-        8, zero, F.lit("F-CLOCK"), "low", on_source("clock drift over policy on "),
-        F.concat(F.lit("max observed drift "), F.col("max_drift_ms").cast("string"), F.lit(f"ms exceeds policy {v.policy.max_drift_ms}ms")))))
+    found.append(numbered.where(~F.col("bounded")).select(*_finding(
+        "F-GAP", 7, F.col("_n"), F.col("_n"), source=source, gap=format_duration(F.col("gap_ns")), start=format_pinned(F.col("start_ns")),
+        end=format_pinned(F.col("end_ns")))))
+    found.append(r.where(F.col("max_drift_ms") > v.policy.max_drift_ms).select(*_finding(
+        "F-CLOCK", 8, source=source, drift=F.col("max_drift_ms"), limit=F.lit(v.policy.max_drift_ms))))
     return reduce(DataFrame.unionByName, found)
