@@ -46,7 +46,7 @@ class Rules:
     width: int = 13
     gram: int = 4
     shard: int = 60_000  # tiles of one automaton
-    block_words: int = 1_000_000
+    block_words: int = 250_000
     bits_per_entry: int = 16
     max_blocks: int = 16384
 
@@ -229,10 +229,7 @@ class Automata:
 
 
 def locate(docs: DataFrame, routed: DataFrame, rules: Rules) -> DataFrame:
-    """id, words_sha (of all words), spans (start, end in words), kept: for documents (block, id, text) that lose words.
-
-    ``routed``: block, owner, words.
-    """
+    """id, n_words, spans (start, end in words), kept of documents (block, id, text); ``routed``: block, owner, words."""
 
     def run(batches):
         block, passages, automata = None, [], None
@@ -249,21 +246,19 @@ def locate(docs: DataFrame, routed: DataFrame, rules: Rules) -> DataFrame:
                         automata, passages = Automata(passages, rules), []
                     words = text.split()
                     gone = automata.covered(of, words)
-                    if gone.any():
-                        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
-                        kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                        out.append((of, b" ".join(words), [{"start": s, "end": e} for s, e in edges], kept.decode()))
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                    kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
+                    out.append((of, len(words), [{"start": s, "end": e} for s, e in edges], kept.decode()))
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1].decode() for o in out]),
+                        [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
                          pa.array([o[2] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([o[3] for o in out])],
-                        names=["id", "words", "spans", "kept"])
+                        names=["id", "n_words", "spans", "kept"])
 
     rows = routed.select("block", F.col("owner").alias("of"), "words", F.lit(False).alias("is_doc")).unionByName(
         docs.select("block", F.col("id").alias("of"), F.col("text").cast("binary").alias("words"), F.lit(True).alias("is_doc")))
     dealt = rows.repartition("block").sortWithinPartitions("block", "is_doc")
-    found = dealt.mapInArrow(run, "id bigint, words string, spans array<struct<start bigint, end bigint>>, kept string")
-    return found.select("id", F.sha2("words", 256).alias("words_sha"), "spans", "kept")
+    return dealt.mapInArrow(run, "id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -274,7 +269,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = base.where("id is not null").groupBy("words_sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     firsts = materialise(firsts.select("words_sha", "first"), "repeat-firsts")
     base = materialise(base.join(firsts, "words_sha", "left").select("id", "n_words", "words_sha", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy")), "repeat-copies")
-    copies = base.groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id")
+    copies = materialise(base.where("id is not null").groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id"), "repeat-copy-ids")
     texts = without_ids(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null"),
                         copies, "id", "repeat-copies")
 
@@ -289,16 +284,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     met = materialise(windows.join(recurring, "hash").where("id > first").select("id", "first").distinct(), "repeat-met")
     routed = met.select(block.alias("block"), F.col("first").alias("owner")).distinct().join(passages, "owner")
-    losing = stored_small(met.select(F.col("id").alias("losing")).distinct(), "repeat-losing", 1_000_000)
-    found = locate(texts.join(losing, texts["id"] == losing["losing"], "left_semi").withColumn("block", block), routed, rules)
-    found = materialise(found, "repeat-found").dropDuplicates(["id", "words_sha"])
-
-    whole = plain.withColumn("words_sha", F.sha2("words", 256)).select("id", "words", "words_sha", n_words.alias("n_words"))
-    copied = base.where("copy").select("id", "words_sha", F.lit(True).alias("copy")).distinct()
-    all_rows = whole.join(found, ["id", "words_sha"], "left").join(copied, ["id", "words_sha"], "left")
-    lost_all = F.col("copy") & (F.col("n_words") >= rules.width)
-    nothing = F.array().cast("array<struct<start bigint, end bigint>>")
-    spans = F.when(lost_all, F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end")))).otherwise(F.coalesce("spans", nothing))
-    return all_rows.select(
-        F.col("id").alias(id_col), "n_words", F.aggregate(spans, F.lit(0).cast("bigint"), lambda t, s: t + s["end"] - s["start"]).alias("n_removed"),
-        spans.alias("spans"), F.when(lost_all, F.lit("")).otherwise(F.coalesce("kept", "words")).alias("kept"))
+    losing = met.select("id").distinct()
+    kinds = stored_small(losing.select("id", F.lit(False).alias("copy")).unionByName(copies.select("id", F.lit(True).alias("copy"))), "repeat-kinds", 1_000_000)
+    chosen = texts.join(kinds.where("not copy").select(F.col("id").alias("losing")), F.col("id") == F.col("losing"), "left_semi")
+    found = locate(chosen.withColumn("block", block), routed, rules)
+
+    # Everything else keeps its words, or as a copy loses them all, without a shuffle of texts while the ids are few.
+    nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    lost_all = F.col("copy").isNotNull() & (F.col("n_words") >= rules.width)
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end")))
+    others = plain.withColumn("n_words", n_words).join(kinds, "id", "left").where("copy is null or copy").select(
+        "id", "n_words", F.when(lost_all, whole).otherwise(nothing).alias("spans"), F.when(lost_all, F.lit("")).otherwise(F.col("words")).alias("kept"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["end"] - s["start"])
+    return found.unionByName(others).select(F.col("id").alias(id_col), "n_words", removed.alias("n_removed"), "spans", "kept")
