@@ -275,6 +275,16 @@ def retention_expire(t: Tables):
     return expired_segments(t).select("segment_id", "source_id", "seq_first", "seq_last", "deleted_at", "expired")
 
 
+@query("retained_frames", f"""WITH {SEGMENTS_SQL}, {HOLDS_SQL}, {HELD_SQL}, {EXPIRED_SQL} SELECT r.source_id, r.seq, a.segment_id FROM recs r
+  JOIN after a ON a.source_id = r.source_id AND r.seq BETWEEN a.seq_first AND a.seq_last WHERE a.deleted_at IS NULL""")
+def retained_frames(t: Tables):
+    # What a rewrite of the frame table keeps after a retention run.
+    segments = user_segments(t)
+    numbered = user_records(t).withColumn("segment", F.call_function("div", F.col("seq") - 1, F.lit(PER_SEGMENT).cast("bigint")))
+    frames = numbered.join(segments.select("source_id", "segment", "segment_id"), ["source_id", "segment"]).select("source_id", "seq", "segment_id")
+    return ret.live_frames(frames, expired_segments(t))
+
+
 @query("lifecycle_events", f"""WITH {SEGMENTS_SQL}, {HOLDS_SQL}, {HELD_SQL}, {EXPIRED_SQL}
 SELECT source_id, 'system.retention_deleted' AS event_type, '{{"segment_id":"' || segment_id || '","source_id":"' || source_id || '","seq_first":' || seq_first || ',"seq_last":' || seq_last
   || ',"root":"' || root || '","policy":{{"default_days":12}}}}' AS payload FROM after WHERE expired

@@ -170,7 +170,8 @@ def whole_log(t: Tables) -> DataFrame:
         F.lit('","event_time":"'), stamp, F.lit('000Z","actor":"u'), F.col("user_id").cast("string"),
         F.lit('","payload_clear":'), "props", F.lit("}"))
     return t.read("events").select(
-        F.lit("events").alias("source_id"), F.col("event_id").alias("ordinal"), seq.alias("seq"),
+        # A column, not a constant: as a constant it would be folded out of the join keys.
+        F.when(F.col("event_id").isNotNull(), F.lit("events")).alias("source_id"), F.col("event_id").alias("ordinal"), seq.alias("seq"),
         (micros("ts") * 1000).alias("time_ns"), "event_type", F.encode(record, "UTF-8").alias("record_bytes"))
 
 

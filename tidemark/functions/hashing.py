@@ -33,10 +33,6 @@ def leaf_hash(entry: Column) -> Column:
     return sha_bin(F.concat(bytes_of(LEAF_PREFIX), entry))
 
 
-def node_hash(left: Column, right: Column) -> Column:
-    return sha_bin(F.concat(bytes_of(NODE_PREFIX), left, right))
-
-
 def hex_lower(data: Column) -> Column:
     return F.lower(F.hex(data))
 

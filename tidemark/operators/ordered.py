@@ -83,12 +83,6 @@ def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_slice", F.spark_partition_id())
 
 
-def first_n_per_key(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The first n rows per key; Spark limits each task to n rows per key before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
-
-
 def spans_between(points: DataFrame, keys: list[str], time: str, widest: int, width: int = BLOCK_WIDTH) -> DataFrame:
     """Consecutive-time differences that matter: every one above ``widest`` and the largest of each key.
 

@@ -46,9 +46,3 @@ def pseudonymise(events: DataFrame, salts: DataFrame) -> DataFrame:
 def erase(salts: DataFrame, requests: DataFrame) -> DataFrame:
     """The next salt table: records keep their pseudonyms, but nothing can derive them any more."""
     return salts.join(requests.select("actor").distinct(), "actor", "left_anti")
-
-
-def erase_status(requests: DataFrame, salts: DataFrame) -> DataFrame:
-    known = salts.select("actor", F.lit(True).alias("_known"))
-    return requests.join(known, "actor", "left").withColumn(
-        "status", F.when(F.col("_known"), F.lit("erased")).otherwise(F.lit("not_found"))).drop("_known")
