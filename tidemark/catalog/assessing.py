@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import Tables, query
 from tidemark.catalog.logs import DAY_US, LINE_ORDER, LINE_SQL, USER_SQL, line_log, sql_span, user_log
+from tidemark.catalog.mapping import GENERIC, INPUT_FINDING_SQL, SCANNED_SQL, written_lines
 from tidemark.catalog.sqltext import finding_select
 from tidemark.functions.texts import COVERAGE_PARTS, CUT, TIME_PARTS, filled_sql, quoted
 from tidemark.functions.times import span_text
@@ -101,6 +102,11 @@ def seq_gap_ranges(t: Tables):
     return a.gap_ranges(a.gap_steps(a.distinct_sequences(line_log(t))))
 
 
+@query("duplicate_numbers", f"""WITH {LINE_SQL}, {GAPS_SQL.format(log='line_log')} SELECT source_id, seq, copies FROM distinct_seqs WHERE copies > 1""")
+def duplicate_numbers(t: Tables):
+    return a.duplicate_numbers(a.gap_steps(a.distinct_sequences(line_log(t))))
+
+
 @query("a_seqgap", f"""WITH {USER_SQL}, {GAPS_SQL.format(log='user_log')}, {GAP_LISTS_SQL}
 SELECT source_id, missing, gaps, seq_first, seq_last, ranges, listed
 FROM gap_totals JOIN seq_spread USING (source_id) JOIN range_lists USING (source_id)""")
@@ -187,3 +193,21 @@ def capabilities(t: Tables):
         "source_id", F.lit(caps.sequenced).alias("sequenced"), F.lit(caps.heartbeats).alias("heartbeats"),
         F.lit(caps.typed).alias("typed"), F.lit(caps.actors).alias("actors"),
         F.lit("; ".join(caps.missing())).alias("not_assessable"))
+
+
+FILE_POLICY = plan.AssessPolicy(max_silence_us=DAY_US, period=plan.parse_period("2024-01-02:2024-01-29"))
+FILE_SQL = f"""{SCANNED_SQL}, file_log AS (SELECT source_id, CAST(seq AS HUGEINT) AS seq, time_us, heartbeat, ordinal FROM scanned WHERE NOT malformed)"""
+FILE_TIME_SQL = time_sql("file_log", "seq, ordinal", FILE_POLICY.period)
+FILE_FINDINGS_SQL = f"""WITH {FILE_SQL}, {GAPS_SQL.format(log='(SELECT * FROM file_log WHERE seq IS NOT NULL)')}, {GAP_LISTS_SQL.replace('AS BIGINT', 'AS HUGEINT')},
+{SILENCE_SQL.replace('user_log WHERE heartbeat', 'file_log WHERE heartbeat AND time_us IS NOT NULL')},
+steps AS (SELECT source_id, count(*) AS step_backs FROM (SELECT source_id, time_us, lag(time_us) OVER (PARTITION BY source_id ORDER BY seq, ordinal) AS p
+  FROM file_log WHERE seq IS NOT NULL AND time_us IS NOT NULL) WHERE time_us < p - 1000000 GROUP BY source_id),
+{FILE_TIME_SQL[FILE_TIME_SQL.index('time_counts AS'):]},
+bad AS (SELECT count(*) AS malformed FROM scanned WHERE malformed), per AS (SELECT source_id, count(*) AS records FROM file_log GROUP BY source_id),
+found AS ({INPUT_FINDING_SQL} UNION ALL {GAP_FINDING_SQL} UNION ALL {DUP_FINDING_SQL} UNION ALL {SILENCE_FINDING_SQL} UNION ALL {TIME_FINDING_SQL}
+  UNION ALL {coverage_sql(FILE_POLICY.period)})"""
+
+
+@query("assess_jsonl", f"{FILE_FINDINGS_SQL} SELECT * FROM found")
+def assess_jsonl(t: Tables):
+    return plan.assess_files(t.spark, written_lines(t), GENERIC, FILE_POLICY).findings

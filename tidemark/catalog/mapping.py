@@ -109,8 +109,13 @@ def line_digest(t: Tables):
     return jsonl.line_digests(scanned(t))
 
 
+INPUT_FINDING_SQL = finding_select(
+    "A-INPUT", 1, "per, bad", malformed="malformed", total="(records + malformed)",
+    percent="printf('%.2f', malformed / (records + malformed) * 100)") + " WHERE malformed > 0 AND malformed / (records + malformed) >= 0.001"
+
+
 @query("a_input", f"""WITH {LINES_SQL}, bad AS (SELECT count(*) AS malformed FROM mapped WHERE malformed), per AS (SELECT source_id, count(*) AS records FROM mapped WHERE NOT malformed GROUP BY 1)
-{finding_select('A-INPUT', 1, "per, bad", malformed='malformed', total='(records + malformed)', percent="printf('%.2f', malformed / (records + malformed) * 100)")} WHERE malformed > 0 AND malformed / (records + malformed) >= 0.001""")
+{INPUT_FINDING_SQL}""")
 def a_input(t: Tables):
     mapped = map_lines(event_lines(t), GENERIC)
     facts = a.source_facts(mapped.where(~F.col("malformed")))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import assess as a
-from tidemark.sources.profiles import Capabilities
+from tidemark.operators.mapping import map_lines
+from tidemark.sources.jsonl import apply_caps, line_digests, scan_jsonl, truncation, with_ordinals
+from tidemark.sources.profiles import Capabilities, Profile
+from tidemark.sources.store import materialise
 
 
 @dataclass(frozen=True)
@@ -60,6 +63,27 @@ def assess_findings(foreign: DataFrame, caps: Capabilities, policy: AssessPolicy
     return a.raised(wide, findings)
 
 
+@dataclass(frozen=True)
+class AssessRun:
+    """What an assessment of files yields; ``mapped`` is the normalised log, written once, that the others read."""
+
+    mapped: DataFrame
+    findings: DataFrame
+    digests: DataFrame
+    inputs: DataFrame
+
+
+def assess_files(spark: SparkSession, inputs: list[str], profile: Profile, policy: AssessPolicy, max_records: int = 0,
+                 max_bytes: int = 0) -> AssessRun:
+    """From JSON-lines files to findings, digests and input totals. Lines are read and mapped once."""
+    lines = map_lines(scan_jsonl(spark, inputs), profile)
+    if max_records or max_bytes:
+        lines = apply_caps(lines, max_records, max_bytes)
+    mapped = materialise(with_ordinals(lines), "assessed")
+    findings = assess_findings(mapped.where(~F.col("malformed")), profile.capabilities(), policy, ["ordinal"], a.count_malformed(mapped))
+    return AssessRun(mapped, findings, line_digests(mapped), truncation(mapped, max_records, max_bytes))
+
+
 def finding_counts(sources: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings per source, zero included, and whether any of them fails the run."""
     counted = findings.groupBy("source_id").agg(F.count("*").alias("findings"))
