@@ -50,7 +50,7 @@ def test_exact_keep_first(spark):
         assert r["doc_id"] == (min(known) if known else None)
 
 
-@pytest.mark.parametrize("rules", [near_dedup.Rules(), near_dedup.Rules(small=2, pivots=2, salt_rows=3), near_dedup.Rules(small=1, deepest=1)])
+@pytest.mark.parametrize("rules", [near_dedup.Rules(), near_dedup.Rules(small=2, rest=2, pivots=2, salt_rows=3)])
 def test_near_components(spark, rules):
     table = cases.rows()
     expected = cases.near_components(table)
@@ -86,13 +86,14 @@ def test_near_dense_group(spark):
             words[i] = f"e{rng.randint(0, 10**6)}"
         table.append((d, " ".join(words)))
     expected = cases.near_components(table)
-    found = near_dedup.similar(spark.createDataFrame(table, "doc_id bigint, text string"), rules=near_dedup.Rules(small=16)).collect()
+    found = near_dedup.similar(spark.createDataFrame(table, "doc_id bigint, text string"), rules=near_dedup.Rules(small=8, rest=16)).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
 
 
-def test_components(spark):
+@pytest.mark.parametrize("slice_links", [1000, 10])
+def test_components(spark, slice_links):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (300, 100), (7, 7)]
-    found = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    found = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint"), slice_links).collect()}
     assert found == {**{i: 1 for i in range(2, 61)}, 200: 100, 300: 100}
 
 

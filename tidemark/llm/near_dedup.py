@@ -2,15 +2,17 @@
 
 A document is its set of distinct five-word shingles. Equal sets are one class with the smallest id as its representative;
 only representatives are compared. Each of ``trees`` independent trees puts a representative into the node named by one
-full minimum of its own. A node of at most ``small`` members is compared exhaustively. A larger one branches: two
-coordinates are chosen by the node's own hash, and members go to the children named by their minimum there. A pair at the
-threshold stays together in a tree with a chance of 0.82 at any depth, so 8 trees miss it with a chance of 1e-6.
-
-Large nodes never give all their pairs. First every member is compared with ``pivots`` members drawn from the node, and the
-best candidate is confirmed; this joins dense groups in linear work. Components are taken, and the members outside the
-node's largest component are what is left to do: none - the node is done; at most ``small`` - they are compared with all
-members; more - the node branches. From ``deepest`` on they are compared with all members whatever their number, so no
-link depends on a cap. Pairs of one component are never compared again: links only matter between components.
+full minimum of its own. A node of at most ``small`` members is compared exhaustively. A larger one branches: coordinates
+are chosen by the node's own hash, and members go to the children named by their minimum there. A root branches by two
+coordinates, a deeper node by one and, one time in four, by a second, so that a pair at the threshold meets in 1.06
+children on average while pairs below 0.8 thin out. Four levels down such a pair is still together in a tree with a chance
+of 0.73, and 8 trees miss it with a chance of 3e-5; most nodes end at the root (0.85, and 3e-7).
+
+Nodes above ``small`` never give all their pairs. First every member is compared with ``pivots`` members drawn from the
+node, and the best candidate is confirmed; this joins dense groups in linear work. Components are taken, and the members
+outside the node's largest component are what is left to do: none - the node is done; at most ``rest`` - they are compared
+with all members; more - the node branches. From ``deepest`` on they are compared with all members whatever their number,
+so no link depends on a cap. Pairs of one component are never compared again: links only matter between components.
 
 Candidates are pairs whose signatures agree in ``cutoff`` of 128 coordinates (a true pair at 0.85 falls below 0.72 with a
 chance under 1e-4) and whose sizes allow the similarity. Every link is confirmed on the full sets. Hot nodes are dealt out
@@ -43,7 +45,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Rules:
     percent: int = 85  # link if 100 * intersection >= percent * union
     trees: int = 8
-    small: int = 64
+    small: int = 16
+    rest: int = 256
     pivots: int = 8
     cutoff: float = 0.72
     deepest: int = 10
@@ -124,7 +127,7 @@ def _possible(n_a, n_b, percent: int):
 
 
 def pairs_in_small(members: DataFrame, rules: Rules) -> DataFrame:
-    """a, b: candidate pairs inside nodes of at most ``small`` members."""
+    """a, b: candidate pairs inside nodes of at most ``small`` members; a pair comes once per node."""
 
     def run(batches):
         held = None
@@ -155,7 +158,7 @@ def pairs_in_small(members: DataFrame, rules: Rules) -> DataFrame:
                 yield _pairs(rep[i[near]], rep[j[near]])
 
     dealt = members.select("node", "rep", "n", "comp", "sig").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def pairs_across(heads: DataFrame, members: DataFrame, rules: Rules, best: bool) -> DataFrame:
@@ -200,7 +203,7 @@ def pairs_across(heads: DataFrame, members: DataFrame, rules: Rules, best: bool)
     h = heads.select(*columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"))
     m = members.select(*columns, F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"), F.lit(True).alias("member"))
     dealt = h.unionByName(m).repartition("node", "salt").sortWithinPartitions("node", "salt", "member")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 class Confirmer:
@@ -268,6 +271,16 @@ def _pivots(large: DataFrame, count: int) -> DataFrame:
     return picked.select("node", "size", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.rep") for i in range(count)]))).alias("rep"))
 
 
+def _children(nodes: DataFrame, depth: int) -> DataFrame:
+    """rep, node: the members of nodes under the nodes below."""
+    def child(j: int):
+        place = 1 + 2 * F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int")
+        return F.xxhash64("node", F.lit(j), F.substring(F.col("sig"), place, F.lit(2)))
+
+    second = F.lit(True) if depth == 0 else F.pmod(F.xxhash64("node", F.lit(0)), F.lit(4)) == 0
+    return nodes.select("rep", F.explode(F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node")).distinct()
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """id, n_shingles, component_id, kept, class_id (the representative of its equal sets): one row per input row."""
     sketched = materialise(sketches(docs, id_col, text_col, rules), "near-sketches")
@@ -281,33 +294,30 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     links = links.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
     links, comps = materialise(links, "near-links"), None
     live = _live(classes.select("rep", F.explode("nodes").alias("node")).distinct(), None)
-    depth = 0
-    while not live.isEmpty():
-        wide = live.join(reps, "rep")
-        large = live.where(F.col("size") > rules.small)
+    waiting, depth = None, 0  # pairs of the level before that are not confirmed yet
+    while True:
+        nothing_left = live.isEmpty()
+        if nothing_left and waiting is None:
+            break
+        wide, large = live.join(reps, "rep"), live.where(F.col("size") > rules.small)
         pivots = _labelled(_pivots(large, rules.pivots), comps).join(reps, "rep")
         pairs = pairs_in_small(wide.where(F.col("size") <= rules.small), rules).unionByName(
-            pairs_across(pivots, wide.where(F.col("size") > rules.small), rules, True)).distinct()
-        links = links.unionByName(confirm.links(pairs))
-        comps = components(links)
-        links = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+            pairs_across(pivots, wide.where(F.col("size") > rules.small), rules, True))
+        pairs = pairs if waiting is None else waiting if nothing_left else pairs.unionByName(waiting)
+        comps = components(links.unionByName(confirm.links(pairs.distinct())))
+        links, waiting = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")), None
+        if nothing_left:
+            break
         large = _live(large.select("node", "rep"), comps)
         if large.isEmpty():
             break
         shares = large.groupBy("node", "comp").agg(F.count("*").alias("members"))
         largest = shares.groupBy("node").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"),
                                              (F.sum("members") - F.max("members")).alias("left_over"))
-        sorted_out = materialise(large.join(largest, "node"), "near-sorted")
-        done = F.lit(True) if depth >= rules.deepest else F.col("left_over") <= rules.small
-        wide = sorted_out.join(reps, "rep")
-        rest = pairs_across(wide.where(done & (F.col("comp") != F.col("main"))), wide.where(done), rules, False)
-        links = links.unionByName(confirm.links(rest))
-        comps = components(links)
-        links = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
-        open_nodes = wide.where(~done)
-        children = [open_nodes.select("rep", F.xxhash64("node", F.lit(j), F.substring(
-            F.col("sig"), 1 + 2 * F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int"), F.lit(2))).alias("node")) for j in (1, 2)]
-        live = _live(children[0].unionByName(children[1]).distinct(), comps)
+        done = F.lit(True) if depth >= rules.deepest else F.col("left_over") <= rules.rest
+        wide = materialise(large.join(largest, "node"), "near-sorted").join(reps, "rep")
+        waiting = pairs_across(wide.where(done & (F.col("comp") != F.col("main"))), wide.where(done), rules, False)
+        live = _live(_children(wide.where(~done), depth), comps)
         depth += 1
     comps = comps if comps is not None else components(links)
     roots = classes.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
