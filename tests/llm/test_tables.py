@@ -106,6 +106,19 @@ def test_decontamination_inconsistent_slots(spark):
     assert {r["doc_id"] for r in decontam.contamination(docs, bench).collect()} == {1}
 
 
+def test_decontamination_case_and_lines(spark):
+    """Names are met in any capitals and behind any white space."""
+    item, german = ITEMS[1][1], "Wie viele Straßen und Häuser hat der Ort, wenn jeder Bürger ein Haus und jede Straße 12 Häuser bekommt?"
+    wrapped = item.replace(" Maria", "\nMaria").replace(" Peter", "\u00a0  Peter")
+    texts = [item.upper(), item.lower(), wrapped, wrapped.replace("Maria", "Lena").replace("Peter", "Hans"), german.upper(), german.lower(), ". ".join(item.split(" Maria ")), "plain words only " * 9]
+    bench = spark.createDataFrame([(2, item), (3, german)], "item_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontam.contamination(docs, bench).collect()}
+    assert set(found) >= {(0, 2), (1, 2), (2, 2), (3, 2), (4, 3), (5, 3)} and 7 not in {d for d, _ in found}
+    assert all(found[k]["covered"] == 1 and found[k]["same_values"] for k in ((0, 2), (1, 2), (2, 2), (4, 3), (5, 3)))
+    assert found[3, 2]["covered"] == 1 and not found[3, 2]["same_values"]
+
+
 def test_decontamination_brute_force(spark):
     """Planted passages as they stand: every document that holds a whole item is found, and no other."""
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))

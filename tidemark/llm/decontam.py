@@ -1,11 +1,13 @@
 r"""Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders that keep their
-value as a slot; other tokens are lower-cased words. Windows of ``width`` tokens are hashed with slots reduced to their
-type and joined by hash, so a question asked again with other numbers or names meets its template. Matched windows on one
+White space of any kind and length is one space. Numbers, units after numbers and names (capitalised words inside a
+sentence) become typed placeholders that keep their value as a slot; other tokens are words, and case is folded. Windows
+of ``width`` tokens are hashed with slots reduced to their type and joined by hash, so a question asked again with other
+numbers or names meets its template. Windows with names are also hashed with the names as words, so that a copy in other
+capitals or with a name at the start of a line or sentence is met; a window counts if either form does. Matched windows on one
 diagonal (document position minus item position) form an alignment. An alignment counts if its slots are consistent: each
 value of a slot in the item stands for one value in the document. A document is contaminated by an item if a consistent
-alignment covers at least ``coverage`` of the item's windows.
+alignment covers at least ``coverage`` of the item's windows, or of those that have ``plain`` ordinary words besides their slots.
 
 Items shorter than ``width`` tokens, but of at least ``shortest``, are one window of their own length. Windows with fewer
 than ``plain`` ordinary words match anything of the kind and are left out of the index; this is part of the rule.
@@ -28,54 +30,86 @@ from tidemark.sources.store import materialise
 WIDTH, SHORTEST, PLAIN, COVERAGE = 8, 4, 4, 0.3
 MAX_INDEX = 1_000_000
 SLOT = "\x01"
+# What Unicode calls white space, and the mark of slots; all of it is read as a space.
+_BLANKS = SLOT + "\t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 # Units that turn a number into a quantity.
 UNITS = ("km cm mm m kg mg g lb oz l ml s ms min h hz khz mhz ghz kb mb gb tb w kw v a j kj cal kcal percent meters metres miles feet inches "
          "hours minutes seconds days weeks months years dollars euros pounds degrees").split()
 _NUMBER = r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:/]\p{N}+)*"
 _UNIT = rf"({SLOT}N[^ ]+ )\s*((?i:{'|'.join(UNITS)})|[%€$£°])(?![\p{{L}}\p{{N}}])"
-_NAME = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+_NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 _NOISE = rf"[^\p{{L}}\p{{N}}{SLOT}.,:/%€$£°]+|[.,:/%€$£°]+(?![\p{{N}}%€$£°])|(?<![\p{{N}}{SLOT}NU])[.,:/]+"
 
 
-def template_tokens(text: Column) -> Column:
-    """Tokens of a text: words in lower case, slots as \\x01 + type (N, U, A) + value."""
-    marked = F.regexp_replace(F.translate(text, SLOT, " "), _NUMBER, f" {SLOT}N$0 ")
-    marked = F.regexp_replace(marked, _UNIT, f"$1{SLOT}U$2 ")
+def _marked(text: Column) -> Column:
+    """A text without noise: words, and slots as \\x01 + type (N, U, A) + value, with spaces between."""
+    marked = F.regexp_replace(F.translate(text, _BLANKS, " " * len(_BLANKS)), _NUMBER, f" {SLOT}N$0 ")
+    marked = F.regexp_replace(F.regexp_replace(marked, _UNIT, f"$1{SLOT}U$2 "), "  +", " ")
     marked = F.regexp_replace(marked, _NAME, f"{SLOT}A$0")
-    parts = F.split(F.trim(F.regexp_replace(marked, _NOISE, " ")), " +")
-    return F.filter(parts, lambda t: t != "")
+    return F.trim(F.regexp_replace(marked, _NOISE, " "))
+
+
+def template_tokens(text: Column) -> Column:
+    """Tokens of a text: words, slots as \\x01 + type (N, U, A) + value."""
+    return F.filter(F.split(_marked(text), " +"), lambda t: t != "")
 
 
 def _is_slot(token: Column) -> Column:
     return F.startswith(token, F.lit(SLOT))
 
 
-def _hashed(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(F.lower(t))))
+def _value(token: Column) -> Column:
+    return F.when(_is_slot(token), F.substring(token, 3, 1 << 30)).otherwise(token)
+
+
+def _is_name(token: Column) -> Column:
+    return F.startswith(token, F.lit(SLOT + "a"))
 
 
-def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[int], whole: bool, plain: int = 0) -> DataFrame:
-    """One row per window: id, at (position), template (hash), width, tokens (null where the window has no slot).
+def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[int], whole: bool, plain: int) -> DataFrame:
+    """One row per window and form: id, at (position), template (hash), width, tokens (null where the window has no slot), open.
 
-    ``whole``: a row shorter than the largest width gives one window of all its tokens, if its length is in widths.
+    The first form has names as words; the second, only of windows with names, has them as slots. ``open``: the window has
+    ``plain`` ordinary words besides its slots. ``whole``: a row shorter than the largest width gives one window of all its
+    tokens, if its length is in widths.
     """
     size = F.size("tokens")
 
+    def kinds(i: Column, width: int) -> Column:
+        return F.substr("kinds", i, F.lit(width))
+
+    def words(i: Column, width: int, names: bool) -> Column:
+        other = F.replace(kinds(i, width), F.lit("n"), F.lit(""))
+        return F.length(other if names else F.replace(other, F.lit("a"), F.lit("")))
+
+    def hashed(i: Column, width: int, of: str) -> Column:
+        return F.xxhash64(F.lit(width), F.slice(of, i, F.lit(width)))
+
+    def window(i: Column, width: int, template: Column, tokens: Column, is_open: Column) -> Column:
+        return F.struct((i - 1).alias("at"), template.alias("template"), F.lit(width).alias("width"), tokens.alias("tokens"), is_open.alias("open"))
+
     def of(width: int) -> Column:
         here = (size >= width) if not whole else ((size == width) | ((size > width) & F.lit(width == max(widths))))
         starts = F.when(here, F.sequence(F.lit(1), size - (width - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(
-            (i - 1).alias("at"), F.xxhash64(F.lit(width), F.slice("hashes", i, F.lit(width))).alias("template"), F.lit(width).alias("width"),
-            F.when(F.col("slotted"), F.slice("tokens", i, F.lit(width))).alias("tokens")))
-
-    base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), template_tokens(text_of(text_col)).alias("tokens"))
-    base = base.select("id", "tokens", _hashed(F.col("tokens")).alias("hashes"), F.exists("tokens", _is_slot).alias("slotted"))
+        none = F.lit(None).cast("array<string>")
+        worded = F.filter(starts, lambda i: words(i, width, True) >= plain)
+        named = F.filter(starts, lambda i: F.contains(kinds(i, width), F.lit("a")) & (words(i, width, False) >= plain))
+        return F.when(F.col("slotted"), F.concat(
+            F.transform(worded, lambda i: window(i, width, hashed(i, width, "worded"), F.when(words(i, width, False) < width, F.slice("tokens", i, F.lit(width))),
+                                                 words(i, width, False) >= plain)),
+            F.transform(named, lambda i: window(i, width, hashed(i, width, "reduced"), F.slice("tokens", i, F.lit(width)), F.lit(True))))
+        ).otherwise(F.transform(starts, lambda i: window(i, width, hashed(i, width, "worded"), none, F.lit(width >= plain))))
+
+    # Capitals have no "ß".
+    base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.replace(F.lower(_marked(text_of(text_col))), F.lit("ß"), F.lit("ss")).alias("marked"))
+    base = base.select("id", F.contains("marked", F.lit(SLOT)).alias("slotted"), F.filter(F.split("marked", " +"), lambda t: t != "").alias("tokens"))
+    base = base.select(
+        "id", "slotted", "tokens",
+        F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.when(_is_name(t), _value(t)).otherwise(F.substring(t, 1, 2))).otherwise(t))).alias("worded"),
+        F.when(F.col("slotted"), F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))).alias("reduced"),
+        F.when(F.col("slotted"), F.array_join(F.transform("tokens", lambda t: F.when(_is_slot(t), F.when(_is_name(t), F.lit("a")).otherwise(F.lit("n"))).otherwise(F.lit("w"))), "")).alias("kinds"))
     windows = of(widths[0]) if len(widths) == 1 else F.concat(*[of(w) for w in widths])
-    out = base.select("id", F.explode(windows).alias("w")).select("id", "w.*")
-    if plain:
-        slots = F.coalesce(F.size(F.filter("tokens", _is_slot)), F.lit(0))
-        out = out.where(F.col("width") - slots >= plain)
-    return out
+    return base.select("id", F.explode(windows).alias("w")).select("id", "w.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -90,21 +124,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = materialise(template_windows(benchmark, item_col, item_text, widths, True, plain), "benchmark-windows")
     # Which widths the benchmark needs: at most width - shortest + 1 values.
     used = sorted(r["width"] for r in items.select("width").distinct().collect()) or [width]
-    totals = items.groupBy("id").agg(F.countDistinct("at").alias("item_windows"))
-    index = stored_small(items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "template", F.col("tokens").alias("item_tokens")),
-                         "benchmark-index", max_index)
-    hits = template_windows(docs, id_col, text_col, used, False).join(index, "template").select(
-        "id", "item", "at", "item_at", "width", (F.col("at") - F.col("item_at")).alias("diagonal"), "tokens", "item_tokens")
+    totals = items.groupBy("id").agg(F.countDistinct("at").alias("item_windows"), F.countDistinct(F.when(F.col("open"), F.col("at"))).alias("open_windows"))
+    index = stored_small(items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "template", F.col("tokens").alias("item_tokens"),
+                                      F.col("open").alias("item_open")), "benchmark-index", max_index)
+    # A window without tokens has no slot: where it meets names, they are equal as words.
+    hits = template_windows(docs, id_col, text_col, used, False, plain).join(index, "template").select(
+        "id", "item", "at", "item_at", "width", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_open",
+        F.when(F.col("item_tokens").isNotNull(), F.coalesce("tokens", "item_tokens")).alias("tokens"), "item_tokens")
     hits = materialise(hits, "benchmark-hits")
     lines = hits.groupBy("id", "item", "diagonal").agg(
-        F.countDistinct("item_at").alias("matched"), F.min("at").alias("start"), F.max(F.col("at") + F.col("width")).alias("end"))
-    slots = hits.where("tokens is not null or item_tokens is not null").select(
+        F.countDistinct("item_at").alias("matched"), F.countDistinct(F.when(F.col("item_open"), F.col("item_at"))).alias("matched_open"), F.min("at").alias("start"), F.max(F.col("at") + F.col("width")).alias("end"))
+    slots = hits.where("item_tokens is not null").select(
         "id", "item", "diagonal", F.explode(F.arrays_zip(F.col("tokens").alias("d"), F.col("item_tokens").alias("i"))).alias("s"))
-    slots = slots.where(_is_slot(F.col("s.i"))).select("id", "item", "diagonal", F.col("s.i").alias("i"), F.col("s.d").alias("d")).distinct()
-    bad = slots.groupBy("id", "item", "diagonal", "i").agg(F.count("*").alias("values"), F.min(F.col("i") == F.col("d")).alias("same"))
+    slots = slots.where(_is_slot(F.col("s.i"))).select("id", "item", "diagonal", _value(F.col("s.i")).alias("i"), F.substring("s.i", 1, 2).alias("type"), _value(F.col("s.d")).alias("d")).distinct()
+    bad = slots.groupBy("id", "item", "diagonal", "type", "i").agg(F.count("*").alias("values"), F.min(F.col("i") == F.col("d")).alias("same"))
     checked = bad.groupBy("id", "item", "diagonal").agg(F.max("values").alias("values"), F.min("same").alias("same_values"))
     kept = (lines.join(checked, ["id", "item", "diagonal"], "left").join(totals.withColumnRenamed("id", "item"), "item")
-            .where("coalesce(values, 1) = 1").withColumn("covered", F.col("matched") / F.col("item_windows"))
+            .where("coalesce(values, 1) = 1").withColumn("covered", F.greatest(F.col("matched") / F.col("item_windows"), F.expr("try_divide(matched_open, open_windows)")))
             .withColumn("same_values", F.coalesce("same_values", F.lit(True))).where(F.col("covered") >= coverage))
     best = kept.groupBy("id", "item").agg(
         F.max(F.struct("covered", "same_values", (-F.col("start")).alias("earlier"), "end", "matched", "item_windows")).alias("b"))
