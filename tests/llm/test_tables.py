@@ -119,6 +119,20 @@ def test_decontamination_case_and_lines(spark):
     assert found[3, 2]["covered"] == 1 and not found[3, 2]["same_values"]
 
 
+def test_decontamination_short_items(spark):
+    """Items of few words are met by verbatim copies, in any capitals, and by nothing else."""
+    items = [(1, "What is 12 times 15?"), (2, "1 2 3 4 5 6 7 8 9 10"), (3, "Zanzibar"), (4, "Call Maria 5 km on 6 May 2019 at 7 h"), (5, "?!"), (6, "2 plus 2")]
+    texts = [(1, "so what is 12 times 15 then"), (2, "so what is 12 times 16 then"), (3, "row 1 2 3 4 5 6 7 8 9 10 11"), (4, "row 2 3 4 5 6"), (5, "in ZANZIBAR town"),
+             (6, "CALL MARIA 5 KM ON 6 MAY 2019 AT 7 H"), (7, "2 plus 3"), (8, "2 plus 2"), (9, "?!"), (10, "9 8 7 6 5 4 3 2 1 0")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontam.contamination(docs, bench).collect()}
+    assert set(found) == {(1, 1), (3, 2), (5, 3), (6, 4), (8, 6)}
+    assert all(r["same_values"] and r["covered"] == 1 for r in found.values())
+    again = {(r["doc_id"], r["item_id"]): r for r in decontam.contamination(docs, bench, max_index=0).collect()}
+    assert again == found
+
+
 def test_decontamination_brute_force(spark):
     """Planted passages as they stand: every document that holds a whole item is found, and no other."""
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))

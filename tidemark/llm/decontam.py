@@ -9,8 +9,9 @@ diagonal (document position minus item position) form an alignment. An alignment
 value of a slot in the item stands for one value in the document. A document is contaminated by an item if a consistent
 alignment covers at least ``coverage`` of the item's windows, or of those that have ``plain`` ordinary words besides their slots.
 
-Items shorter than ``width`` tokens, but of at least ``shortest``, are one window of their own length. Windows with fewer
-than ``plain`` ordinary words match anything of the kind and are left out of the index; this is part of the rule.
+Items shorter than ``width`` tokens are one window of their own length. Windows with fewer than ``plain`` words, and items
+shorter than ``shortest``, would match anything of the kind: they are hashed with their values and met only by verbatim
+copies. So every item with a token is in the index; one of a single word is met by every document with that word.
 
 The index is written, its rows are counted, and it is broadcast up to ``max_index`` rows; a larger one is joined by a
 shuffle of both sides. Hash joins give one row per matched window, never pairs of documents.
@@ -66,11 +67,11 @@ def _is_name(token: Column) -> Column:
     return F.startswith(token, F.lit(SLOT + "a"))
 
 
-def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[int], whole: bool, plain: int) -> DataFrame:
+def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[int], whole: bool, plain: int, shortest: int) -> DataFrame:
     """One row per window and form: id, at (position), template (hash), width, tokens (null where the window has no slot), open.
 
-    The first form has names as words; the second, only of windows with names, has them as slots. ``open``: the window has
-    ``plain`` ordinary words besides its slots. ``whole``: a row shorter than the largest width gives one window of all its
+    The first form has names as words, and values too if there are fewer than ``plain`` words with them; the second, only of
+    windows with names, has names as slots. ``open``: the window has ``plain`` ordinary words besides its slots. ``whole``: a row shorter than the largest width gives one window of all its
     tokens, if its length is in widths.
     """
     size = F.size("tokens")
@@ -92,13 +93,14 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
         here = (size >= width) if not whole else ((size == width) | ((size > width) & F.lit(width == max(widths))))
         starts = F.when(here, F.sequence(F.lit(1), size - (width - 1))).otherwise(F.array().cast("array<int>"))
         none = F.lit(None).cast("array<string>")
-        worded = F.filter(starts, lambda i: words(i, width, True) >= plain)
-        named = F.filter(starts, lambda i: F.contains(kinds(i, width), F.lit("a")) & (words(i, width, False) >= plain))
+        least = plain if width >= shortest else width + 1  # no window has so many: only its exact form remains
+        named = F.filter(starts, lambda i: F.contains(kinds(i, width), F.lit("a")) & (words(i, width, False) >= least))
         return F.when(F.col("slotted"), F.concat(
-            F.transform(worded, lambda i: window(i, width, hashed(i, width, "worded"), F.when(words(i, width, False) < width, F.slice("tokens", i, F.lit(width))),
-                                                 words(i, width, False) >= plain)),
+            F.transform(starts, lambda i: window(
+                i, width, F.when(words(i, width, True) >= least, hashed(i, width, "worded")).otherwise(hashed(i, width, "exact")),
+                F.when(words(i, width, False) < width, F.slice("tokens", i, F.lit(width))), words(i, width, False) >= least)),
             F.transform(named, lambda i: window(i, width, hashed(i, width, "reduced"), F.slice("tokens", i, F.lit(width)), F.lit(True))))
-        ).otherwise(F.transform(starts, lambda i: window(i, width, hashed(i, width, "worded"), none, F.lit(width >= plain))))
+        ).otherwise(F.transform(starts, lambda i: window(i, width, hashed(i, width, "worded"), none, F.lit(width >= least))))
 
     # Capitals have no "ß".
     base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.replace(F.lower(_marked(text_of(text_col))), F.lit("ß"), F.lit("ss")).alias("marked"))
@@ -107,6 +109,7 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
         "id", "slotted", "tokens",
         F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.when(_is_name(t), _value(t)).otherwise(F.substring(t, 1, 2))).otherwise(t))).alias("worded"),
         F.when(F.col("slotted"), F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))).alias("reduced"),
+        F.when(F.col("slotted"), F.transform("tokens", lambda t: F.xxhash64(F.when(_is_name(t), _value(t)).otherwise(t)))).alias("exact"),
         F.when(F.col("slotted"), F.array_join(F.transform("tokens", lambda t: F.when(_is_slot(t), F.when(_is_name(t), F.lit("a")).otherwise(F.lit("n"))).otherwise(F.lit("w"))), "")).alias("kinds"))
     windows = of(widths[0]) if len(widths) == 1 else F.concat(*[of(w) for w in widths])
     return base.select("id", F.explode(windows).alias("w")).select("id", "w.*")
@@ -120,15 +123,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``start`` and ``end`` bound the passage in tokens of the document; ``same_values`` is false for a question asked again
     with other values. Of several alignments the one that covers most stands, then the one with equal values, then the first.
     """
-    widths = list(range(shortest, width + 1))
-    items = materialise(template_windows(benchmark, item_col, item_text, widths, True, plain), "benchmark-windows")
-    # Which widths the benchmark needs: at most width - shortest + 1 values.
+    items = materialise(template_windows(benchmark, item_col, item_text, list(range(1, width + 1)), True, plain, shortest), "benchmark-windows")
+    # Which widths the benchmark needs: at most width values.
     used = sorted(r["width"] for r in items.select("width").distinct().collect()) or [width]
     totals = items.groupBy("id").agg(F.countDistinct("at").alias("item_windows"), F.countDistinct(F.when(F.col("open"), F.col("at"))).alias("open_windows"))
     index = stored_small(items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "template", F.col("tokens").alias("item_tokens"),
                                       F.col("open").alias("item_open")), "benchmark-index", max_index)
     # A window without tokens has no slot: where it meets names, they are equal as words.
-    hits = template_windows(docs, id_col, text_col, used, False, plain).join(index, "template").select(
+    hits = template_windows(docs, id_col, text_col, used, False, plain, shortest).join(index, "template").select(
         "id", "item", "at", "item_at", "width", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_open",
         F.when(F.col("item_tokens").isNotNull(), F.coalesce("tokens", "item_tokens")).alias("tokens"), "item_tokens")
     hits = materialise(hits, "benchmark-hits")
