@@ -133,6 +133,24 @@ def test_decontamination_short_items(spark):
     assert again == found
 
 
+def test_decontamination_pieces(spark):
+    """Inserted words, a slot of two values and a long item copied in part."""
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    pieces, long = " ".join(w[:44]), " ".join(w[44:120])
+    slots = "A box of 3 apples and 3 oranges is on the table and the tall man who came in takes them all to his old house by the sea"
+    bench = spark.createDataFrame([(1, pieces), (2, long), (3, slots)], "item_id bigint, text string")
+    cut = " ".join(w[:11]) + " one " + " ".join(w[11:22]) + " two more " + " ".join(w[22:33]) + " three " + " ".join(w[33:44])
+    texts = [(1, f"before {cut} after"), (2, " ".join(["x", *w[60:73], "y"])), (3, " ".join(["x", *w[60:72], "y"])),
+             (4, slots.replace("3 apples", "4 apples").replace("3 oranges", "7 oranges")), (5, " ".join(w[:11]) + " end"), (6, " gap ".join(" ".join(w[k:k + 5]) for k in range(0, 44, 5)))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontam.contamination(docs, bench).collect()}
+    assert set(found) == {(1, 1), (2, 2), (4, 3)}
+    assert found[1, 1]["matched"] == 16 and found[1, 1]["item_windows"] == 37 and (found[1, 1]["start"], found[1, 1]["end"]) == (1, 49)
+    assert (found[2, 2]["start"], found[2, 2]["end"], found[2, 2]["matched"]) == (1, 14, 6) and found[2, 2]["same_values"]
+    again = {(r["doc_id"], r["item_id"]): r for r in decontam.contamination(docs, bench, max_index=0).collect()}
+    assert again == found
+
+
 def test_decontamination_brute_force(spark):
     """Planted passages as they stand: every document that holds a whole item is found, and no other."""
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))

@@ -5,9 +5,11 @@ sentence) become typed placeholders that keep their value as a slot; other token
 of ``width`` tokens are hashed with slots reduced to their type and joined by hash, so a question asked again with other
 numbers or names meets its template. Windows with names are also hashed with the names as words, so that a copy in other
 capitals or with a name at the start of a line or sentence is met; a window counts if either form does. Matched windows on one
-diagonal (document position minus item position) form an alignment. An alignment counts if its slots are consistent: each
-value of a slot in the item stands for one value in the document. A document is contaminated by an item if a consistent
-alignment covers at least ``coverage`` of the item's windows, or of those that have ``plain`` ordinary words besides their slots.
+diagonal (document position minus item position) form an alignment, in which each value of a slot in the item stands for
+one value in the document; windows that hold a slot of two values do not count. A document is contaminated by an item if
+the windows of an alignment, or of neighbouring ones (words were put in or left out, up to as many as the item has), cover
+at least ``coverage`` of the item's windows, or of those that have ``plain`` ordinary words besides their slots, or if
+``verbatim`` words in a row are equal in both, whatever their share of the item.
 
 Items shorter than ``width`` tokens are one window of their own length. Windows with fewer than ``plain`` words, and items
 shorter than ``shortest``, would match anything of the kind: they are hashed with their values and met only by verbatim
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored_small, text_of, without_ids
 from tidemark.sources.store import materialise
 
-WIDTH, SHORTEST, PLAIN, COVERAGE = 8, 4, 4, 0.3
+WIDTH, SHORTEST, PLAIN, COVERAGE, VERBATIM = 8, 4, 4, 0.3, 13
 MAX_INDEX = 1_000_000
 SLOT = "\x01"
 # What Unicode calls white space, and the mark of slots; all of it is read as a space.
@@ -95,20 +97,27 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
         none = F.lit(None).cast("array<string>")
         least = plain if width >= shortest else width + 1  # no window has so many: only its exact form remains
         named = F.filter(starts, lambda i: F.contains(kinds(i, width), F.lit("a")) & (words(i, width, False) >= least))
-        return F.when(F.col("slotted"), F.concat(
-            F.transform(starts, lambda i: window(
-                i, width, F.when(words(i, width, True) >= least, hashed(i, width, "worded")).otherwise(hashed(i, width, "exact")),
-                F.when(words(i, width, False) < width, F.slice("tokens", i, F.lit(width))), words(i, width, False) >= least)),
-            F.transform(named, lambda i: window(i, width, hashed(i, width, "reduced"), F.slice("tokens", i, F.lit(width)), F.lit(True))))
-        ).otherwise(F.transform(starts, lambda i: window(i, width, hashed(i, width, "worded"), none, F.lit(width >= least))))
+
+        def simple(i: Column) -> Column:
+            return window(i, width, hashed(i, width, "worded"), none, F.lit(width >= least))
+
+        def slotted(i: Column) -> Column:
+            template = F.when(words(i, width, True) >= least, hashed(i, width, "worded")).otherwise(hashed(i, width, "exact"))
+            return window(i, width, template, F.slice("tokens", i, F.lit(width)), words(i, width, False) >= least)
+
+        # Most windows have no slot, also in texts with some.
+        mixed = F.transform(starts, lambda i: F.when(kinds(i, width) == "w" * width, simple(i)).otherwise(slotted(i)))
+        names = F.transform(named, lambda i: window(i, width, hashed(i, width, "reduced"), F.slice("tokens", i, F.lit(width)), F.lit(True)))
+        mixed = F.when(F.col("named"), F.concat(mixed, names)).otherwise(mixed)
+        return F.when(F.col("slotted"), mixed).otherwise(F.transform(starts, simple))
 
     # Capitals have no "ß".
     base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.replace(F.lower(_marked(text_of(text_col))), F.lit("ß"), F.lit("ss")).alias("marked"))
-    base = base.select("id", F.contains("marked", F.lit(SLOT)).alias("slotted"), F.filter(F.split("marked", " +"), lambda t: t != "").alias("tokens"))
+    base = base.select("id", F.contains("marked", F.lit(SLOT)).alias("slotted"), F.contains("marked", F.lit(SLOT + "a")).alias("named"), F.filter(F.split("marked", " +"), lambda t: t != "").alias("tokens"))
     base = base.select(
-        "id", "slotted", "tokens",
+        "id", "slotted", "named", "tokens",
         F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.when(_is_name(t), _value(t)).otherwise(F.substring(t, 1, 2))).otherwise(t))).alias("worded"),
-        F.when(F.col("slotted"), F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))).alias("reduced"),
+        F.when(F.col("named"), F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))).alias("reduced"),
         F.when(F.col("slotted"), F.transform("tokens", lambda t: F.xxhash64(F.when(_is_name(t), _value(t)).otherwise(t)))).alias("exact"),
         F.when(F.col("slotted"), F.array_join(F.transform("tokens", lambda t: F.when(_is_slot(t), F.when(_is_name(t), F.lit("a")).otherwise(F.lit("n"))).otherwise(F.lit("w"))), "")).alias("kinds"))
     windows = of(widths[0]) if len(widths) == 1 else F.concat(*[of(w) for w in widths])
@@ -117,35 +126,54 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text: str = "text", width: int = WIDTH, shortest: int = SHORTEST, plain: int = PLAIN, coverage: float = COVERAGE,
-                  max_index: int = MAX_INDEX) -> DataFrame:
+                  verbatim: int = VERBATIM, max_index: int = MAX_INDEX) -> DataFrame:
     """One row per contaminated document and item: id, item, item_windows, matched, covered, same_values, start, end.
 
     ``start`` and ``end`` bound the passage in tokens of the document; ``same_values`` is false for a question asked again
-    with other values. Of several alignments the one that covers most stands, then the one with equal values, then the first.
+    with other values. Of several passages the one that covers most stands, then one without gaps, then one with equal values, then the first.
     """
     items = materialise(template_windows(benchmark, item_col, item_text, list(range(1, width + 1)), True, plain, shortest), "benchmark-windows")
     # Which widths the benchmark needs: at most width values.
     used = sorted(r["width"] for r in items.select("width").distinct().collect()) or [width]
-    totals = items.groupBy("id").agg(F.countDistinct("at").alias("item_windows"), F.countDistinct(F.when(F.col("open"), F.col("at"))).alias("open_windows"))
+    sizes = items.groupBy(F.col("id").alias("item")).agg(
+        F.countDistinct("at").alias("item_windows"), F.countDistinct(F.when(F.col("open"), F.col("at"))).alias("open_windows"),
+        F.max(F.col("at") + F.col("width")).alias("item_size"))
     index = stored_small(items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "template", F.col("tokens").alias("item_tokens"),
                                       F.col("open").alias("item_open")), "benchmark-index", max_index)
     # A window without tokens has no slot: where it meets names, they are equal as words.
     hits = template_windows(docs, id_col, text_col, used, False, plain, shortest).join(index, "template").select(
         "id", "item", "at", "item_at", "width", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_open",
         F.when(F.col("item_tokens").isNotNull(), F.coalesce("tokens", "item_tokens")).alias("tokens"), "item_tokens")
-    hits = materialise(hits, "benchmark-hits")
-    lines = hits.groupBy("id", "item", "diagonal").agg(
-        F.countDistinct("item_at").alias("matched"), F.countDistinct(F.when(F.col("item_open"), F.col("item_at"))).alias("matched_open"), F.min("at").alias("start"), F.max(F.col("at") + F.col("width")).alias("end"))
-    slots = hits.where("item_tokens is not null").select(
-        "id", "item", "diagonal", F.explode(F.arrays_zip(F.col("tokens").alias("d"), F.col("item_tokens").alias("i"))).alias("s"))
-    slots = slots.where(_is_slot(F.col("s.i"))).select("id", "item", "diagonal", _value(F.col("s.i")).alias("i"), F.substring("s.i", 1, 2).alias("type"), _value(F.col("s.d")).alias("d")).distinct()
-    bad = slots.groupBy("id", "item", "diagonal", "type", "i").agg(F.count("*").alias("values"), F.min(F.col("i") == F.col("d")).alias("same"))
-    checked = bad.groupBy("id", "item", "diagonal").agg(F.max("values").alias("values"), F.min("same").alias("same_values"))
-    kept = (lines.join(checked, ["id", "item", "diagonal"], "left").join(totals.withColumnRenamed("id", "item"), "item")
-            .where("coalesce(values, 1) = 1").withColumn("covered", F.greatest(F.col("matched") / F.col("item_windows"), F.expr("try_divide(matched_open, open_windows)")))
-            .withColumn("same_values", F.coalesce("same_values", F.lit(True))).where(F.col("covered") >= coverage))
+    values = [F.transform(c, _value) for c in ("tokens", "item_tokens")]
+    hits = materialise(hits.withColumn("equal", F.coalesce(values[0] == values[1], F.lit(True))), "benchmark-hits")
+    line = ["id", "item", "diagonal"]
+    slots = hits.where("item_tokens is not null").select(*line, F.explode(F.arrays_zip(F.col("tokens").alias("d"), F.col("item_tokens").alias("i"))).alias("s"))
+    slots = slots.where(_is_slot(F.col("s.i"))).select(*line, F.col("s.i").alias("slot"), _value(F.col("s.d")).alias("value"))
+    bad = slots.groupBy(*line, "slot").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high")
+    bad = bad.groupBy(*line).agg(F.collect_set("slot").alias("bad"))
+    counted = hits.join(bad, line, "left").where(~F.coalesce(F.arrays_overlap("item_tokens", "bad"), F.lit(False))).join(sizes, "item")
+    # Passages: one diagonal, or those that lie as far apart as the item is long; the two grids of twice that width hold them all.
+    reach = F.col("item_size")
+    grids = F.array(*[F.struct(F.lit(k).alias("grid"), place.cast("bigint").alias("place")) for k, place in enumerate((
+        F.col("diagonal"), F.floor(F.col("diagonal") / (2 * reach)), F.floor((F.col("diagonal") + reach) / (2 * reach))))])
+    passages = counted.withColumn("passage", F.explode(grids)).groupBy("id", "item", "passage", "item_windows", "open_windows").agg(
+        F.countDistinct("item_at").alias("matched"), F.countDistinct(F.when(F.col("item_open"), F.col("item_at"))).alias("matched_open"),
+        F.min("equal").alias("same_values"), F.min("at").alias("start"), F.max(F.col("at") + F.col("width")).alias("end"))
+    covered = F.greatest(F.col("matched") / F.col("item_windows"), F.expr("try_divide(matched_open, open_windows)"))
+    columns = ["id", "item", "item_windows", "matched", "covered", "same_values", "start", "end", "together"]
+    kept = passages.withColumn("covered", covered).withColumn("together", F.col("passage.grid") == 0).where(F.col("covered") >= coverage).select(*columns)
+    # Words in a row that are equal in both texts, whatever their share of the item.
+    more = max(1, verbatim - width + 1) - 1
+    runs = hits.where("equal").groupBy(*line).agg(F.sort_array(F.collect_set("item_at")).alias("places"))
+    starts = F.filter("places", lambda p, k: F.get("places", k + more) == p + more)
+    runs = runs.withColumn("starts", starts).where(F.size("starts") > 0).join(sizes.where(F.col("item_size") >= verbatim), "item")
+    first, last = F.element_at("starts", 1), F.element_at("starts", -1)
+    runs = runs.select("id", "item", "item_windows", F.size("places").cast("bigint").alias("matched"), (F.size("places") / F.col("item_windows")).alias("covered"),
+                       F.lit(True).alias("same_values"), (F.col("diagonal") + first).alias("start"), (F.col("diagonal") + last + more + width).alias("end"),
+                       F.lit(True).alias("together"))
+    kept = kept.unionByName(runs)
     best = kept.groupBy("id", "item").agg(
-        F.max(F.struct("covered", "same_values", (-F.col("start")).alias("earlier"), "end", "matched", "item_windows")).alias("b"))
+        F.max(F.struct("covered", "together", "same_values", (-F.col("start")).alias("earlier"), "end", "matched", "item_windows")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.item_windows", "b.matched", "b.covered", "b.same_values",
                        (-F.col("b.earlier")).alias("start"), "b.end")
 
