@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, exact, near_dedup, prefix_trie, quality, repeats, sharding, suffix_tree, toxicity, url_filters
+from tidemark.llm import bpe, decontam, exact, near_dedup, phrases, prefix_trie, quality, repeats, sharding, suffix_tree, toxicity, url_filters
 from tidemark.llm.common import remainder_of_five, table
 
 SHARDS = 24
@@ -107,6 +107,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
@@ -122,6 +126,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
+    "op12_collocations": op12_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL = {"op8_exact_dedup": exact.QUERY_SQL, "op9_url_filters": OP9_SQL, "op13_prefix_trie": prefix_trie.QUERY_SQL}
+ORACLE_SQL = {"op8_exact_dedup": exact.QUERY_SQL, "op9_url_filters": OP9_SQL, "op12_collocations": phrases.QUERY_SQL, "op13_prefix_trie": prefix_trie.QUERY_SQL}
