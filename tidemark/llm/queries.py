@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, exact, near_dedup, phrases, prefix_trie, quality, repeats, sharding, suffix_tree, toxicity, url_filters
+from tidemark.llm import bpe, decontam, exact, near_dedup, ngram_join, phrases, prefix_trie, quality, repeats, sharding, suffix_tree, toxicity, url_filters
 from tidemark.llm.common import remainder_of_five, table
 
 SHARDS = 24
@@ -107,6 +107,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -126,6 +130,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
+    "op11_ngram_join": op11_ngram_join,
     "op12_collocations": op12_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
