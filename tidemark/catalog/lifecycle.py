@@ -171,18 +171,6 @@ def segment_dedup(t: Tables):
     return intake.flag_duplicates(delivered, stored, "delivery").select("source_id", "seq_first", "seq_last", "delivery", "duplicate")
 
 
-@query("ingest_segments", f"""WITH {SEGMENTS_SQL}, {CONTIGUITY_SQL}
-SELECT source_id, seq_first, seq_last, root, s.status FROM segs JOIN contiguity s USING (source_id, seq_first, seq_last) WHERE s.status = 'ok' AND segment % 3 <> 0""")
-def ingest_segments(t: Tables):
-    # What one intake run appends: new deliveries, once each, whose frames hold up.
-    delivered, stored = deliveries(t)
-    fresh = intake.new_segments(delivered, stored)
-    segments, frames = delivered_frames(t)
-    judged = intake.segment_contiguity(frames, segments.select("segment_id", "source_id", "seq_first", "seq_last"))
-    return (fresh.join(judged.where(F.col("status") == "ok").select("segment_id", "status"), "segment_id")
-            .select("source_id", "seq_first", "seq_last", hex_lower(F.col("root")).alias("root"), "status"))
-
-
 @query("intake_validate", """SELECT event_id, CASE event_id % 12 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'missing_event_type' WHEN 2 THEN 'bad_outcome' WHEN 3 THEN 'bad_event_time'
   WHEN 4 THEN CASE WHEN user_id % 2 = 0 THEN 'ok' ELSE 'reserved_event_type' END ELSE 'ok' END AS status FROM events""")
 def intake_validate(t: Tables):
