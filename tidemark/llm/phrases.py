@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +40,14 @@ LONGEST = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPLIT = bytes(ord("\n") if c in b".,;:!?\n\x0b\x0c\r" else ord(" ") if c == 9 else c for c in range(256))
 _COUNT = np.dtype([("id", "<u8"), ("n", "<i8")])
-_POINTER = np.dtype([("w0", "<u8"), ("w1", "<u8"), ("w2", "<u8"), ("n", "<i8")])
 _WORDS = ("w0", "w1", "w2")
 
 
+def _pointer(ranked: bool) -> np.dtype:
+    """Words as ranks among the known ones (from 1) or as their numbers; 0 is no word."""
+    return np.dtype([(w, "<u4" if ranked else "<u8") for w in _WORDS] + [("n", "<i4" if ranked else "<i8")])
+
+
 @dataclass(frozen=True)
 class Rules:
     least: int = 10
@@ -105,19 +110,29 @@ def _dealt(rows: np.ndarray, bucket: np.ndarray):
     rows, bucket = rows[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for part, b in zip(np.split(rows, cuts), bucket[np.concatenate([[0], cuts])] if len(bucket) else [], strict=False):
-        yield int(b), part.tobytes()
+        yield int(b), b"".join(np.ascontiguousarray(part[f]).tobytes() for f in rows.dtype.names)  # by columns: they compress
+
+
+def _rows(blob, kind: np.dtype) -> np.ndarray:
+    out, at = np.zeros(len(blob) // kind.itemsize, kind), 0
+    for f in kind.names:
+        out[f] = np.frombuffer(blob, kind[f], len(out), at)
+        at += out[f].nbytes
+    return out
 
 
 def _by_bucket(batches, kind: np.dtype):
-    """(bucket, all its rows) over batches sorted by bucket."""
+    """All rows of a bucket, over batches sorted by bucket."""
     at, parts = None, []
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if not blob.is_valid:
+                continue
             if b != at and parts:
                 yield np.concatenate(parts)
                 parts = []
             at = b
-            parts.append(np.frombuffer(blob.as_buffer(), kind))
+            parts.append(_rows(blob.as_buffer(), kind))
     if parts:
         yield np.concatenate(parts)
 
@@ -160,8 +175,9 @@ def _among(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def pointers(texts: DataFrame, salt: int, buckets: int, known, hot, rules: Rules) -> DataFrame:
-    """Two kinds of rows: suffix pointers (bucket, rows), and words (id, lang, word) of the numbers left."""
+    """Two kinds of rows: suffix pointers (bucket, rows), and words (bucket, id, lang, word) of the numbers left."""
     names = ["bucket", "rows", "id", "lang", "word"]
+    kind = _pointer(known is not None)
 
     def run(batches):
         for langs, ids, words in _chunks(batches, salt, rules.chunk_words):
@@ -175,28 +191,29 @@ def pointers(texts: DataFrame, salt: int, buckets: int, known, hot, rules: Rules
             ends = np.cumsum([size for _, size, _ in langs])
             spoken = np.searchsorted(ends, places, side="right").tolist()
             if len(one):
-                none = pa.nulls(len(one))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), pa.array(one.view(np.int64)), pa.array([langs[i][0] for i in spoken], pa.string()),
+                yield pa.RecordBatch.from_arrays([pa.array(((one >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)), pa.nulls(len(one), pa.binary()), pa.array(one.view(np.int64)), pa.array([langs[i][0] for i in spoken], pa.string()),
                                                   pa.array([words[i].decode() for i in places.tolist()], pa.string())], names=names)
             at = np.flatnonzero(left[:-1] & left[1:])
             # A pair whose second word was the last one seen has been counted before; the same for three words.
             new = _fresh(langs, len(ids))
-            ids = np.append(ids, np.uint64(0))
+            if known is not None:
+                ids = np.where(left, np.searchsorted(known.value, ids).astype(np.uint32) + np.uint32(1), np.uint32(0)).astype(np.uint32)
+            ids = np.append(ids, ids.dtype.type(0))
             new = np.append(new, True)
             at = at[new[at + 1] | new[at + 2] & (ids[at + 2] > 0)]
-            rows = np.zeros(len(at), _POINTER)
+            rows = np.zeros(len(at), kind)
             for i, w in enumerate(_WORDS):
                 rows[w] = ids[at + i]
             # Known pairs in front of a new third word count for the three words only: minus one for the pair.
             again = ~new[at + 1]
             rows = _weighed(rows, np.ones(len(at), np.int64))
             if again.any():
-                less = np.zeros(int(again.sum()), _POINTER)
+                less = np.zeros(int(again.sum()), kind)
                 less["w0"], less["w1"] = ids[at[again]], ids[at[again] + 1]
                 less["n"] = -1
                 rows = np.concatenate([rows, less])
-            mixed = (rows["w0"] * _MIX + rows["w1"]) * _MIX
-            both = _among(rows["w0"], hot.value) & _among(rows["w1"], hot.value)
+            mixed = (rows["w0"].astype(np.uint64) * _MIX + rows["w1"]) * _MIX
+            both = _hot_pairs(rows, known, hot)
             mixed = np.where(both, (mixed + rows["w2"]) * _MIX, mixed)
             out = list(_dealt(rows, (mixed >> np.uint64(32)) % np.uint64(buckets)))
             if out:
@@ -207,6 +224,19 @@ def pointers(texts: DataFrame, salt: int, buckets: int, known, hot, rules: Rules
     return texts.mapInArrow(run, "bucket bigint, rows binary, id bigint, lang string, word string")
 
 
+def _numbers_of(words: np.ndarray, known) -> np.ndarray:
+    """Ranks back to numbers."""
+    if known is None:
+        return words
+    return np.where(words > 0, known.value[np.maximum(words, 1) - 1], np.uint64(0)) if len(known.value) else words.astype(np.uint64)
+
+
+def _hot_pairs(rows: np.ndarray, known, hot) -> np.ndarray:
+    if not len(hot.value):
+        return np.zeros(len(rows), bool)
+    return _among(_numbers_of(rows["w0"], known), hot.value) & _among(_numbers_of(rows["w1"], known), hot.value)
+
+
 def _weighed(rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Equal pointers as one, with the sum of their weights."""
     order = np.lexsort([rows[w] for w in reversed(_WORDS)])
@@ -265,20 +295,37 @@ def _finish(rows: np.ndarray, depth: int, least: int):
             yield _phrase(rows[starts[good]], words, n[good])
 
 
-def phrases(dealt: DataFrame, buckets: int, hot, rules: Rules) -> DataFrame:
-    """w0, w1, w2 (0 for two words), a: the phrases with ``least`` occurrences."""
+def phrases(dealt: DataFrame, buckets: int, known, hot, rules: Rules) -> DataFrame:
+    """w0, w1, w2 (0 for two words), a: phrases and their counts, to be summed; and the words (id, lang, word) as they came."""
+    names = [*_WORDS, "a", "id", "lang", "word"]
+    kind = _pointer(known is not None)
 
     def run(batches):
-        for rows in _by_bucket(batches, _POINTER):
+        spoken = []
+
+        def passing():
+            for batch in batches:
+                words = batch.filter(pc.is_valid(batch.column("id")))
+                if words.num_rows:
+                    none = pa.nulls(words.num_rows, pa.int64())
+                    spoken.append(pa.RecordBatch.from_arrays([none] * 4 + [words.column(c) for c in ("id", "lang", "word")], names=names))
+                yield batch
+
+        for rows in _by_bucket(passing(), kind):
+            rows = rows.astype([(w, kind[w]) for w in _WORDS] + [("n", "<i8")])  # sums may pass 32 bits
             rows = _weighed(rows, rows["n"])
-            both = _among(rows["w0"], hot.value) & _among(rows["w1"], hot.value)
-            # Of a hot pair a bucket has a part of the occurrences: all such parts go on, and are summed below.
+            both = _hot_pairs(rows, known, hot)
+            # Of a hot pair a bucket has a part of the occurrences: all such parts go on, and are summed.
             for some, least in ((rows[~both], rules.least), (rows[both], 1)):
                 for out in equal_parts(some, least, rules.small) if len(some) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[w]).view(np.int64)) for w in _WORDS] + [pa.array(np.ascontiguousarray(out["n"]))], names=[*_WORDS, "a"])
+                    none = pa.nulls(len(out))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(_numbers_of(out[w], known)).view(np.int64)) for w in _WORDS]
+                                                     + [pa.array(np.ascontiguousarray(out["n"])), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.string())], names=names)
+            yield from spoken
+            spoken.clear()
+        yield from spoken
 
-    found = _gathered(dealt, buckets).mapInArrow(run, "w0 bigint, w1 bigint, w2 bigint, a bigint")
-    return found.groupBy(*_WORDS).agg(F.sum("a").alias("a")).where(F.col("a") >= rules.least)
+    return _gathered(dealt, buckets).mapInArrow(run, "w0 bigint, w1 bigint, w2 bigint, a bigint, id bigint, lang string, word string")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -305,13 +352,13 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         known = spark.sparkContext.broadcast(_sorted_ids(left)) if left.count() <= rules.most_known else None
         hot_from = max(rules.hot, -(-size // rules.most_known))
         hot = spark.sparkContext.broadcast(_sorted_ids(left.where(F.col("n") > hot_from)))
-        dealt = materialise(pointers(texts, salt, buckets, known, hot, rules), "phrase-pointers")
-        spoken = dealt.where("id is not null").groupBy("id").agg(F.min(F.struct("lang", "word")).alias("one"), F.max(F.struct("lang", "word")).alias("other"))
+        found = materialise(phrases(pointers(texts, salt, buckets, known, hot, rules), buckets, known, hot, rules), "phrase-parts")
+        spoken = found.where("id is not null").groupBy("id").agg(F.min(F.struct("lang", "word")).alias("one"), F.max(F.struct("lang", "word")).alias("other"))
         words = materialise(left.join(spoken, "id").select("id", F.col("n").alias("f"), "one.lang", "one.word", (F.col("one") != F.col("other")).alias("shared")), "phrase-words")
         if words.where("shared").isEmpty():
             break
         salt += 1
-    found = materialise(phrases(dealt.where("bucket is not null").select("bucket", "rows"), buckets, hot, rules), "phrase-found")
+    found = materialise(found.where("id is null").groupBy(*_WORDS).agg(F.sum("a").alias("a")).where(F.col("a") >= rules.least), "phrase-found")
     # All occurrences of words per language, rare words too.
     totals = texts.mapInArrow(_totals, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n"))
 
