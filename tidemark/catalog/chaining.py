@@ -8,12 +8,15 @@ from tidemark.catalog.base import Tables, query
 from tidemark.catalog.logs import (
     BODY_SQL, CAPTURED_SQL, TAMPER_SQL, WHOLE_SQL, bodies, captured, frames, tampered, whole_log,
 )
-from tidemark.catalog.sqltext import merkle_sql, root_name
+from tidemark.catalog.sqltext import LEVELS, merkle_sql, root_name
 from tidemark.functions.hashing import hex_lower, leaf_hash, sha_bin, sha_hex
 from tidemark.operators import chain as c
 from tidemark.operators import proofs as p
 from tidemark.operators.digests import ordered_digests
-from tidemark.operators.merkle import merkle_roots, prefix_roots
+from tidemark.operators.merkle import TILE, build_tiles, merkle_roots, prefix_roots
+from tidemark.plans.tiles import TileLog
+from tidemark.session import scratch_path
+from tidemark.sources.store import materialise
 
 FIELDS = ["v", "source_id", "seq", "event_type", "event_time", "payload_clear", "key_id", "prev_hash"]
 
@@ -167,12 +170,21 @@ def asked_inclusions(t: Tables):
 
 def inclusion_rows(t: Tables):
     leaves = whole_leaves(t)
-    proofs = p.inclusion_proofs(leaves, asked_inclusions(t))
-    roots = prefix_roots(leaves, segment_sizes(t))
+    tiles = build_tiles(leaves)
+    proofs = p.inclusion_proofs(tiles, asked_inclusions(t))
+    roots = prefix_roots(tiles, segment_sizes(t))
     return proofs.join(leaves, ["source_id", "idx"]).join(roots, ["source_id", "size"])
 
 
-@query("inclusion_proofs")
+def levels_sql(columns: str) -> str:
+    """The levels of all prefix trees as one table (l, columns)."""
+    return " UNION ALL ".join(f"SELECT {n} AS l, {columns} FROM {'prefix_leaves' if n == 0 else f'p_{n}'}" for n in range(LEVELS + 1))
+
+
+@query("inclusion_proofs", f"""WITH {PREFIX_SQL}, levels AS ({levels_sql('size, i, h')}),
+asked AS (SELECT source_id, seq - 1 AS idx, least(((seq - 1) // 256 + 1) * 256, (SELECT max(seq) FROM whole_log)) AS size FROM whole_log),
+steps AS (SELECT source_id, idx, a.size, l, h FROM asked a JOIN levels v ON v.size = a.size AND v.i = xor(a.idx >> l, 1))
+SELECT a.source_id, a.idx, a.size, coalesce(path, []) AS path FROM asked a LEFT JOIN (SELECT idx, list(h ORDER BY l) AS path FROM steps GROUP BY idx) USING (idx)""")
 def inclusion_proofs(t: Tables):
     proofs = p.inclusion_proofs(whole_leaves(t), asked_inclusions(t))
     return proofs.select("source_id", "idx", "size", F.transform("path", lambda h: F.lower(F.hex(h))).alias("path"))
@@ -199,7 +211,15 @@ def asked_consistency(t: Tables):
     return steps.unionByName(ends).distinct()
 
 
-@query("consistency_proofs")
+PAIRS_SQL = """pairs AS (SELECT a.source_id, a.size AS old, b.size FROM sizes a JOIN sizes b ON (b.size + 255) // 256 = (a.size + 255) // 256 + 1
+  UNION SELECT source_id, size, (SELECT max(size) FROM sizes) FROM sizes)"""
+
+
+@query("consistency_proofs", f"""WITH {PREFIX_SQL}, levels AS ({levels_sql('size, i, h')}), {PAIRS_SQL},
+begun AS (SELECT *, bit_count(xor(old - 1, old)) - 1 AS s FROM pairs WHERE old < size),
+steps AS (SELECT old, b.size, -1 AS l, h FROM begun b JOIN levels v ON v.size = b.size AND v.l = s AND v.i = (old - 1) >> s AND v.i > 0
+  UNION ALL SELECT old, b.size, l, h FROM begun b JOIN levels v ON v.size = b.size AND v.l >= s AND v.i = xor((old - 1) >> l, 1))
+SELECT p.source_id, p.old, p.size, coalesce(path, []) AS path FROM pairs p LEFT JOIN (SELECT old, size, list(h ORDER BY l) AS path FROM steps GROUP BY old, size) USING (old, size)""")
 def consistency_proofs(t: Tables):
     proofs = p.consistency_proofs(whole_leaves(t), asked_consistency(t))
     return proofs.select("source_id", "old", "size", F.transform("path", lambda h: F.lower(F.hex(h))).alias("path"))
@@ -211,11 +231,30 @@ pairs AS (SELECT a.source_id, a.size AS old, b.size FROM sizes a JOIN sizes b ON
 SELECT source_id, old, size, (old // 256) % 7 <> 2 AS consistent FROM pairs""")
 def consistency_verify(t: Tables):
     # The claimed old root is altered for one size in seven and must fail.
-    leaves = whole_leaves(t)
-    roots = prefix_roots(leaves, segment_sizes(t))
-    proofs = p.consistency_proofs(leaves, asked_consistency(t))
+    tiles = build_tiles(whole_leaves(t))
+    roots = materialise(prefix_roots(tiles, segment_sizes(t)), "roots")
+    proofs = p.consistency_proofs(tiles, asked_consistency(t))
     rows = (proofs.join(roots, ["source_id", "size"])
             .join(roots.select("source_id", F.col("size").alias("old"), F.col("root").alias("old_root")), ["source_id", "old"]))
     altered = F.when(F.call_function("div", F.col("old"), F.lit(256).cast("bigint")) % 7 == 2, F.reverse(F.hex("old_root"))
                      ).otherwise(F.hex("old_root"))
     return p.verify_consistency(rows.withColumn("old_root", F.unhex(altered))).select("source_id", "old", "size", "consistent")
+
+
+@query("merkle_tiles", f"""WITH {LEAF_SQL}, {merkle_sql('leaves', 'm')}, low AS (SELECT source_id, i // {TILE} AS tile, count(*) AS n FROM leaves GROUP BY ALL),
+high AS (SELECT source_id, count(*) AS n FROM low WHERE n = {TILE} GROUP BY source_id)
+SELECT low.source_id, 0 AS round, tile, CAST(low.n AS INTEGER) AS n, CASE WHEN low.n = {TILE} THEN h END AS top FROM low LEFT JOIN m_13 ON m_13.source_id = low.source_id AND m_13.i = tile
+UNION ALL SELECT source_id, 1, 0, CAST(n AS INTEGER), NULL FROM high""")
+def merkle_tiles(t: Tables):
+    return build_tiles(whole_leaves(t)).select("source_id", "round", "tile", "n", hex_lower(F.col("top")).alias("top"))
+
+
+@query("tile_roots", f"WITH {PREFIX_SQL} SELECT source_id, size, h AS root FROM {root_name('p')}")
+def tile_roots(t: Tables):
+    """Roots from a log of tiles that has grown three times, with one of the batches repeated."""
+    leaves = materialise(whole_leaves(t), "leaves")
+    third = F.call_function("div", F.col("idx") * 3, F.lit(leaves.count()).cast("bigint"))
+    log = TileLog(t.spark, scratch_path(t.spark, "tile-log"))
+    for batch in (0, 1, 1, 2):
+        log.grow(leaves.where(third == batch), "log", batch)
+    return prefix_roots(log.tiles(), segment_sizes(t)).select("source_id", "size", hex_lower(F.col("root")).alias("root"))

@@ -40,7 +40,7 @@ def _hash_steps(leaves: DataFrame, steps: DataFrame, key: list[str]) -> DataFram
 
 
 def inclusion_proofs(leaves: DataFrame, asked: DataFrame) -> DataFrame:
-    """Audit paths for asked(source_id, idx, size): adds path array<binary> (leaf to root)."""
+    """Audit paths for asked(source_id, idx, size) over leaves or tiles: adds path array<binary> (leaf to root)."""
     steps = asked.select("source_id", "idx", "size", F.expr(f"posexplode({siblings('idx', 'size', '0')}) AS (step, s)")).select(
         "source_id", "idx", "size", "step", "s.level", "s.node")
     paths = _hash_steps(leaves, steps, ["source_id", "idx", "size"])
