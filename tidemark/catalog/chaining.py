@@ -83,9 +83,10 @@ def parse_records(t: Tables):
 
 
 def checked(t: Tables):
+    # Written once: the chain behind it is serial.
     parsed = c.parsed_frames(tampered(t))
-    return parsed.select("source_id", "ordinal", "claimed_hash", "record_hash", "parse_error",
-                         F.col("record.seq").alias("seq"), F.col("record.prev_hash").alias("prev_hash"))
+    return materialise(parsed.select("source_id", "ordinal", "claimed_hash", "record_hash", "parse_error",
+                                     F.col("record.seq").alias("seq"), F.col("record.prev_hash").alias("prev_hash")), "checked")
 
 
 CHECK_SQL = f"""{TAMPER_SQL},

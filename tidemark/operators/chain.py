@@ -112,7 +112,11 @@ def link_errors(parsed: DataFrame, covered: DataFrame | None = None, width: int
     ``covered(source_id, lo, hi)`` are merged tombstone ranges: sources that have any start at seq 1, and a
     gap is accepted only when one range covers it whole.
     """
-    rows = stitched_lag(parsed, ["source_id"], "ordinal", ["seq", "record_hash"], width)
+    return link_kinds(stitched_lag(parsed, ["source_id"], "ordinal", ["seq", "record_hash"], width), covered)
+
+
+def link_kinds(rows: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """The failing ones of rows that know the record before them (prev_seq, prev_record_hash)."""
     previous_seq = F.coalesce("prev_seq", F.lit(0).cast("bigint"))
     previous_hash = F.coalesce("prev_record_hash", F.lit(ZERO_HASH))
     first = F.col("prev_record_hash").isNull()
@@ -163,7 +167,9 @@ def first_errors(errors: DataFrame) -> DataFrame:
 
 def chain_verdicts(parsed: DataFrame, covered: DataFrame | None = None, width: int = BLOCK_WIDTH) -> DataFrame:
     """One row per source: chain_valid and the first error."""
-    errors = first_errors(link_errors(parsed, covered, width))
-    sources = parsed.select("source_id").distinct()
+    return verdicts_of(first_errors(link_errors(parsed, covered, width)), parsed.select("source_id").distinct())
+
+
+def verdicts_of(errors: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.join(errors, "source_id", "left").select(
         "source_id", F.col("kind").isNull().alias("chain_valid"), "kind", "message")

@@ -13,10 +13,10 @@ INTERVAL_NS = 60 * SECOND
 MAX_SILENCE_NS = 180 * SECOND
 
 
-def beat_spans(records: DataFrame, max_silence_ns: int, width: int = BLOCK_WIDTH) -> DataFrame:
+def beat_spans(records: DataFrame, max_silence_ns: int) -> DataFrame:
     """Spans between consecutive heartbeats that can be a silence or the longest one."""
     beats = records.where((F.col("event_type") == HEARTBEAT) & F.col("time_ns").isNotNull()).select("source_id", "time_ns")
-    return spans_between(beats, ["source_id"], "time_ns", max_silence_ns, width)
+    return spans_between(beats, ["source_id"], "time_ns", max_silence_ns)
 
 
 def clean_stops(records: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
@@ -33,9 +33,13 @@ def observation_windows(records: DataFrame, max_silence_ns: int = MAX_SILENCE_NS
 
     The heartbeat before the window is counted in time order, the one before the stop in arrival order.
     """
-    spans = beat_spans(records, max_silence_ns, width) if spans is None else spans
+    spans = beat_spans(records, max_silence_ns) if spans is None else spans
+    return windows_of(spans, clean_stops(records, width), max_silence_ns)
+
+
+def windows_of(spans: DataFrame, stops: DataFrame, max_silence_ns: int) -> DataFrame:
     gaps = spans.where(F.col("gap") > max_silence_ns)
-    stops = clean_stops(records, width).withColumn("_stopped", F.lit(True))
+    stops = stops.withColumn("_stopped", F.lit(True))
     return gaps.join(stops, ["source_id", "before"], "left").select(
         "source_id", F.col("start").alias("start_ns"), F.col("stop").alias("end_ns"), F.col("gap").alias("gap_ns"),
         F.coalesce("_stopped", F.lit(False)).alias("bounded"))
@@ -93,16 +97,16 @@ def transport_summary(records: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame
 
 
 def session_gaps(records: DataFrame, max_silence: str) -> DataFrame:
-    """Silences as the space between heartbeat sessions; the batch twin of the streaming detector."""
-    from pyspark.sql import Window
-
-    beats = records.where(F.col("event_type") == HEARTBEAT).select(
-        "source_id", F.timestamp_micros(F.call_function("div", F.col("time_ns"), F.lit(1000).cast("bigint"))).alias("at"))
-    sessions = beats.groupBy("source_id", F.session_window("at", max_silence)).agg(
-        F.min("at").alias("first"), F.max("at").alias("last"))
-    before = F.lag("last").over(Window.partitionBy("source_id").orderBy("first"))
-    return (sessions.withColumn("_before", before).where(F.col("_before").isNotNull())
-            .select("source_id", F.unix_micros("_before").alias("start_us"), F.unix_micros("first").alias("end_us")))
+    """Silences as the space between heartbeat sessions; the batch twin of the streaming detector.
+
+    Heartbeats further apart than the limit are in two sessions, so the silences are the over-long spans.
+    """
+    limit = records.sparkSession.sql(f"SELECT CAST(INTERVAL {max_silence} AS INTERVAL DAY TO SECOND) AS d").select(
+        (F.expr("extract(DAY FROM d)") * 86400 + F.expr("extract(HOUR FROM d)") * 3600 + F.expr("extract(MINUTE FROM d)") * 60 + F.expr("extract(SECOND FROM d)")).cast("double")).first()[0]
+    widest = int(limit * 1_000_000)
+    beats = records.where(F.col("event_type") == HEARTBEAT).select("source_id", F.call_function("div", F.col("time_ns"), F.lit(1000).cast("bigint")).alias("at"))
+    return spans_between(beats.where("at is not null"), ["source_id"], "at", widest).where(F.col("gap") >= widest).select(
+        "source_id", F.col("start").alias("start_us"), F.col("stop").alias("end_us"))
 
 
 def heartbeat_cadence(records: DataFrame, window: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import materialise
+
 BLOCK_WIDTH = 1 << 20
 BLOCK = "_block"
 
@@ -83,28 +85,23 @@ def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_slice", F.spark_partition_id())
 
 
-def spans_between(points: DataFrame, keys: list[str], time: str, widest: int, width: int = BLOCK_WIDTH) -> DataFrame:
+def spans_between(points: DataFrame, keys: list[str], time: str, widest: int) -> DataFrame:
     """Consecutive-time differences that matter: every one above ``widest`` and the largest of each key.
 
-    Rows are pre-aggregated to (key, bucket) with first and last time and a count. A bucket is no wider than
-    ``widest`` nor than span/(n-1), so by the pigeonhole principle neither an over-long difference nor the
-    largest one can hide inside a bucket. Output per bucket: start (end of the bucket before), stop, gap and
-    ``before`` (points in earlier buckets), with start null for the first bucket.
+    Points are range-partitioned by key and time, so a key that owns most of them is spread out. A slice keeps the
+    differences over ``widest``, its largest one and its ends; what is kept is written, and ends of neighbouring slices meet
+    across the seams. Output: start, stop, gap and ``before`` (how many points come before stop); some rows may not matter.
     """
-    size = points.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    step = F.greatest(F.lit(1).cast("bigint"), F.least(
-        F.lit(widest).cast("bigint"),
-        F.call_function("div", F.col("_hi") - F.col("_lo"), F.greatest(F.col("_n") - 1, F.lit(1)))))
-    size = size.select(*keys, "_lo", step.alias("_step"))
-    buckets = (
-        points.join(size, keys)
-        .withColumn("bucket", F.call_function("div", F.col(time) - F.col("_lo"), F.col("_step")))
-        .groupBy(*keys, "bucket")
-        .agg(F.min(time).alias("stop"), F.max(time).alias("last"), F.count("*").alias("n"))
-    )
-    counted = stitched_running(buckets, keys, "bucket", "before", F.col("n"), "sum", False, width)
-    seamed = stitched_lag(counted, keys, "bucket", ["last"], width)
-    return seamed.select(
-        *keys, F.col("prev_last").alias("start"), "stop", (F.col("stop") - F.col("prev_last")).alias("gap"),
-        "before", "n")
+    dealt = sliced(points.select(*keys, time), keys, [time])
+    inside = Window.partitionBy(*keys, "_slice").orderBy(time)
+    whole = Window.partitionBy(*keys, "_slice")
+    rows = dealt.withColumns({"start": F.lag(time).over(inside), "_rank": F.row_number().over(inside)}).withColumn("gap", F.col(time) - F.col("start"))
+    rows = rows.withColumns({"_n": F.count("*").over(whole), "_most": F.max(F.struct("gap", "_rank")).over(whole)})
+    kept = materialise(rows.where((F.col("gap") > widest) | (F.col("_rank") == F.col("_most._rank")) | (F.col("_rank") == 1) | (F.col("_rank") == F.col("_n"))).select(
+        *keys, "_slice", "start", F.col(time).alias("stop"), "gap", "_rank", "_n"), "spans")
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    seams = kept.where("_rank = _n").select(*keys, "_slice", F.lag("stop").over(across).alias("_last"),
+                                            F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    met = kept.join(seams, [*keys, "_slice"])
+    start = F.when(F.col("_rank") == 1, F.col("_last")).otherwise(F.col("start"))
+    return met.select(*keys, start.alias("start"), "stop", (F.col("stop") - start).alias("gap"), (F.col("_rank") - 1 + F.col("_ahead")).alias("before"))

@@ -1,7 +1,7 @@
 """Verification of captured records: every check over all sources as one set of DataFrames.
 
-The record bytes are read, parsed and hashed once into a narrow table of facts. Each check then reads only the
-columns it needs from there.
+The record bytes are read, parsed, hashed and put in order once (operators/passes.py). Each check then reads only the rows
+and columns it needs from there.
 """
 
 from __future__ import annotations
@@ -12,13 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import leaf_hash
 from tidemark.functions.texts import ADVICE, CHAIN_KINDS, TEXTS, filled
-from tidemark.functions.times import format_duration, format_pinned, parse_pinned_ns
+from tidemark.functions.times import format_duration, format_pinned
 from tidemark.operators import captured as cap
-from tidemark.operators import chain, checkpoints as cps, continuity as con, retention as ret
+from tidemark.operators import chain, checkpoints as cps, continuity as con, passes, retention as ret
 from tidemark.operators.merkle import prefix_roots
-from tidemark.operators.ordered import stitched_row_number
+from tidemark.operators.ordered import spans_between, stitched_row_number
 from tidemark.sources.store import materialise
 
 
@@ -54,55 +53,41 @@ class Verification:
     policy: VerifyPolicy
 
 
-def record_facts(frames: DataFrame) -> DataFrame:
-    parsed = chain.parsed_frames(frames)
-    r = F.col("record")
-    # Payload text is kept for the two event types whose payload is read.
-    wanted = r["event_type"].isin(cap.HEARTBEAT, cap.KEY_REVOKED)
-    return parsed.select(
-        "source_id", "ordinal", "claimed_hash", "record_hash", "parse_error", r["seq"].alias("seq"),
-        r["event_type"].alias("event_type"), parse_pinned_ns(r["event_time"]).alias("time_ns"),
-        r["prev_hash"].alias("prev_hash"), r["key_id"].alias("key_id"), r["payload_ct"].isNotNull().alias("sealed"),
-        F.when(wanted, r["payload_clear"]).alias("payload_clear"), leaf_hash(F.col("record_bytes")).alias("leaf"))
-
-
 def verify(evidence: Evidence, policy: VerifyPolicy = VerifyPolicy()) -> Verification:
-    facts = materialise(record_facts(evidence.frames), "facts")
-    broken = facts.where("parse_error").groupBy("source_id").agg(F.min("ordinal").alias("unparsed_at"))
-    records = (facts.where(~F.col("parse_error")).join(broken, "source_id", "left_anti")
-               .withColumn("payload_ct", F.when(F.col("sealed"), F.lit("sealed"))))
+    """All checks from one pass over the records. Results, windows and revocations are written, so that findings and reports read them."""
+    done = passes.one_pass(evidence.frames)
+    broken = done.sources.where("unparsed_at is not null").select("source_id")
     tombstoned = evidence.tombstones
     covered = ret.tombstone_ranges(tombstoned) if tombstoned is not None else None
 
-    verdicts = chain.chain_verdicts(facts, covered).select("source_id", "chain_valid", F.col("message").alias("chain_error"))
-    spans = con.beat_spans(records, policy.max_silence_ns)
-    windows = con.observation_windows(records, policy.max_silence_ns, spans)
-    revocations = cap.key_revocations(records)
+    errors = chain.first_errors(passes.link_errors(done, covered))
+    verdicts = chain.verdicts_of(errors, done.sources.select("source_id")).select("source_id", "chain_valid", F.col("message").alias("chain_error"))
+    beats = done.rows.where("beat").select("source_id", "time_ns").join(broken, "source_id", "left_anti")
+    spans = spans_between(beats, ["source_id"], "time_ns", policy.max_silence_ns)
+    longest = spans.groupBy("source_id").agg(F.max("gap").alias("longest"))
+    windows = materialise(con.windows_of(spans, passes.clean_stops(done), policy.max_silence_ns), "windows")
+    revocations = materialise(cap.key_revocations(done.rows).join(broken, "source_id", "left_anti"), "revocations")
     accepted = evidence.checkpoints.where("sig_ok")
-
-    numbered = stitched_row_number(facts.select("source_id", "ordinal", "leaf"), ["source_id"], "ordinal", "_n")
-    leaves = numbered.select("source_id", (F.col("_n") - 1).alias("idx"), "leaf")
-    whole = leaves if tombstoned is None else leaves.join(tombstoned.select("source_id").distinct(), "source_id", "left_anti")
-    roots = prefix_roots(whole, accepted.select("source_id", "size"))
-    checked = cps.compare_roots(evidence.checkpoints, roots)
-
+    whole = passes.leaves(done)
+    whole = whole if tombstoned is None else whole.join(tombstoned.select("source_id").distinct(), "source_id", "left_anti")
+    checked = cps.compare_roots(evidence.checkpoints, prefix_roots(whole, accepted.select("source_id", "size")))
+
+    none = F.lit(0).cast("bigint")
+    facts = done.sources.join(longest, "source_id", "left").withColumn("longest_gap_ns", F.coalesce("longest", none))
+    facts = facts.withColumns({"expected": passes.expected_beats(policy.interval_ns),
+                               "within_policy": (F.col("observed") > 0) & (F.col("longest_gap_ns") <= policy.max_silence_ns)}).drop("longest", "first_beat")
     parts = [
-        verdicts,
-        cap.captured_spans(records),
-        cps.checkpoint_summary(checked, tombstoned),
-        con.continuity_summary(records, policy.interval_ns, policy.max_silence_ns, spans),
-        con.transport_summary(records),
-        cap.clock_drift(records),
+        facts, verdicts, cps.checkpoint_summary(checked, tombstoned), passes.transport(done),
         windows.groupBy("source_id").agg(F.count("*").alias("windows"), F.count_if(~F.col("bounded")).alias("unbounded")),
         revocations.groupBy("source_id").agg(F.count("*").alias("revocations")),
-        broken,
     ]
     if evidence.receipts is not None:
         parts.append(cps.anchor_summary(cps.match_receipts(evidence.receipts, accepted)))
     if tombstoned is not None:
         parts.append(ret.retention_summary(ret.flag_retained_roots(tombstoned, accepted)))
     joined = reduce(lambda left, right: left.join(right, "source_id", "left"), parts, evidence.sources.select("source_id").distinct())
-    return Verification(_with_defaults(joined), windows, revocations, cap.event_counts(records), policy)
+    records = done.rows.where(~F.col("parse_error")).join(broken, "source_id", "left_anti")
+    return Verification(materialise(_with_defaults(joined), "results"), windows, revocations, cap.event_counts(records), policy)
 
 
 _COUNTS = ["records", "total", "signatures_valid", "roots_valid", "observed", "expected", "longest_gap_ns", "outages",
