@@ -2,25 +2,28 @@
 
 A document is its set of distinct five-word shingles. Equal sets are one class with the smallest id as its representative;
 only representatives are compared. Each of ``trees`` independent trees puts a representative into the node named by one
-full minimum of its own. A node of at most ``small`` members is compared exhaustively. A larger one branches: coordinates
-are chosen by the node's own hash, and members go to the children named by their minimum there. A root branches by two
-coordinates, a deeper node by one and, one time in four, by a second, so that a pair at the threshold meets in 1.06
-children on average while pairs below 0.8 thin out. Four levels down such a pair is still together in a tree with a chance
-of 0.73, and 8 trees miss it with a chance of 3e-5; most nodes end at the root (0.85, and 3e-7).
-
-Nodes above ``small`` never give all their pairs. First every member is compared with ``pivots`` members drawn from the
-node, and the best candidate is confirmed; this joins dense groups in linear work. Components are taken, and the members
-outside the node's largest component are what is left to do: none - the node is done; at most ``rest`` - they are compared
-with all members; more - the node branches. From ``deepest`` on they are compared with all members whatever their number,
-so no link depends on a cap. Pairs of one component are never compared again: links only matter between components.
-
-Candidates are pairs whose signatures agree in ``cutoff`` of 128 coordinates (a true pair at 0.85 falls below 0.72 with a
-chance under 1e-4) and whose sizes allow the similarity. Every link is confirmed on the full sets. Hot nodes are dealt out
-by salts; node tables hold ids, and signatures join only nodes with two members or more.
+full minimum of its own. A node of at most ``small`` members is compared exhaustively, in one task and on the full sets. A
+larger one branches: two coordinates are drawn from the tree's own share of the signature by the node's hash, and members
+go to the children named by their minima there. A pair at the threshold t is kept by a level with 1 - (1 - t)^2 of the
+chance below it, which never falls under 0.96 at 0.85 and 0.93 at 0.80 however deep a node is, so that one tree finds it
+with 0.82 and 0.75, and 8 trees miss it with 1e-6 and 2e-5.
+
+Nodes above ``small`` are not branched before the work in them is known. All members are compared with ``pivots`` members
+drawn from the node, components are taken, and the members outside the node's largest component are what is left to do:
+none - the node is done; at most ``rest`` - they are compared with all members, shard by shard; more - the node branches.
+From ``deepest`` on they are compared with all members whatever their number, so no link depends on a cap. Dense groups
+cost linear work, and nodes whose members are in one component are never looked at again: the first ``first_trees`` trees
+are done before the others start, which mostly find nothing left.
+
+No pair ever leaves a task. A group of rows (a small node, a shard with pivots, two shards) is first compared on signatures:
+members with a possible partner, which agrees in ``cutoff`` of 128 coordinates (a pair at the threshold falls below with a
+chance under 1e-4) and whose size allows the similarity, go on. Their full sets are brought to the group and compared
+exactly there, and only a spanning forest of the links comes out. Shards are bounded by members and by set sizes.
 
 Cases: null and empty texts have an empty set and no links; fewer than five words are one shingle; a null id gets no
-component and is kept; rows that repeat an id are one document, and all of them share its component; an empty table gives
-an empty result. Ids are integers; further columns are left out.
+component and is kept; rows that repeat an id are one document, and all of them share its component; very long texts make
+shards of few members; equal draws fall to the smaller id; an empty table gives an empty result. Ids are integers; further
+columns are left out.
 """
 
 from __future__ import annotations
@@ -30,49 +33,33 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored_small, text_slices, without_ids, words_of
+from tidemark.llm.common import stored_small, text_slices, without_ids
 from tidemark.llm.components import components
+from tidemark.llm.sets import MIX, compared, mixed, shingles
 from tidemark.sources.store import materialise
 
-COORDINATES, WORDS = 128, 5
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+COORDINATES = 128
+BATCH_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
 class Rules:
     percent: int = 85  # link if 100 * intersection >= percent * union
     trees: int = 8
-    small: int = 16
-    rest: int = 256
-    pivots: int = 8
+    first_trees: int = 2
+    small: int = 512
+    rest: int = 4096
+    pivots: int = 16
     cutoff: float = 0.72
-    deepest: int = 10
-    salt_rows: int = 20_000
+    deepest: int = 8
+    salt_rows: int = 512  # members of a shard
+    shard_tokens: int = 500_000  # and their shingles
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_FACTORS = _mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; empty without words."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    width = min(WORDS, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
-    for i in range(width):
-        out = out * _MIX + h[i:len(h) - width + 1 + i]
-    return np.unique(_mixed(out))
+_FACTORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * MIX) | np.uint64(1)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -88,7 +75,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, rules: Rules) -> DataF
     trees = rules.trees
 
     def run(batches):
-        salts = _mixed(np.arange(trees, dtype=np.uint64) + np.uint64(77))
+        salts = mixed(np.arange(trees, dtype=np.uint64) + np.uint64(77))
         for whole in batches:
             for batch in text_slices(whole, 1):
                 n, digest, nodes, sig = [], [], [], []
@@ -100,8 +87,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, rules: Rules) -> DataF
                         continue
                     low = minima(s)
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    nodes.append(_mixed(low[:trees] ^ salts).view(np.int64).tolist())
-                    sig.append((_mixed(low) >> np.uint64(48)).astype("<u2").tobytes())
+                    nodes.append(mixed(low[:trees] ^ salts).view(np.int64).tolist())
+                    sig.append((mixed(low) >> np.uint64(48)).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
                     names=["id", "n", "digest", "nodes", "sig"])
@@ -110,145 +97,75 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, rules: Rules) -> DataF
     return source.mapInArrow(run, "id bigint, n bigint, digest binary, nodes array<bigint>, sig binary")
 
 
-def _columns(table: pa.Table | pa.RecordBatch):
-    return [table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in ("node", "rep", "n", "comp")]
-
-
-def _signatures(table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
+_GROUP = ["node", "i", "j"]
 
 
-def _pairs(a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _possible(n_a, n_b, percent: int):
-    return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-
-
-def pairs_in_small(members: DataFrame, rules: Rules) -> DataFrame:
-    """a, b: candidate pairs inside nodes of at most ``small`` members; a pair comes once per node."""
+def _hits(groups: DataFrame, rules: Rules) -> DataFrame:
+    """node, i, j, rep: the members of each group that may be similar to another one outside their component, by signatures."""
+    names = [*_GROUP, "rep"]
 
     def run(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            node = table.column("node").to_numpy()
-            # The last node may go on in the next batch.
-            cut = int(np.flatnonzero(node == node[-1])[0])
+            where = np.stack([table.column(c).to_numpy().astype(np.int64) for c in _GROUP], 1)
+            # The last group may go on in the next batch.
+            cut = int(np.flatnonzero((where == where[-1]).all(1))[0])
             held = table.slice(cut)
-            yield from compare(table.slice(0, cut))
+            yield possible(table.slice(0, cut), where[:cut])
         if held is not None:
-            yield from compare(held)
+            yield possible(held, np.stack([held.column(c).to_numpy().astype(np.int64) for c in _GROUP], 1))
 
-    def compare(table):
-        if table.num_rows < 2:
-            return
-        node, rep, n, comp = _columns(table)
-        sig = _signatures(table)
+    def possible(table: pa.Table, where: np.ndarray) -> pa.RecordBatch:
+        n, comp = table.column("n").to_numpy(), table.column("comp").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
+        hit = np.zeros(table.num_rows, bool)
         for apart in range(1, table.num_rows):
-            i = np.flatnonzero(node[:-apart] == node[apart:])
-            if not len(i):
+            a = np.flatnonzero((where[:-apart] == where[apart:]).all(1))
+            if not len(a):
                 break
-            j = i + apart
-            fit = (comp[i] != comp[j]) & _possible(n[i], n[j], rules.percent)
-            i, j = i[fit], j[fit]
-            near = (sig[i] == sig[j]).mean(axis=1) >= rules.cutoff
-            if near.any():
-                yield _pairs(rep[i[near]], rep[j[near]])
-
-    dealt = members.select("node", "rep", "n", "comp", "sig").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+            b = a + apart
+            fit = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= rules.percent * np.maximum(n[a], n[b])) & ~(hit[a] & hit[b])
+            a, b = a[fit], b[fit]
+            near = (sig[a] == sig[b]).mean(axis=1) >= rules.cutoff
+            hit[a[near]] = hit[b[near]] = True
+        found = table.select(names).filter(pa.array(hit)).combine_chunks()
+        return pa.RecordBatch.from_arrays([found.column(c).combine_chunks() for c in names], names=names)
 
+    dealt = groups.select(*names, "n", "comp", "sig").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(run, "node bigint, i int, j int, rep bigint")
 
-def pairs_across(heads: DataFrame, members: DataFrame, rules: Rules, best: bool) -> DataFrame:
-    """a, b: candidates between the heads of a node and its members; ``best``: only the nearest head of each member.
 
-    Both have node, rep, n, comp, sig, size. A node's members are dealt out by salts and its heads copied to each salt.
-    """
-
-    def run(batches):
-        at, known = None, None  # the node and salt in hand, and its heads
-        for batch in batches:
-            where = np.stack([batch.column("node").to_numpy(), batch.column("salt").to_numpy().astype(np.int64)], 1)
-            node, rep, n, comp = _columns(batch)
-            sig, member = _signatures(batch), batch.column("member").to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(1)])).tolist()
-            for lo, hi in zip(starts, [*starts[1:], len(node)], strict=True):
-                here = tuple(where[lo])
-                if here != at:
-                    at, known = here, None
-                head = np.flatnonzero(~member[lo:hi]) + lo
-                if len(head):
-                    more = (rep[head], n[head], comp[head], sig[head])
-                    known = more if known is None else tuple(np.concatenate(x) for x in zip(known, more, strict=True))
-                rest = np.flatnonzero(member[lo:hi]) + lo
-                if known is None or not len(rest):
-                    continue
-                for part in np.array_split(rest, -(-len(rest) * len(known[0]) // 20_000)):
-                    alike = (sig[part][:, None, :] == known[3][None, :, :]).mean(axis=2)
-                    alike[(comp[part][:, None] == known[2][None, :]) | ~_possible(n[part][:, None], known[1][None, :], rules.percent)] = 0
-                    if best:
-                        i = np.arange(len(part))
-                        j = alike.argmax(axis=1)
-                        near = alike[i, j] >= rules.cutoff
-                        i, j = i[near], j[near]
-                    else:
-                        i, j = np.nonzero(alike >= rules.cutoff)
-                    if len(i):
-                        yield _pairs(rep[part[i]], known[0][j])
-
-    columns = ["node", "rep", "n", "comp", "sig"]
-    salts = F.greatest(F.lit(1), F.ceil(F.col("size") / rules.salt_rows)).cast("int")
-    h = heads.select(*columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"))
-    m = members.select(*columns, F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"), F.lit(True).alias("member"))
-    dealt = h.unionByName(m).repartition("node", "salt").sortWithinPartitions("node", "salt", "member")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
-
-
-class Confirmer:
-    """Confirms candidate pairs on full sets. The sets of documents are written once, when they are first needed."""
+class Comparer:
+    """Links inside groups, on full sets. The sets of documents are written once, when they are first needed."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, rules: Rules):
         self.texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
         self.rules = rules
         self.sets: DataFrame | None = None
 
-    def _gather(self, pairs: DataFrame) -> None:
-        wanted = pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct()
+    def _gather(self, hits: DataFrame) -> None:
+        wanted = hits.select(F.col("rep").alias("want")).distinct()
         if self.sets is not None:
-            wanted = wanted.join(self.sets.select(F.col("id").alias("want")), "want", "left_anti")
+            wanted = wanted.join(self.sets.select(F.col("rep").alias("want")).distinct(), "want", "left_anti")
         wanted = stored_small(wanted, "near-wanted", 1_000_000)
 
         def run(batches):
             for whole in batches:
                 for batch in text_slices(whole, 1):
+                    sets = [shingles(t) for t in batch.column(1).to_pylist()]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
+                        [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "n", "tokens"])
 
         texts = self.texts.join(wanted, self.texts["id"] == wanted["want"], "left_semi")
-        more = materialise(texts.mapInArrow(run, "id bigint, hashes binary"), "near-sets")
+        more = materialise(texts.mapInArrow(run, "rep bigint, n bigint, tokens binary"), "near-sets")
         self.sets = more if self.sets is None else self.sets.unionByName(more)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "near-pairs")
-        self._gather(pairs)
-        percent = self.rules.percent
-
-        def run(batches):
-            for batch in batches:
-                keep = []
-                for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                    p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                    both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                    if 100 * both >= percent * (len(p) + len(q) - both):
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
-
-        first = self.sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-        second = self.sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-        whole = pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y")
-        return materialise(whole.mapInArrow(run, "a bigint, b bigint"), "near-links")
+    def links(self, groups: DataFrame) -> DataFrame:
+        """a, b; groups: node, i, j, rep, n, comp, sig."""
+        hits = materialise(_hits(groups, self.rules), "near-hits")
+        self._gather(hits)
+        return materialise(compared(hits.join(self.sets, "rep"), _GROUP, self.rules.percent), "near-links")
 
 
 def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -257,68 +174,109 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def _live(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Rows of nodes that hold two components or more, with the node's size: node, rep, comp, size."""
+def _shards(rows: Column, tokens: Column, rules: Rules) -> Column:
+    return F.greatest(F.ceil(rows / rules.salt_rows), F.ceil(tokens / rules.shard_tokens)).cast("int")
+
+
+def _live(rows: DataFrame, comps: DataFrame | None, rules: Rules) -> DataFrame:
+    """Rows (node, tree, rep, n) of nodes that hold two components or more: with comp, size and shards."""
     rows = _labelled(rows, comps)
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("one"), F.max("comp").alias("other"))
-    nodes = materialise(nodes.where("size > 1 and one < other").select("node", "size"), "near-nodes")
-    return materialise(rows.join(nodes, "node").select("node", "rep", "comp", "size"), "near-members")
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min("comp").alias("one"), F.max("comp").alias("other"))
+    nodes = nodes.where("size > 1 and one < other").select("node", "size", _shards(F.col("size"), F.col("tokens"), rules).alias("shards"))
+    return materialise(rows.join(materialise(nodes, "near-nodes"), "node").select("node", "tree", "rep", "n", "comp", "size", "shards"), "near-members")
+
 
+def _shard(count: Column) -> Column:
+    return F.pmod(F.xxhash64("node", "rep"), F.greatest(count, F.lit(1))).cast("int")
 
-def _pivots(large: DataFrame, count: int) -> DataFrame:
+
+def _with_pivots(large: DataFrame, count: int) -> DataFrame:
+    """Groups of a shard and the node's pivots."""
     drawn = [F.min(F.struct(F.xxhash64("node", "rep", F.lit(i)).alias("draw"), "rep")).alias(f"p{i}") for i in range(count)]
-    picked = large.groupBy("node", "size").agg(*drawn)
-    return picked.select("node", "size", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.rep") for i in range(count)]))).alias("rep"))
+    picked = large.groupBy("node", "shards").agg(*drawn)
+    picked = picked.select("node", "shards", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.rep") for i in range(count)]))).alias("rep"))
+    copies = picked.select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("i"))
+    own = large.select("node", "rep", _shard(F.col("shards")).alias("i"))
+    return own.unionByName(copies).distinct().withColumn("j", F.lit(-1))
+
 
+def _children(nodes: DataFrame, trees: int) -> DataFrame:
+    """node, tree, rep, n: the members of nodes under their two children, by coordinates of the tree's own."""
+    own = COORDINATES // trees
 
-def _children(nodes: DataFrame, depth: int) -> DataFrame:
-    """rep, node: the members of nodes under the nodes below."""
-    def child(j: int):
-        place = 1 + 2 * F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int")
-        return F.xxhash64("node", F.lit(j), F.substring(F.col("sig"), place, F.lit(2)))
+    def child(k: int):
+        place = 1 + 2 * (F.col("tree") * own + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(own))).cast("int")
+        return F.xxhash64("node", F.lit(k), F.substring(F.col("sig"), place, F.lit(2)))
 
-    second = F.lit(True) if depth == 0 else F.pmod(F.xxhash64("node", F.lit(0)), F.lit(4)) == 0
-    return nodes.select("rep", F.explode(F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node")).distinct()
+    return nodes.select("tree", "rep", "n", F.explode(F.array(child(1), child(2))).alias("node")).select("node", "tree", "rep", "n").distinct()
+
+
+def _left_over(large: DataFrame, depth: int, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """Groups that compare what is left in nodes with all their members, and the members of nodes that branch."""
+    shares = large.groupBy("node", "comp").agg(F.count("*").alias("many"), F.sum("n").alias("tokens"))
+    main = shares.groupBy("node").agg(F.max_by("comp", F.struct("many", "comp")).alias("main"), (F.sum("many") - F.max("many")).alias("left_over"),
+                                      (F.sum("tokens") - F.max_by("tokens", F.struct("many", "comp"))).alias("tokens"))
+    main = main.select("node", "main", "left_over", _shards(F.col("left_over"), F.col("tokens"), rules).alias("leads"))
+    known = materialise(large.join(materialise(main, "near-main"), "node"), "near-sorted")
+    done = F.lit(True) if depth >= rules.deepest else F.col("left_over") <= rules.rest
+
+    def places(count: str, made) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), made)
+
+    def place(i: Column, j: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    as_any = places("leads", lambda i: place(i, _shard(F.col("shards"))))
+    as_lead = places("shards", lambda j: place(_shard(F.col("leads")), j))
+    at = F.when(F.col("comp") == F.col("main"), as_any).otherwise(F.array_distinct(F.concat(as_any, as_lead)))
+    finished = known.where(done).select("node", "rep", F.explode(at).alias("at")).select("node", "at.i", "at.j", "rep")
+    return finished, known.where(~done)
+
+
+def _tree_links(roots: DataFrame, reps: DataFrame, comparer: Comparer, links: DataFrame, comps: DataFrame | None, rules: Rules) -> tuple[DataFrame, DataFrame | None]:
+    """All links found under the given roots (node, tree, rep, n), joined into the components known before."""
+
+    def found(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = comparer.links(_labelled(groups, comps).join(reps, "rep"))
+        after = components(materialise(links.unionByName(more), "near-joined"))
+        return after.select(F.col("id").alias("a"), F.col("comp").alias("b")), after
+
+    live, waiting, depth = _live(roots, comps, rules), None, 0
+    while True:
+        nothing_left = live.isEmpty()
+        if nothing_left and waiting is None:
+            return links, comps
+        large = live.where((F.col("size") > rules.small) | (F.col("shards") > 1))
+        small = live.where((F.col("size") <= rules.small) & (F.col("shards") <= 1)).select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep")
+        groups = small.unionByName(_with_pivots(large, rules.pivots).select("node", "i", "j", "rep"))
+        groups = groups if waiting is None else waiting if nothing_left else groups.unionByName(waiting)
+        links, comps = found(groups)
+        if nothing_left:
+            return links, comps
+        large = _live(large.select("node", "tree", "rep", "n"), comps, rules)
+        if large.isEmpty():
+            return links, comps
+        waiting, branching = _left_over(large, depth, rules)
+        live = _live(_children(branching.join(reps.select("rep", "sig"), "rep"), rules.trees), comps, rules)
+        depth += 1
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """id, n_shingles, component_id, kept, class_id (the representative of its equal sets): one row per input row."""
+    # Rows with sets are large: their batches are bounded by bytes.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sketched = materialise(sketches(docs, id_col, text_col, rules), "near-sketches")
     held = sketched.where("id is not null and n > 0")
     classes = held.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "nodes", "sig"), "id").alias("s"))
     classes = materialise(classes.select("digest", "rep", "s.*"), "near-classes")
     reps = classes.select("rep", "n", "sig").dropDuplicates(["rep"])
-    confirm = Confirmer(docs, id_col, text_col, rules)
+    comparer = Comparer(docs, id_col, text_col, rules)
     # Ids whose rows have different sets tie their classes together.
     links = held.join(classes.select("digest", "rep"), "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = links.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
-    links, comps = materialise(links, "near-links"), None
-    live = _live(classes.select("rep", F.explode("nodes").alias("node")).distinct(), None)
-    waiting, depth = None, 0  # pairs of the level before that are not confirmed yet
-    while True:
-        nothing_left = live.isEmpty()
-        if nothing_left and waiting is None:
-            break
-        wide, large = live.join(reps, "rep"), live.where(F.col("size") > rules.small)
-        pivots = _labelled(_pivots(large, rules.pivots), comps).join(reps, "rep")
-        pairs = pairs_in_small(wide.where(F.col("size") <= rules.small), rules).unionByName(
-            pairs_across(pivots, wide.where(F.col("size") > rules.small), rules, True))
-        pairs = pairs if waiting is None else waiting if nothing_left else pairs.unionByName(waiting)
-        comps = components(links.unionByName(confirm.links(pairs.distinct())))
-        links, waiting = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")), None
-        if nothing_left:
-            break
-        large = _live(large.select("node", "rep"), comps)
-        if large.isEmpty():
-            break
-        shares = large.groupBy("node", "comp").agg(F.count("*").alias("members"))
-        largest = shares.groupBy("node").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"),
-                                             (F.sum("members") - F.max("members")).alias("left_over"))
-        done = F.lit(True) if depth >= rules.deepest else F.col("left_over") <= rules.rest
-        wide = materialise(large.join(largest, "node"), "near-sorted").join(reps, "rep")
-        waiting = pairs_across(wide.where(done & (F.col("comp") != F.col("main"))), wide.where(done), rules, False)
-        live = _live(_children(wide.where(~done), depth), comps)
-        depth += 1
+    links, comps = materialise(links.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi"), "near-links"), None
+    planted = classes.select("rep", "n", F.posexplode("nodes").alias("tree", "node")).select("node", "tree", "rep", "n")
+    for part in (F.col("tree") < rules.first_trees, F.col("tree") >= rules.first_trees):
+        links, comps = _tree_links(planted.where(part), reps, comparer, links, comps, rules)
     comps = comps if comps is not None else components(links)
     roots = classes.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     roots = materialise(roots.select("digest", "rep", F.coalesce("comp", "rep").alias("root")), "near-roots")
