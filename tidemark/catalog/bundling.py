@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 
 from tidemark.catalog.base import Tables, query
 from tidemark.catalog.chaining import LEAF_SQL, PREFIX_SQL, segment_sizes, whole_leaves
-from tidemark.catalog.logs import BODY_SQL, DAY_US, WHOLE_SQL, frames, whole_log
+from tidemark.catalog.logs import BODY_SQL, CAPTURED_SQL, DAY_US, TAMPER_SQL, WHOLE_SQL, frames, stored_frames, tampered, whole_log
 from tidemark.catalog.sqltext import root_name
 from tidemark.functions.hashing import base64_text, hex_lower, key_id, leaf_hash
 from tidemark.functions.notes import SIGNATURE_PREFIX, checkpoint_text
 from tidemark.functions.times import parse_pinned_ns
 from tidemark.operators import chain, checkpoints as cps, export
-from tidemark.operators.merkle import prefix_roots
+from tidemark.operators.merkle import merkle_roots, prefix_roots
 from tidemark.plans import bundles as plan
 from tidemark.session import scratch_path
 from tidemark.sources import frames as fr
@@ -206,55 +206,61 @@ def bundle_records(t: Tables):
     return export.compare_records(found, stated)
 
 
-def event_chain(t: Tables) -> DataFrame:
-    """All events as one chained source."""
-    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
-    seq = F.col("event_id") + 1
-    body = F.concat(
-        F.lit('{"v":2,"source_id":"events","seq":'), seq.cast("string"), F.lit(',"event_type":"'), "event_type", F.lit('","event_time":"'), stamp,
-        F.lit('","ingest_time":"'), stamp, F.lit('","actor":"u'), F.col("user_id").cast("string"), F.lit('","outcome":"","payload_clear":'), "props", F.lit(',"prev_hash":"'))
-    return chain.build_chain(t.read("events").select(F.lit("events").alias("source_id"), seq.alias("seq"), body.alias("body")))
-
-
-def written_bundle(t: Tables) -> tuple[str, DataFrame]:
-    """A whole-source bundle with signed notes; returns its folder and the signed notes."""
-    chained = materialise(event_chain(t), "chain")
-    leaves = chained.select("source_id", (F.col("seq") - 1).alias("idx"), leaf_hash(F.col("record_bytes")).alias("leaf"))
-    roots = prefix_roots(leaves, segment_sizes(t))
-    texts = roots.select("source_id", F.col("size").alias("pos"), "size", "root", checkpoint_text(F.lit("log/events"), F.col("size"), F.col("root")).alias("text"))
-    notes = materialise(sign_notes(texts, F.lit(0), F.lit("signer-g0")), "signed")
-    record = chain.parse_record(F.col("record_bytes"))
-    records = chained.select("source_id", "seq", record["actor"].alias("actor"), parse_pinned_ns(record["event_time"]).alias("time_ns"),
-                             F.col("claimed_hash").alias("record_hash"), "record_bytes")
-    path = scratch_path(t.spark, "bundle")
-    export.write_bundle(records, export.RecordFilter(), path, notes, signers(t).withColumn("public_key", base64_text(F.col("public_key"))))
-    return path, notes
-
-
-@query("export_bundle")
+# Bundles of all users together, in files of 4 KB. Some users' records are damaged before they are bundled, some users' notes
+# are signed by nobody who is registered. Users whose damage cuts a record off are left out.
+BUNDLE_BYTES = 4096
+LINES_SQL = """lines AS (SELECT source_id, ordinal AS seq, strlen(record) + 1 AS size, sum(strlen(record) + 1) OVER (PARTITION BY source_id ORDER BY ordinal) - strlen(record) - 1 AS ahead,
+  sha256(record) AS h FROM tampered WHERE CAST(source_id AS BIGINT) % 7 <> 6),
+record_files AS (SELECT source_id, count(DISTINCT ahead // 4096) AS files FROM lines GROUP BY source_id)"""
+
+
+def written_bundles(t: Tables) -> tuple[str, DataFrame]:
+    """Bundles of all users with signed notes; their folder and the registered keys."""
+    chained = stored_frames(t)
+    user = F.col("source_id").cast("bigint")
+    kept = materialise(tampered(t, chained).where(user % 7 != 6), "bundle-records")
+    sources = chained.where(user % 7 != 6)
+    leaves = sources.select("source_id", (F.col("seq") - 1).alias("idx"), leaf_hash(F.col("record_bytes")).alias("leaf"))
+    origin = F.concat(F.lit("log/"), "source_id")
+    texts = merkle_roots(leaves).select("source_id", F.col("size").alias("pos"), checkpoint_text(origin, F.col("size"), F.col("root")).alias("text"))
+    notes = materialise(sign_notes(texts, F.when(user % 5 == 2, F.lit(STRANGER)).otherwise(F.lit(0)), F.lit("signer-g0")), "signed")
+    key = t.read("region").limit(1).select(F.lit("signer-g0").alias("key_name"), public_keys(F.lit(0)).alias("public_key"))
+    keys = materialise(texts.select("source_id", origin.alias("origin")).crossJoin(F.broadcast(key)), "signers")
+    records = kept.select("source_id", F.col("ordinal").alias("seq"), F.lit("").alias("actor"), F.lit(None).cast("bigint").alias("time_ns"),
+                          F.sha2("record_bytes", 256).alias("record_hash"), "record_bytes")
+    path = scratch_path(t.spark, "bundles")
+    export.write_bundles(records, export.RecordFilter(), path, notes, keys.withColumn("public_key", base64_text(F.col("public_key"))), file_bytes=BUNDLE_BYTES)
+    return path, keys
+
+
+@query("export_bundle", f"""WITH RECURSIVE {TAMPER_SQL}, {LINES_SQL} SELECT l.source_id, count(*) AS record_count, min(seq) AS first_seq, max(seq) AS last_seq, min_by(h, seq) AS first_hash,
+  max_by(h, seq) AS last_hash, max_by(h, seq) AS chain_head, 'none (whole source)' AS filter, any_value(files) + 2 AS files FROM lines l JOIN record_files USING (source_id) GROUP BY l.source_id""")
 def export_bundle(t: Tables):
-    path, _ = written_bundle(t)
+    path, _ = written_bundles(t)
     facts, listed = export.read_manifest(t.spark, path)
-    files = listed.agg(F.count_if(F.col("sha256").isNotNull()).alias("files"))
-    return facts.crossJoin(F.broadcast(files)).select("source_id", "record_count", "first_seq", "last_seq", "chain_head", "filter", (F.col("files") > 0).alias("has_files"))
+    per = t.spark.read.schema("source_id string, file string, sha256 string").json(f"{path}/manifest-files").groupBy("source_id").agg(F.count("*").alias("files"))
+    return facts.join(per, "source_id")
 
 
-@query("bundle_files")
+@query("bundle_files", f"""WITH RECURSIVE {TAMPER_SQL}, {LINES_SQL}
+SELECT 'records' AS kind, 'ok' AS status, CAST(sum(files) AS BIGINT) AS files FROM record_files UNION ALL SELECT 'records', 'missing', 1
+UNION ALL SELECT 'checkpoints', 'mismatch', count(*) FROM record_files UNION ALL SELECT 'keys', 'unlisted', count(*) FROM record_files""")
 def bundle_files(t: Tables):
-    # The listing is altered: one kind of file gets a wrong hash, one listed file is not there.
-    path, _ = written_bundle(t)
+    # The listing is altered: one kind of file gets a wrong hash, one kind is not listed, one listed file is not there.
+    path, _ = written_bundles(t)
     _, listed = export.read_manifest(t.spark, path)
-    is_notes = F.col("file").startswith("checkpoints.txt")
+    is_notes = F.col("file").startswith("checkpoints/")
     altered = listed.withColumn("sha256", F.when(is_notes, F.reverse("sha256")).otherwise(F.col("sha256")))
-    extra = listed.limit(1).select(F.lit("records.jsonl/part-lost").alias("file"), F.col("sha256"))
-    compared = export.compare_files(altered.where(~F.col("file").startswith("keys.json")).unionByName(extra), export.file_hashes(t.spark, path))
+    extra = listed.limit(1).select(F.lit("records/source=0/file=lost").alias("file"), F.col("sha256"))
+    compared = export.compare_files(altered.where(~F.col("file").startswith("keys/")).unionByName(extra), export.digests(t.spark, path).drop("source_id"))
     return compared.groupBy(F.substring_index("file", "/", 1).alias("kind"), "status").agg(F.count("*").alias("files"))
 
 
-@query("bundle_verdict")
+@query("bundle_verdict", f"""WITH {CAPTURED_SQL} SELECT source_id, NOT (u % 7 = 3 AND n >= 5 OR u % 7 = 4 AND n >= 6 OR u % 7 = 5 AND n >= 8) AND u % 5 <> 2 AS ok
+FROM (SELECT source_id, CAST(source_id AS BIGINT) AS u, count(*) AS n FROM captured GROUP BY source_id) WHERE u % 7 <> 6""")
 def bundle_verdict(t: Tables):
-    path, _ = written_bundle(t)
-    stored = reg.split_bundle_notes(t.spark, f"{path}/checkpoints.txt")
-    notes = cps.parse_notes(stored.select(F.lit("events").alias("source_id"), "note")).withColumn("pos", F.col("size"))
-    checked = materialise(cps.verify_signatures(notes, signers(t)), "checked")
-    return plan.bundle_verdict(plan.verify_bundle(t.spark, path, checked))
+    path, keys = written_bundles(t)
+    stored = reg.notes_of(export.source_lines(t.spark, f"{path}/checkpoints", False), ["source_id"]).select("source_id", "note")
+    notes = cps.parse_notes(stored).withColumn("pos", F.col("size"))
+    checked = materialise(cps.verify_signatures(notes, keys), "checked")
+    return plan.bundle_verdict(plan.verify_bundles(t.spark, path, checked)).select("source_id", "ok")

@@ -9,8 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import running_in_blocks, stitched_running
+
 WHOLE_SOURCE = "none (whole source)"
 RECORDS_PER_FILE = 200_000
+FILE_BYTES = 32 << 20
 # Findings that decide a bundle's verdict.
 INTEGRITY_IDS = "^F-(CHAIN|FORK|SIG|ANCHOR|RETENTION)"
 
@@ -108,6 +111,93 @@ def write_bundle(records: DataFrame, chosen: RecordFilter, directory: str, notes
     manifest_facts(records, chosen).write.json(f"{directory}/manifest")
 
 
+def _by_source(rows: DataFrame, order: list[str], path: str) -> None:
+    """Text lines (source_id, [file], ..., value) as one file per source and file number, in order."""
+    folders = ["source", *(["file"] if "file" in rows.columns else [])]
+    dealt = rows.withColumnRenamed("source_id", "source").repartition(*folders).sortWithinPartitions(*folders, *order)
+    dealt.select("value", *folders).write.mode("errorifexists").option("lineSep", "\n").partitionBy(*folders).text(path)
+
+
+def write_bundles(records: DataFrame, chosen: RecordFilter, directory: str, notes: DataFrame | None = None, keys: DataFrame | None = None,
+                  receipts: DataFrame | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Writes the bundles of many sources at once: records/source=<id>/file=<n>, checkpoints, keys, receipts, manifest.
+
+    ``records`` as for write_bundle; notes(source_id, pos, note), keys and receipts have a source_id each. Records are cut into
+    files of about ``file_bytes`` along their numbers, so a source of any size is written by many tasks, and each file can be
+    hashed by one. A directory that already holds bundles is refused.
+    """
+    spark = records.sparkSession
+    size = (F.octet_length("record_bytes") + 1).cast("bigint")
+    kept = records.where(chosen.condition()).select("source_id", "seq", F.col("record_bytes").cast("string").alias("value"), size.alias("size"))
+    placed = stitched_running(kept, ["source_id"], "seq", "ahead", F.col("size"), "sum", False)
+    _by_source(placed.withColumn("file", F.call_function("div", F.col("ahead"), F.lit(file_bytes).cast("bigint"))), ["seq"], f"{directory}/records")
+    if notes is not None:
+        # The writer ends every note's last line, so the note's own final newline is left out.
+        _by_source(notes.select("source_id", "pos", F.regexp_replace("note", "\n$", "").alias("value")), ["pos"], f"{directory}/checkpoints")
+    for name, rows in (("keys", keys), ("anchors", receipts)):
+        if rows is not None:
+            lines = rows.select("source_id", F.to_json(F.struct(*[c for c in rows.columns if c != "source_id"])).alias("value"))
+            _by_source(lines, ["value"], f"{directory}/{name}")
+    digests(spark, directory).write.json(f"{directory}/manifest-files")
+    manifest_facts(records, chosen).write.json(f"{directory}/manifest")
+
+
+def _below(path: Column, directory: str) -> Column:
+    root = directory.rstrip("/").rsplit("/", 1)[-1]
+    return F.regexp_replace(F.element_at(F.split(path, "/" + re.escape(root) + "/"), -1), "^/+", "")
+
+
+def _hash_lines(batches):
+    """Lines (file, size, split, row, value) in order to (file, sha256); a file need not end with a newline."""
+    import hashlib
+
+    import pyarrow as pa
+
+    at, state, left = None, None, 0
+    done: list[tuple[str, str]] = []
+    for batch in batches:
+        for file, size, value in zip(batch.column("file").to_pylist(), batch.column("size").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if file != at:
+                if at is not None:
+                    done.append((at, state.hexdigest()))
+                at, state, left = file, hashlib.sha256(), size
+            line = value + b"\n"
+            state.update(line[:left])
+            left -= len(line)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done]), pa.array([h for _, h in done])], names=["file", "sha256"])
+            done = []
+    if at is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([state.hexdigest()])], names=["file", "sha256"])
+
+
+def digests(spark: SparkSession, directory: str, whole_bytes: int = 4 * FILE_BYTES) -> DataFrame:
+    """(source_id, file, sha256) of every file below a directory of bundles but the manifests.
+
+    Files up to ``whole_bytes`` are hashed as they are. Longer ones, which another writer has made, are streamed line by line
+    through one task each, so that no task ever holds a file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    small = files.where(F.col("length") <= whole_bytes).select(_below(F.col("path"), directory).alias("file"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(directory).where(F.col("_metadata.file_size") > whole_bytes).select(
+        _below(F.col("_metadata.file_path"), directory).alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("value"))
+    streamed = lines.repartition("file").sortWithinPartitions("file", "split", "row").mapInArrow(_hash_lines, "file string, sha256 string")
+    found = small.unionByName(streamed).where(~F.col("file").rlike("^manifest(-files)?/"))
+    # Folder names escape by percent signs alone.
+    source = F.expr("url_decode(replace(regexp_extract(file, '/source=([^/]*)/', 1), '+', '%2B'))")
+    return found.select(source.alias("source_id"), "file", "sha256")
+
+
+def source_lines(spark: SparkSession, path: str, cut: bool) -> DataFrame:
+    """Lines of a part of bundles with their place: (source_id, ordinal from 1, value). Records are ``cut`` into files."""
+    read = spark.read.option("lineSep", "\n").schema("value string, source string" + (", file string" if cut else "")).text(path)
+    file = F.col("file").cast("bigint") if cut else F.lit(0).cast("bigint")
+    lines = read.select(F.col("source").alias("source_id"), file.alias("file"), F.col("_metadata.file_path").alias("path"),
+                        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+    return running_in_blocks(lines, ["source_id"], ["file", "path", "split"], ["row"], "ordinal", F.lit(1).cast("bigint")).select("source_id", "ordinal", "value")
+
+
 def read_manifest(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     facts = spark.read.schema(
         "source_id string, record_count bigint, first_seq bigint, last_seq bigint, first_hash string, last_hash string, "

@@ -11,6 +11,7 @@ from tidemark.operators import export
 from tidemark.operators.chain import chain_verdicts, parsed_frames
 from tidemark.plans.verify import Evidence, findings, verify
 from tidemark.sources.jsonl import scan_jsonl, with_ordinals
+from tidemark.sources.store import materialise
 
 
 def bundle_frames(spark: SparkSession, directory: str) -> DataFrame:
@@ -24,16 +25,34 @@ def verify_bundle(spark: SparkSession, directory: str, notes: DataFrame | None =
     """Checks as rows (source_id, label, status, detail). ``notes`` are checkpoints with sig_ok already set."""
     manifest, listed = export.read_manifest(spark, directory)
     frames = bundle_frames(spark, directory).withColumn("source_id", F.col("record.source_id"))
+    files = export.compare_files(listed, export.file_hashes(spark, directory))
+    bad = manifest.select("source_id").crossJoin(F.broadcast(files.agg(F.count_if(F.col("status") != "ok").alias("bad"), F.count("*").alias("n"))))
+    return _checks(manifest, bad, frames, notes)
+
+
+def verify_bundles(spark: SparkSession, directory: str, notes: DataFrame | None = None) -> DataFrame:
+    """As verify_bundle for the bundles of many sources written together; one set of jobs for all of them."""
+    facts, _ = export.read_manifest(spark, directory)
+    listed = spark.read.schema("source_id string, file string, sha256 string").json(f"{directory}/manifest-files")
+    present = export.digests(spark, directory)
+    owners = listed.select("file", "source_id").unionByName(present.select("file", "source_id")).distinct()
+    files = export.compare_files(listed.drop("source_id"), present.drop("source_id")).join(owners, "file")
+    bad = files.groupBy("source_id").agg(F.count_if(F.col("status") != "ok").alias("bad"), F.count("*").alias("n"))
+    lines = export.source_lines(spark, f"{directory}/records", True).where(F.col("value") != "")
+    data = F.encode("value", "UTF-8")
+    frames = materialise(lines.select("source_id", "ordinal", data.alias("record_bytes"), F.sha2(data, 256).alias("claimed_hash")), "bundle-frames")
+    return _checks(facts, bad, parsed_frames(frames), notes)
+
+
+def _checks(manifest: DataFrame, bad: DataFrame, frames: DataFrame, notes: DataFrame | None) -> DataFrame:
     records = frames.select("source_id", F.col("record.seq").alias("seq"), F.col("record.actor").alias("actor"),
                             F.lit(None).cast("bigint").alias("time_ns"), "record_hash")
-    files = export.compare_files(listed, export.file_hashes(spark, directory))
-    bad = files.agg(F.count_if(F.col("status") != "ok").alias("bad"), F.count("*").alias("n"))
     source = manifest.select("source_id", "filter", "chain_head")
     check = lambda label, ok, good, poor: [
         F.lit(label).alias("label"), F.when(ok, F.lit("pass")).otherwise(F.lit("fail")).alias("status"),
         F.when(ok, good).otherwise(poor).alias("detail")]
     rows = [
-        source.crossJoin(F.broadcast(bad)).select("source_id", *check(
+        source.join(bad, "source_id", "left").fillna(0, ["bad", "n"]).select("source_id", *check(
             "file integrity", F.col("bad") == 0, F.concat(F.col("n").cast("string"), F.lit(" files match manifest SHA-256")),
             F.concat(F.col("bad").cast("string"), F.lit(" files differ from the manifest")))),
         export.compare_records(export.manifest_facts(records, export.RecordFilter()), manifest).select("source_id", *check(

@@ -29,13 +29,17 @@ def split_bundle_notes(spark: SparkSession, path: str) -> DataFrame:
 
     The lines are read in parallel; the signature lines before a line number its note.
     """
-    lines = with_ordinals(scan_jsonl(spark, [path])).select("ordinal", "value")
+    return notes_of(with_ordinals(scan_jsonl(spark, [path])).select("ordinal", "value"), [])
+
+
+def notes_of(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Notes (keys, pos, note) of their lines (keys, ordinal, value)."""
     closes = F.col("value").startswith(SIGNATURE_PREFIX)
-    numbered = stitched_running(lines, [], "ordinal", "pos", closes.cast("bigint"), "sum", False)
+    numbered = stitched_running(lines, keys, "ordinal", "pos", closes.cast("bigint"), "sum", False)
     packed = F.sort_array(F.collect_list(F.struct("ordinal", "value")))
-    notes = numbered.groupBy("pos").agg(F.bool_or(closes).alias("closed"), packed.alias("lines"))
+    notes = numbered.groupBy(*keys, "pos").agg(F.bool_or(closes).alias("closed"), packed.alias("lines"))
     text = F.concat(F.array_join(F.transform("lines", lambda x: x["value"]), "\n"), F.lit("\n"))
-    return notes.where("closed").select("pos", text.alias("note"))
+    return notes.where("closed").select(*keys, "pos", text.alias("note"))
 
 
 def scan_registry(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
