@@ -16,6 +16,8 @@ from tidemark.llm.queries import RANKS
 from tidemark.sources.store import materialise
 
 TOXIC_AT = 0.5
+# A pair at 0.8 falls below the cutoff with a chance under 1e-4.
+NEAR = near_dedup.Rules(percent=80, cutoff=0.66)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +35,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document of the smallest id."""
+    """Of each component of near-duplicates, linked from a similarity of 0.8 on, the document of the smallest id."""
     ready(spark)
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, rules=NEAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +46,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its number of tokens, the digest of its ids and that of the text they decode to."""
+    """Per document its ids (little-endian, 32 bits each), their number and digest, and the digest of the text they decode to."""
     ready(spark)
     coded = bpe.round_trip(docs, bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN, ["doc_id", "lang", "source"])
-    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+    return coded.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
