@@ -15,8 +15,11 @@ Items shorter than ``width`` tokens are one window of their own length. Windows
 shorter than ``shortest``, would match anything of the kind: they are hashed with their values and met only by verbatim
 copies. So every item with a token is in the index; one of a single word is met by every document with that word.
 
-The index is written, its rows are counted, and it is broadcast up to ``max_index`` rows; a larger one is joined by a
-shuffle of both sides. Hash joins give one row per matched window, never pairs of documents.
+Documents meet the index by hashes alone first: windows of all forms, without their tokens, against the index's distinct
+hashes. Only documents with a hit there, few of them, have their windows built in full. The work is linear in the length
+of a text. Both forms of the index are written and measured; they are broadcast up to ``max_index`` hashes and
+``MAX_BYTES`` bytes, and joined by a shuffle of both sides beyond. Hash joins give one row per matched window, never pairs
+of documents.
 
 Cases: null and empty texts match nothing; rows that repeat an id are one document, whose windows are united; null ids are
 left out of the result and always kept by ``clean``; an empty table on either side gives no matches; extra columns are kept.
@@ -31,7 +34,7 @@ from tidemark.llm.common import stored_small, text_of, without_ids
 from tidemark.sources.store import materialise
 
 WIDTH, SHORTEST, PLAIN, COVERAGE, VERBATIM = 8, 4, 4, 0.3, 13
-MAX_INDEX = 1_000_000
+MAX_INDEX, MAX_BYTES = 1_000_000, 32 << 20
 SLOT = "\x01"
 # What Unicode calls white space, and the mark of slots; all of it is read as a space.
 _BLANKS = SLOT + "\t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -78,8 +81,7 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
     """
     size = F.size("tokens")
 
-    def kinds(i: Column, width: int) -> Column:
-        return F.substr("kinds", i, F.lit(width))
+    kinds = _kinds
 
     def words(i: Column, width: int, names: bool) -> Column:
         other = F.replace(kinds(i, width), F.lit("n"), F.lit(""))
@@ -111,17 +113,46 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
         mixed = F.when(F.col("named"), F.concat(mixed, names)).otherwise(mixed)
         return F.when(F.col("slotted"), mixed).otherwise(F.transform(starts, simple))
 
+    windows = of(widths[0]) if len(widths) == 1 else F.concat(*[of(w) for w in widths])
+    return _coded(rows, id_col, text_col).select("id", F.explode(windows).alias("w")).select("id", "w.*")
+
+
+def _kinds(i: Column, width: int) -> Column:
+    """One letter per token of a window; taken from bytes, as a string would be walked from its start."""
+    return F.substr("kinds", i, F.lit(width)).cast("string")
+
+
+def _coded(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, tokens, and per token its hash with names as words, with names as slots, with values, and its kind."""
     # Capitals have no "ß".
     base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.replace(F.lower(_marked(text_of(text_col))), F.lit("ß"), F.lit("ss")).alias("marked"))
     base = base.select("id", F.contains("marked", F.lit(SLOT)).alias("slotted"), F.contains("marked", F.lit(SLOT + "a")).alias("named"), F.filter(F.split("marked", " +"), lambda t: t != "").alias("tokens"))
-    base = base.select(
-        "id", "slotted", "named", "tokens",
+    # Generated rows keep the arrays from being computed once per window that reads them.
+    coded = F.struct(
+        "slotted", "named", "tokens",
         F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.when(_is_name(t), _value(t)).otherwise(F.substring(t, 1, 2))).otherwise(t))).alias("worded"),
         F.when(F.col("named"), F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))).alias("reduced"),
         F.when(F.col("slotted"), F.transform("tokens", lambda t: F.xxhash64(F.when(_is_name(t), _value(t)).otherwise(t)))).alias("exact"),
-        F.when(F.col("slotted"), F.array_join(F.transform("tokens", lambda t: F.when(_is_slot(t), F.when(_is_name(t), F.lit("a")).otherwise(F.lit("n"))).otherwise(F.lit("w"))), "")).alias("kinds"))
-    windows = of(widths[0]) if len(widths) == 1 else F.concat(*[of(w) for w in widths])
-    return base.select("id", F.explode(windows).alias("w")).select("id", "w.*")
+        F.when(F.col("slotted"), F.array_join(F.transform("tokens", lambda t: F.when(_is_slot(t), F.when(_is_name(t), F.lit("a")).otherwise(F.lit("n"))).otherwise(F.lit("w"))), "").cast("binary")).alias("kinds"))
+    return base.select("id", F.explode(F.array(coded)).alias("c")).select("id", "c.*")
+
+
+def with_hits(docs: DataFrame, id_col: str, text_col: str, widths: list[int], templates: DataFrame, max_rows: int) -> DataFrame:
+    """The rows of docs that have a window, in any form, whose hash is among ``templates`` (one column, distinct)."""
+    none = F.array().cast("array<int>")
+
+    def of(width: int) -> Column:
+        starts = F.when(F.size("tokens") >= width, F.sequence(F.lit(1), F.size("tokens") - (width - 1))).otherwise(none)
+        slotted = F.when(F.col("slotted"), F.filter(starts, lambda i: _kinds(i, width) != "w" * width)).otherwise(none)
+        def hashed(form: str, at: Column) -> Column:
+            return F.transform(at, lambda i: F.xxhash64(F.lit(width), F.slice(form, i, F.lit(width))))
+
+        return F.concat(hashed("worded", starts), hashed("exact", slotted), hashed("reduced", F.when(F.col("named"), slotted).otherwise(none)))
+
+    hashes = of(widths[0]) if len(widths) == 1 else F.concat(*[of(w) for w in widths])
+    hits = _coded(docs, id_col, text_col).select("id", F.explode(hashes).alias("template")).join(templates, "template", "left_semi")
+    found = stored_small(hits.select(F.col("id").alias("_hit")).distinct(), "benchmark-met", max_rows)
+    return docs.join(found, docs[id_col] == found["_hit"], "left_semi")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -138,8 +169,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sizes = items.groupBy(F.col("id").alias("item")).agg(
         F.countDistinct("at").alias("item_windows"), F.countDistinct(F.when(F.col("open"), F.col("at"))).alias("open_windows"),
         F.max(F.col("at") + F.col("width")).alias("item_size"))
-    index = stored_small(items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "template", F.col("tokens").alias("item_tokens"),
-                                      F.col("open").alias("item_open")), "benchmark-index", max_index)
+    index = items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "template", F.col("tokens").alias("item_tokens"), F.col("open").alias("item_open"))
+    in_bytes = F.lit(96) + F.coalesce(40 * F.size("item_tokens") + F.octet_length(F.array_join("item_tokens", "")), F.lit(0))
+    index = F.broadcast(index) if (index.agg(F.sum(in_bytes.cast("bigint"))).first()[0] or 0) <= MAX_BYTES else index
+    templates = stored_small(items.select("template").distinct(), "benchmark-index", max_index)
+    docs = with_hits(docs, id_col, text_col, used, templates, max_index)
     # A window without tokens has no slot: where it meets names, they are equal as words.
     hits = template_windows(docs, id_col, text_col, used, False, plain, shortest).join(index, "template").select(
         "id", "item", "at", "item_at", "width", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_open",
