@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import Tables, query
 from tidemark.catalog.lifecycle import PER_SEGMENT, SEGMENTS_SQL, user_records, user_segments
-from tidemark.functions.hashing import base64_text, sha_hex
+from tidemark.catalog.verifying import JUDGED_SQL, SUBMITTED_SQL, submitted
+from tidemark.functions.hashing import base64_text, hex_lower, sha_hex
+from tidemark.operators.pseudonyms import with_pseudonyms
 from tidemark.operators.segments import segment_number
 from tidemark.plans import ingest as intake
+from tidemark.plans.states import Heads, Salts
 from tidemark.session import scratch_path
 from tidemark.sources.ledger import Ledger
 from tidemark.sources.store import materialise
@@ -86,3 +89,38 @@ def ingest_stored(t: Tables):
         intake.ingest(ledger, rows, frames.join(rows.select("delivery"), "delivery", "left_semi"), "intake", batch, max_frames=PER_SEGMENT)
     held = ledger.read("frames", intake.FRAME_ROWS).groupBy("segment_id").agg(F.count("*").alias("frames"))
     return ledger.read("segments", intake.SEGMENT_ROWS).join(held, "segment_id", "left").select("segment_id", "source_id", "seq_first", "seq_last", "frames")
+
+
+def submitted_in_runs(t: Tables) -> tuple[Heads, list[DataFrame]]:
+    """Three runs over the submissions in receipt order, the second one repeated; the verdicts of each."""
+    rows = submitted(t)
+    last = rows.agg(F.max("pos")).first()[0]
+    heads = Heads(t.spark, scratch_path(t.spark, "heads"))
+    run = F.call_function("div", F.col("pos") * 3, F.lit(last + 1).cast("bigint"))
+    return heads, [heads.accept(rows.where(run == batch), "heads", batch) for batch in (0, 1, 1, 2)]
+
+
+@query("accepted_heads", f"""WITH {SUBMITTED_SQL}, {JUDGED_SQL}
+SELECT origin, max(size) AS size, min_by(root, pos) FILTER (size = top) AS root FROM (SELECT *, max(size) OVER (PARTITION BY origin) AS top FROM judged WHERE status = 'accepted') GROUP BY origin""")
+def accepted_heads(t: Tables):
+    heads, _ = submitted_in_runs(t)
+    return heads.current().select("origin", "size", hex_lower(F.col("root")).alias("root"))
+
+
+@query("heads_verdicts", f"WITH {SUBMITTED_SQL}, {JUDGED_SQL} SELECT origin, pos, size, root, status FROM judged")
+def heads_verdicts(t: Tables):
+    _, (first, second, _, third) = submitted_in_runs(t)
+    return first.unionByName(second).unionByName(third).withColumn("root", hex_lower(F.col("root")))
+
+
+@query("salts_minted", """SELECT 'u' || user_id AS actor, 1::BIGINT AS salts, 32 AS salt_bytes, true AS kept, true AS derives FROM (SELECT DISTINCT user_id FROM events)""")
+def salts_minted(t: Tables):
+    """Two runs over overlapping events: one salt per actor, the first one, from which the stored pseudonym follows."""
+    events = t.read("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), "user_id")
+    salts = Salts(t.spark, scratch_path(t.spark, "salts"))
+    early = salts.mint(events.where("user_id % 3 <> 0"), "2024-01-01T00:00:00.000000000Z", "salts", 1).select("actor", F.col("salt").alias("first"))
+    late = salts.mint(events, "2024-01-02T00:00:00.000000000Z", "salts", 2)
+    again = with_pseudonyms(late.select("actor", "salt")).select("actor", F.col("pseudonym").alias("derived"))
+    return late.join(early, "actor", "left").join(again, "actor").groupBy("actor").agg(
+        F.count("*").alias("salts"), F.max(F.octet_length("salt")).alias("salt_bytes"), F.bool_and(F.coalesce(F.col("first") == F.col("salt"), F.lit(True))).alias("kept"),
+        F.bool_and(F.col("derived") == F.col("pseudonym")).alias("derives"))

@@ -125,16 +125,31 @@ class Snapshots(_Records):
     def _at(self, commits: list[Commit]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(commits[-1].parts["rows"]) if commits else self.spark.createDataFrame([], self.schema)
 
-    def merge(self, change: Callable[[DataFrame], DataFrame], writer: str, batch: int) -> DataFrame:
-        """The snapshot after the change, or the present one if this batch is in already."""
+    def merge(self, change: Callable[[DataFrame], dict[str, DataFrame]], writer: str, batch: int) -> Commit:
+        """The commit of a change, which gives ``rows``, the next snapshot, and may give further parts, such as receipts.
+
+        If this batch is in already, its commit as it was.
+        """
         while True:
             there = self.commits()
-            if any(c.writer == writer and c.batch == batch for c in there):
-                return self._at(there)
-            names = self.spark.createDataFrame([], self.schema).columns
-            path = self.store("rows", change(self._at(there)).select(*names))
-            if self.publish(Commit((there[-1].version if there else 0) + 1, writer, batch, {"rows": path})):
+            done = next((c for c in there if c.writer == writer and c.batch == batch), None)
+            if done:
+                return done
+            made = change(self._at(there))
+            made["rows"] = made["rows"].select(*self.spark.createDataFrame([], self.schema).columns)
+            parts = {name: self.store(name, rows) for name, rows in made.items()}
+            commit = Commit((there[-1].version if there else 0) + 1, writer, batch, parts)
+            if self.publish(commit):
                 for old in there[:-self.keep]:
                     self._fs.delete(self._path(old.parts["rows"]), True)
-                return self.spark.read.schema(self.schema).parquet(path)
-            self._fs.delete(self._path(path), True)
+                return commit
+            for path in parts.values():
+                self._fs.delete(self._path(path), True)
+
+    def purge(self) -> None:
+        """Removes all snapshots but the last one, where what a change took out must be gone."""
+        for old in self.commits()[:-1]:
+            self._fs.delete(self._path(old.parts["rows"]), True)
+
+    def part(self, commit: Commit, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(commit.parts[name])
