@@ -5,19 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import leaf_hash
 from tidemark.operators.intake import DELIVERY_KEY
+from tidemark.operators.merkle import MAX_LEVEL, build_tiles, needed_nodes, range_parts
 from tidemark.streaming import processors as p
 
 
-def live_chain(frames: DataFrame) -> DataFrame:
+def _timers(*times: int) -> str:
+    return "ProcessingTime" if any(times) else "None"
+
+
+def live_chain(frames: DataFrame, wait_ms: int = 0) -> DataFrame:
     """Provisional chain verdicts; a scheduled batch verification stays the authority."""
-    return p.transform(frames.select("source_id", "ordinal", "record_bytes", "claimed_hash"), "source_id", p.ChainProcessor())
+    return p.transform(frames.select("source_id", "ordinal", "record_bytes", "claimed_hash"), "source_id", p.ChainProcessor(wait_ms), _timers(wait_ms))
+
 
+def live_intake(events: DataFrame, max_records: int = 256, max_age_ns: int = 60_000_000_000, idle_ms: int = 0, wait_ms: int = 0,
+                heads: DataFrame | None = None) -> DataFrame:
+    """events(source_id, ordinal from 0, time_ns, body_head, body_tail) to numbered, chained, sealed records.
 
-def live_intake(events: DataFrame, max_records: int = 256, max_age_ns: int = 60_000_000_000, idle_ms: int = 0) -> DataFrame:
-    """events(source_id, ordinal, time_ns, body_head, body_tail) to numbered, chained, sealed records."""
+    ``heads`` (stored_heads) are where a new query goes on; a restarted one has them in its checkpoint.
+    """
     columns = events.select("source_id", "ordinal", "time_ns", "body_head", "body_tail")
-    return p.transform(columns, "source_id", p.SealProcessor(max_records, max_age_ns, idle_ms), timed=idle_ms > 0)
+    return p.transform(columns, "source_id", p.SealProcessor(max_records, max_age_ns, idle_ms, wait_ms), _timers(idle_ms, wait_ms), heads)
+
+
+def stored_heads(frames: DataFrame, segments: DataFrame) -> DataFrame:
+    """Where stored chains end: source_id, last_seq, last_hash, segment (the next one), stack.
+
+    frames(source_id, seq, record_bytes, record_hash) of whole chains, segments(source_id, segments: how many are closed).
+    """
+    tiles = build_tiles(frames.select("source_id", (F.col("seq") - 1).alias("idx"), leaf_hash(F.col("record_bytes")).alias("leaf")))
+    last = frames.groupBy("source_id").agg(F.max("seq").alias("last_seq"), F.max_by("record_hash", "seq").alias("last_hash"))
+    parts = last.select("source_id", F.expr(f"inline({range_parts(str(MAX_LEVEL + 1), 'last_seq')})"))
+    stack = needed_nodes(tiles, parts).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("level", "hash")), asc=False).alias("s"))
+    stack = stack.select("source_id", F.transform("s", lambda x: F.lower(F.hex(x["hash"]))).alias("stack"))
+    return last.join(stack, "source_id").join(segments, "source_id").select("source_id", "last_seq", "last_hash", F.col("segments").cast("bigint").alias("segment"), "stack")
 
 
 def live_forks(submitted: DataFrame) -> DataFrame:
@@ -29,8 +52,19 @@ def live_heads(accepted: DataFrame) -> DataFrame:
     return p.transform(accepted.select("origin", "pos", "size", "root"), "origin", p.HeadProcessor())
 
 
-def live_outages(records: DataFrame) -> DataFrame:
-    return p.transform(records.select("source_id", "ordinal", "event_type", "seq", "time_ns"), "source_id", p.OutageProcessor())
+def live_outages(records: DataFrame, wait_ms: int = 0) -> DataFrame:
+    return p.transform(records.select("source_id", "ordinal", "event_type", "seq", "time_ns"), "source_id", p.OutageProcessor(wait_ms), _timers(wait_ms))
+
+
+def live_silences(beats: DataFrame, limit_us: int, lateness: str) -> DataFrame:
+    """Silences (source_id, start_us, end_us) of beats(source_id, at), told when the limit passes; an open one has no end yet."""
+    rows = beats.withWatermark("at", lateness).select("source_id", "at", F.unix_micros("at").alias("at_us"))
+    return p.transform(rows, "source_id", p.SilenceProcessor(limit_us), "EventTime")
+
+
+def last_told(silences: DataFrame) -> DataFrame:
+    """Each silence once, with its end if that has come."""
+    return silences.groupBy("source_id", "start_us").agg(F.max("end_us").alias("end_us"))
 
 
 def live_dedup(delivered: DataFrame) -> DataFrame:

@@ -29,8 +29,10 @@ class InOrder(StatefulProcessor):
     STATE: dict[str, Any] = {}
     FIRST = 0
     COLUMNS: dict[str, str] = {}
+    wait_ms = 0  # how long a missing ordinal holds up those after it; 0: for ever
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.current = handle.getValueState("current", "state string")
         fields = ", ".join(f"{name} {kind}" for name, kind in self.COLUMNS.items())
         self.waiting = handle.getMapState("waiting", "ordinal bigint", fields)
@@ -42,30 +44,71 @@ class InOrder(StatefulProcessor):
         """What a micro-batch emits for the key; by default what its steps gave."""
         return outputs
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.current.get()[0]) if self.current.exists() else {"next": self.FIRST, **self.STATE}
-        outputs: list[dict] = []
+    def lost(self, key: str, state: dict, first: int, last: int) -> dict | None:
+        """The row that reports ordinals which did not arrive in time."""
+        raise NotImplementedError
 
-        def take(row: tuple) -> None:
-            out = self.step(key[0], state, row)
-            state["next"] += 1
-            if out is not None:
-                outputs.append(out)
+    def _start(self) -> dict:
+        return {"next": self.FIRST, **json.loads(json.dumps(self.STATE))}
+
+    def _take(self, key: str, state: dict, row: tuple, outputs: list[dict]) -> None:
+        out = self.step(key, state, row)
+        state["next"] += 1
+        if out is not None:
+            outputs.append(out)
+
+    def _drain(self, key: str, state: dict, outputs: list[dict]) -> None:
+        while self.waiting.containsKey((state["next"],)):
+            place = (state["next"],)
+            held = self.waiting.getValue(place)
+            self.waiting.removeKey(place)
+            self._take(key, state, tuple(held), outputs)
+
+    def _watch(self, state: dict, now_ms: int) -> None:
+        """Sets the timer for the next missing ordinal, if rows wait behind one."""
+        if not self.wait_ms:
+            return
+        behind = any(True for _ in self.waiting.keys())
+        if behind and state.get("held") != state["next"]:
+            state["held"], state["until"] = state["next"], now_ms + self.wait_ms
+            self.handle.registerTimer(state["until"])
+        elif not behind:
+            state.pop("held", None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A missing ordinal is reported and given up once its time has passed, so what waits behind it is bounded by that time."""
+        state = json.loads(self.current.get()[0])
+        now = timerValues.getCurrentProcessingTimeInMs()
+        outputs: list[dict] = []
+        if state.get("held") == state["next"] and now >= state["until"]:
+            ahead = min((k[0] for k in self.waiting.keys()), default=None)
+            if ahead is not None:
+                gone = self.lost(key[0], state, state["next"], ahead - 1)
+                state["next"] = ahead
+                if gone is not None:
+                    outputs.append(gone)
+                self._drain(key[0], state, outputs)
+        self._watch(state, now)
+        emitted = self.finish(key[0], state, outputs) if outputs else []
+        self.current.update((json.dumps(state),))
+        if emitted:
+            yield pd.DataFrame(emitted)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = json.loads(self.current.get()[0]) if self.current.exists() else self._start()
+        outputs: list[dict] = []
         names = list(self.COLUMNS)
         for chunk in rows:
             chunk = chunk.sort_values("ordinal")
             columns = [chunk[n].where(chunk[n].notna(), None).tolist() for n in names]
             for ordinal, *row in zip(chunk["ordinal"].tolist(), *columns):
                 if ordinal == state["next"]:
-                    take(tuple(row))
-                    while self.waiting.containsKey((state["next"],)):
-                        place = (state["next"],)
-                        held = self.waiting.getValue(place)
-                        self.waiting.removeKey(place)
-                        take(tuple(held))
+                    self._take(key[0], state, tuple(row), outputs)
+                    self._drain(key[0], state, outputs)
                 elif ordinal > state["next"]:
                     self.waiting.updateValue((int(ordinal),), tuple(row))
+        if self.wait_ms:
+            self._watch(state, timerValues.getCurrentProcessingTimeInMs())
         emitted = self.finish(key[0], state, outputs)
         self.current.update((json.dumps(state),))
         if emitted:
@@ -101,6 +144,14 @@ class ChainProcessor(InOrder):
     COLUMNS = {"record_bytes": "binary", "claimed_hash": "string"}
     OUTPUT = "source_id string, records bigint, seq_last bigint, chain_valid boolean, kind string, message string, root string"
 
+    def __init__(self, wait_ms: int = 0):
+        self.wait_ms = wait_ms
+
+    def lost(self, key, state, first, last):
+        if state["kind"] is None:
+            state["kind"], state["message"] = "lost", f"chain: entries {first} to {last} did not arrive"
+        return {}  # the verdict row of this batch tells
+
     def step(self, key, state, row):
         data, claimed = bytes(row[0]), row[1]
         computed = hashlib.sha256(data).hexdigest()
@@ -140,20 +191,27 @@ class SealProcessor(InOrder):
     """Intake: numbers, chains and seals. Emits a row per record, with the root where a segment closes.
 
     A segment closes at max_records, before a record that finds it max_age old, or by the processing-time timer
-    when nothing more arrives. The rows of the query's checkpoint are the state after a restart.
+    when nothing more arrives. The rows of the query's checkpoint are the state after a restart. A query that starts anew goes
+    on from stored heads: source_id, last_seq, last_hash, segment and stack (roots of the perfect subtrees, left to right).
+    Ordinals that do not arrive within wait_ms are left out and reported by a row with lost_from and lost_to.
     """
 
     STATE = {"hash": ZERO_HASH, "seq": 0, "stack": [], "segment": 0, "pending": 0, "opened": 0}
     COLUMNS = {"time_ns": "bigint", "body_head": "string", "body_tail": "string"}
     OUTPUT = ("source_id string, seq bigint, segment bigint, record_bytes binary, record_hash string, sealed boolean, "
-              "sealed_to bigint, root string")
+              "sealed_to bigint, root string, lost_from bigint, lost_to bigint")
+    BLANK = dict.fromkeys(("seq", "segment", "record_bytes", "record_hash", "sealed_to", "root", "lost_from", "lost_to"))
 
-    def __init__(self, max_records: int, max_age_ns: int, idle_ms: int = 0):
-        self.max_records, self.max_age_ns, self.idle_ms = max_records, max_age_ns, idle_ms
+    def __init__(self, max_records: int, max_age_ns: int, idle_ms: int = 0, wait_ms: int = 0):
+        self.max_records, self.max_age_ns, self.idle_ms, self.wait_ms = max_records, max_age_ns, idle_ms, wait_ms
 
-    def init(self, handle):
-        super().init(handle)
-        self.handle = handle
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        head = initialState.iloc[0]
+        state = self._start() | {"seq": int(head["last_seq"]), "hash": head["last_hash"], "segment": int(head["segment"]), "stack": list(head["stack"])}
+        self.current.update((json.dumps(state),))
+
+    def lost(self, key, state, first, last):
+        return {"source_id": key, "sealed": False, **self.BLANK, "lost_from": first, "lost_to": last}
 
     def step(self, key, state, row):
         time_ns, head, tail = row
@@ -173,7 +231,7 @@ class SealProcessor(InOrder):
             closed_to, closed_root = state["seq"], stack_root(state["stack"])
             self._close(state)
         return {"source_id": key, "seq": state["seq"], "segment": segment, "record_bytes": data, "record_hash": state["hash"],
-                "sealed": closed_to is not None, "sealed_to": closed_to, "root": closed_root}
+                "sealed": closed_to is not None, "sealed_to": closed_to, "root": closed_root, "lost_from": None, "lost_to": None}
 
     @staticmethod
     def _close(state) -> None:
@@ -183,15 +241,17 @@ class SealProcessor(InOrder):
     def handleInputRows(self, key, rows, timerValues):
         yield from super().handleInputRows(key, rows, timerValues)
         if self.idle_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+            state = json.loads(self.current.get()[0])
+            state["idle_at"] = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.current.update((json.dumps(state),))
+            self.handle.registerTimer(state["idle_at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
         state = json.loads(self.current.get()[0])
-        if state["pending"]:
-            row = {"source_id": key[0], "seq": None, "segment": state["segment"], "record_bytes": None, "record_hash": None,
-                   "sealed": True, "sealed_to": state["seq"], "root": stack_root(state["stack"])}
+        # A timer set before the last rows came is an old one.
+        if self.idle_ms and state["pending"] and timerValues.getCurrentProcessingTimeInMs() >= state["idle_at"]:
+            row = {"source_id": key[0], "sealed": True, **self.BLANK, "segment": state["segment"], "sealed_to": state["seq"], "root": stack_root(state["stack"])}
             self._close(state)
             self.current.update((json.dumps(state),))
             yield pd.DataFrame([row])
@@ -203,7 +263,15 @@ class OutageProcessor(InOrder):
     STATE = {"seq": None, "time": None}
     FIRST = 1
     COLUMNS = {"event_type": "string", "seq": "bigint", "time_ns": "bigint"}
-    OUTPUT = "source_id string, outage_seq bigint, replay_seq bigint, buffered bigint, outage_ns bigint"
+    OUTPUT = "source_id string, outage_seq bigint, replay_seq bigint, buffered bigint, outage_ns bigint, lost_from bigint, lost_to bigint"
+
+    def __init__(self, wait_ms: int = 0):
+        self.wait_ms = wait_ms
+
+    def lost(self, key, state, first, last):
+        # What happened in between is not known: an open outage is not paired across it.
+        state["seq"] = state["time"] = None
+        return {"source_id": key, "outage_seq": None, "replay_seq": None, "buffered": None, "outage_ns": None, "lost_from": first, "lost_to": last}
 
     def step(self, key, state, row):
         kind, seq, time_ns = row
@@ -211,12 +279,70 @@ class OutageProcessor(InOrder):
             state["seq"], state["time"] = int(seq), int(time_ns)
         elif kind == REPLAY and state["seq"] is not None:
             out = {"source_id": key, "outage_seq": state["seq"], "replay_seq": int(seq),
-                   "buffered": max(int(seq) - state["seq"] - 1, 0), "outage_ns": int(time_ns) - state["time"]}
+                   "buffered": max(int(seq) - state["seq"] - 1, 0), "outage_ns": int(time_ns) - state["time"],
+                   "lost_from": None, "lost_to": None}
             state["seq"] = state["time"] = None
             return out
         return None
 
 
+class SilenceProcessor(StatefulProcessor):
+    """Silences over the limit, as soon as the watermark shows them: a row without an end when the limit has passed since the
+    last heartbeat, and a row with its end once a later heartbeat is final.
+
+    Heartbeats wait until the watermark has passed them, as earlier ones may still come; the watermark's delay bounds them.
+    """
+
+    OUTPUT = "source_id string, start_us bigint, end_us bigint"
+
+    def __init__(self, limit_us: int):
+        self.limit_us = limit_us
+
+    def init(self, handle):
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint, told boolean")
+        self.waiting = handle.getMapState("waiting", "at bigint", "n int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for chunk in rows:
+            times = sorted(set(chunk["at_us"].tolist()))
+            for at in times:
+                self.waiting.updateValue((int(at),), (1,))
+            if times:
+                self._wake(times[0])
+        return iter([])
+
+    def _wake(self, at_us: int) -> None:
+        self.handle.registerTimer(-(-int(at_us) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        last, told = self.last.get() if self.last.exists() else (None, False)
+        found, ahead = [], None
+        for (at,) in sorted(self.waiting.keys()):
+            if at > now:
+                ahead = at
+                break
+            if last is not None and at - last > self.limit_us:
+                found.append((key[0], last, at))
+            last, told = at, False
+            self.waiting.removeKey((at,))
+        if ahead is not None:
+            self._wake(ahead)
+        if last is not None:
+            if not told and now - last > self.limit_us:
+                found.append((key[0], last, None))
+                told = True
+            elif not told:
+                self._wake(last + self.limit_us + 1)
+            self.last.update((last, told))
+        if found:
+            yield pd.DataFrame(found, columns=["source_id", "start_us", "end_us"])
+
+    def close(self):
+        pass
+
+
 class ForkProcessor(StatefulProcessor):
     """Append-only acceptance per origin, in receipt order."""
 
@@ -227,7 +353,7 @@ class ForkProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         size, root = self.head.get() if self.head.exists() else (None, None)
-        # The trigger bounds what a micro-batch brings for one origin; it is judged in receipt order as a whole.
+        # Judged in receipt order as a whole: the trigger's size bounds what a micro-batch brings for one origin.
         batch = pd.concat(list(rows)).sort_values("pos")
         statuses = []
         for new_size, new_root in zip(batch["size"].tolist(), batch["root"].tolist()):
@@ -269,9 +395,9 @@ class HeadProcessor(StatefulProcessor):
         pass
 
 
-def transform(stream: DataFrame, key: str, processor: StatefulProcessor, timed: bool = False) -> DataFrame:
+def transform(stream: DataFrame, key: str, processor: StatefulProcessor, timers: str = "None", initial: DataFrame | None = None) -> DataFrame:
     # The process that prepares a stateful query does not get the shipped package, so processors travel by value.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append",
-        timeMode="ProcessingTime" if timed else "None")
+        statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode=timers,
+        initialState=initial.groupBy(key) if initial is not None else None)
