@@ -147,6 +147,11 @@ def _below(path: Column, directory: str) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/" + re.escape(root) + "/"), -1), "^/+", "")
 
 
+def _unescaped(name: str) -> Column:
+    """Names of folders, and paths of the reader, escape by percent signs alone."""
+    return F.url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B")))
+
+
 def _hash_lines(batches):
     """Lines (file, size, split, row, value) in order to (file, sha256); a file need not end with a newline."""
     import hashlib
@@ -180,13 +185,11 @@ def digests(spark: SparkSession, directory: str, whole_bytes: int = 4 * FILE_BYT
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     small = files.where(F.col("length") <= whole_bytes).select(_below(F.col("path"), directory).alias("file"), F.sha2("content", 256).alias("sha256"))
     lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(directory).where(F.col("_metadata.file_size") > whole_bytes).select(
-        _below(F.col("_metadata.file_path"), directory).alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"),
+        _below(_unescaped("_metadata.file_path"), directory).alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("value"))
     streamed = lines.repartition("file").sortWithinPartitions("file", "split", "row").mapInArrow(_hash_lines, "file string, sha256 string")
     found = small.unionByName(streamed).where(~F.col("file").rlike("^manifest(-files)?/"))
-    # Folder names escape by percent signs alone.
-    source = F.expr("url_decode(replace(regexp_extract(file, '/source=([^/]*)/', 1), '+', '%2B'))")
-    return found.select(source.alias("source_id"), "file", "sha256")
+    return found.withColumn("source_id", F.regexp_extract("file", "/source=([^/]*)/", 1)).select(_unescaped("source_id").alias("source_id"), "file", "sha256")
 
 
 def source_lines(spark: SparkSession, path: str, cut: bool) -> DataFrame:
