@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import text_slices
+from tidemark.llm.common import text_slices, trimmed
 
 LEAF_CHARS, PIECE_BYTES = 16384, 256
 _CALM = regex.compile(r"[^\s\x1c-\x1f\x85᠎​][ \t\n\r]")
@@ -165,7 +165,7 @@ def _mapped(df: DataFrame, keep: list[str], source: str, outputs: list[str], ran
                 columns = [pa.array(c, pa.binary()) for c in zip(*made)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, *outputs])
 
-    return df.select(*keep, df[source].alias("_source")).mapInArrow(run, schema)
+    return df.select(*keep, df[source].alias("_source")).mapInArrow(trimmed(run), schema)
 
 
 def _packed(ids: np.ndarray) -> bytes:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,6 +60,24 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, label: str, max_ro
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
+def trimmed(run):
+    """A function over Arrow batches that gives its memory back to the system at the end: workers are kept, and there are several."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc's only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES):
     """A batch in row ranges whose texts come to at most ``most`` bytes, or of one row."""
     if batch.num_rows == 0:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored_small, text_slices, without_ids
+from tidemark.llm.common import stored_small, text_slices, trimmed, without_ids
 from tidemark.llm.components import components
 from tidemark.llm.sets import MIX, compared, mixed, shingles
 from tidemark.sources.store import materialise
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, rules: Rules) -> DataF
                     names=["id", "n", "digest", "nodes", "sig"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id bigint, n bigint, digest binary, nodes array<bigint>, sig binary")
+    return source.mapInArrow(trimmed(run), "id bigint, n bigint, digest binary, nodes array<bigint>, sig binary")
 
 
 _GROUP = ["node", "i", "j"]
@@ -133,7 +133,7 @@ def _hits(groups: DataFrame, rules: Rules) -> DataFrame:
         return pa.RecordBatch.from_arrays([found.column(c).combine_chunks() for c in names], names=names)
 
     dealt = groups.select(*names, "n", "comp", "sig").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    return dealt.mapInArrow(run, "node bigint, i int, j int, rep bigint")
+    return dealt.mapInArrow(trimmed(run), "node bigint, i int, j int, rep bigint")
 
 
 class Comparer:
@@ -158,7 +158,7 @@ class Comparer:
                         [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "n", "tokens"])
 
         texts = self.texts.join(wanted, self.texts["id"] == wanted["want"], "left_semi")
-        more = materialise(texts.mapInArrow(run, "rep bigint, n bigint, tokens binary"), "near-sets")
+        more = materialise(texts.mapInArrow(trimmed(run), "rep bigint, n bigint, tokens binary"), "near-sets")
         self.sets = more if self.sets is None else self.sets.unionByName(more)
 
     def links(self, groups: DataFrame) -> DataFrame:

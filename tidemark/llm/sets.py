@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import words_of
+from tidemark.llm.common import give_back, words_of
 
 WORDS = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +89,9 @@ def compared(groups: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        return _forest(table, percent)
+        found, large = _forest(table, percent), table.num_rows > 128
+        if large:
+            give_back()
+        return found
 
     return groups.groupBy(*keys).applyInArrow(run, "a bigint, b bigint")

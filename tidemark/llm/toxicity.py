@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.boosting import Scorer, fit, labelled_sample
-from tidemark.llm.common import text_slices
+from tidemark.llm.common import text_slices, trimmed
 from tidemark.sources.store import materialise
 
 MAX_SAMPLE, LEXICON, STEM, NEAR = 20_000, 400, 5, 5
@@ -91,7 +91,7 @@ def learn_lexicon(sample: DataFrame, text_col: str, size: int = LEXICON, least:
     toxic, clean = totals.get(1.0, 0), totals.get(0.0, 0)
     if not toxic or not clean:
         return Lexicon(frozenset(), frozenset())
-    terms = sample.select("label", F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term string, label double")
+    terms = sample.select("label", F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), "term string, label double")
     counts = terms.groupBy("term").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     lift = ((F.col("bad") + 0.5) / (toxic + 1)) / ((F.col("good") + 0.5) / (clean + 1))
     best = counts.withColumn("lift", lift).where((F.col("bad") >= least) & (F.col("lift") >= ratio)).orderBy((F.col("bad") * F.ln("lift")).desc(), "term").limit(size)
@@ -111,7 +111,7 @@ def with_features(rows: DataFrame, keep: list[str], lexicon: Lexicon, text_col:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.float64()))], names=[*keep, "features"])
 
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["features array<double>"])
-    return rows.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, kinds)
+    return rows.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(trimmed(run), kinds)
 
 
 @dataclass
