@@ -262,7 +262,8 @@ def equal_parts(rows: np.ndarray, least: int, small: int):
             yield from _finish(rows[part], depth, least)
             continue
         word = rows[_WORDS[depth]][part]
-        pivot = np.partition(word[:: max(1, len(word) // 99)], 40)[40]
+        some = word[:: max(1, len(word) // 99)]
+        pivot = np.partition(some, len(some) // 2)[len(some) // 2]
         stack += [(part[word < pivot], depth), (part[word > pivot], depth)]
         equal = part[word == pivot]
         if depth + 1 < LONGEST:
