@@ -165,8 +165,8 @@ def asked_inclusions(t: Tables):
     log = whole_log(t)
     segment = F.call_function("div", F.col("seq") - 1, F.lit(256).cast("bigint"))
     last = log.groupBy("source_id").agg(F.max("seq").alias("last"))
-    return (log.join(last, "source_id").select(
-        "source_id", (F.col("seq") - 1).alias("idx"), F.least((segment + 1) * 256, F.col("last")).alias("size")))
+    return materialise(log.join(last, "source_id").select(
+        "source_id", (F.col("seq") - 1).alias("idx"), F.least((segment + 1) * 256, F.col("last")).alias("size")), "asked")
 
 
 def inclusion_rows(t: Tables):
@@ -209,7 +209,7 @@ def asked_consistency(t: Tables):
     final = sizes.groupBy("source_id").agg(F.max("size").alias("later"))
     steps = numbered.join(following, ["source_id", "n"]).select("source_id", F.col("size").alias("old"), F.col("later").alias("size"))
     ends = sizes.join(final, "source_id").select("source_id", F.col("size").alias("old"), F.col("later").alias("size"))
-    return steps.unionByName(ends).distinct()
+    return materialise(steps.unionByName(ends).distinct(), "asked")
 
 
 PAIRS_SQL = """pairs AS (SELECT a.source_id, a.size AS old, b.size FROM sizes a JOIN sizes b ON (b.size + 255) // 256 = (a.size + 255) // 256 + 1

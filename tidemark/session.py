@@ -68,8 +68,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # Kept with the context: the setting itself cannot be changed in a running session.
+        root = getattr(spark.sparkContext, "_tidemark_scratch", None) or tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext._tidemark_scratch = root
     return root.rstrip("/")
 
 
