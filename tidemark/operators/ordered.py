@@ -85,12 +85,13 @@ def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_slice", F.spark_partition_id())
 
 
-def spans_between(points: DataFrame, keys: list[str], time: str, widest: int) -> DataFrame:
+def spans_between(points: DataFrame, keys: list[str], time: str, widest: int, width: int = BLOCK_WIDTH) -> DataFrame:
     """Consecutive-time differences that matter: every one above ``widest`` and the largest of each key.
 
     Points are range-partitioned by key and time, so a key that owns most of them is spread out. A slice keeps the
     differences over ``widest``, its largest one and its ends; what is kept is written, and ends of neighbouring slices meet
     across the seams. Output: start, stop, gap and ``before`` (how many points come before stop); some rows may not matter.
+    Slices are cut by the range partitioner, so ``width``, the block width of the other functions here, has no effect.
     """
     dealt = sliced(points.select(*keys, time), keys, [time])
     inside = Window.partitionBy(*keys, "_slice").orderBy(time)
